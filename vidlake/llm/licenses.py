@@ -7,6 +7,8 @@ through and those named like an added one are replaced.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +117,9 @@ def _places(words: Column) -> Column:
 
 def _findings(text: Column) -> Column:
     """All matches of the rules whose keyword is in the text: structs (start, end, priority, order, label, weight)."""
-    table = F.array(*(F.struct(F.lit(i).alias("order"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(rx).alias("rx"), F.lit(p).alias("priority"), F.lit(w).alias("weight")) for i, label, key, rx, p, w in rules()))
+    fields = ("order", "label", "key", "rx", "priority", "weight")
+    listed = json.dumps([dict(zip(fields, r, strict=True)) for r in rules()])
+    table = F.from_json(F.lit(listed), "array<struct<order:int,label:string,key:string,rx:string,priority:int,weight:double>>")
 
     def matches(rule: Column) -> Column:
         # the text between matches gives their places
@@ -175,9 +179,3 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op6(docs: DataFrame) -> DataFrame:
     return license_scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-
-
-def op6_sql() -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ",\n".join(f"({i}, {quoted(label)}, {quoted(key)}, {quoted(rx)}, {p}, {w}::DOUBLE)" for i, label, key, rx, p, w in rules() if "(?!" not in rx and "(?=" not in rx)
-    return values

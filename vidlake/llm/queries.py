@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidlake.llm import licenses, quality
+from vidlake.llm import hilbert, hmm, langid, licenses, quality, spm, trie_join, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,12 +19,25 @@ def on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The merge-type vocabulary of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_lm_scoring": on_documents(hmm.op1),
+        "op2_sentencepiece": on_documents(lambda docs: spm.op2(docs, tokenizer_path())),
+        "op4_ngram_jaccard_join": on_documents(trie_join.op4),
+        "op5_url_filters": lambda spark, sf_dir: urls.op5(table(spark, sf_dir, "pages")),
         "op6_license_scan": on_documents(licenses.op6),
+        "op7_hilbert_sharding": on_documents(hilbert.op7),
         "op8_quality_rules": on_documents(quality.op8),
+        "op10_language_id": on_documents(langid.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality.op8_sql()}
+    return {"op4_ngram_jaccard_join": trie_join.op4_sql(), "op8_quality_rules": quality.op8_sql()}
