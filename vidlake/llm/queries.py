@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidlake.llm import hilbert, hmm, langid, licenses, quality, spm, trie_join, urls
+from vidlake.llm import decontam, hilbert, hmm, langid, licenses, passages, quality, spm, trie_join, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,11 +30,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_lm_scoring": on_documents(hmm.op1),
         "op2_sentencepiece": on_documents(lambda docs: spm.op2(docs, tokenizer_path())),
+        "op3_substring_dedup": on_documents(passages.op3),
         "op4_ngram_jaccard_join": on_documents(trie_join.op4),
         "op5_url_filters": lambda spark, sf_dir: urls.op5(table(spark, sf_dir, "pages")),
         "op6_license_scan": on_documents(licenses.op6),
         "op7_hilbert_sharding": on_documents(hilbert.op7),
         "op8_quality_rules": on_documents(quality.op8),
+        "op9_decontamination": lambda spark, sf_dir: decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op10_language_id": on_documents(langid.op10),
     }
 

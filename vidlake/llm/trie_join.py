@@ -7,8 +7,8 @@ which each set walks: what it shares with a prefix is counted once for all below
 soon as the part of the set that is still to come cannot make up what is missing. Equal sets are joined first,
 and sets already known to be connected are not compared again, so groups of copies need no pair for each two.
 
-Every set first meets the smallest id of each of its groups; groups that still hold sets of several components
-are then joined whole, in blocks. So no link between different sets is lost, and no task gets more than two
+Every set first meets the set that is the first of most of its groups; groups that still hold sets of several
+components are then joined whole, in blocks. So no link between different sets is lost, and no task gets more than two
 blocks of BLOCK texts.
 
 A text with fewer words than n has its whole sequence as the one n-gram; a null text, or one without words, has
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidlake.llm.components import components
+from vidlake.llm.sketch import may_be_in, sketch_of, texts_of
 from vidlake.llm.storage import saved
 from vidlake.llm.text import chunks, mix, owners, shingles, words
 
@@ -208,12 +209,17 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     same = keyed.groupBy("size", "sum1", "sum2").agg(F.min("id").alias("rep"))
     classes = saved(keyed.select("id", "size", "sum1", "sum2").join(same, ["size", "sum1", "sum2"]).select("id", "rep").distinct())
     lone = keyed.join(classes.filter("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    posts = saved(lone.select("id", F.explode("prefix").alias("gram")))
-    groups = saved(posts.groupBy("gram").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who")).filter("n > 1"))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
-
-    # each set meets the smallest id of each of its groups
-    pairs = saved(posts.join(groups.select("gram", "low"), "gram").filter("id <> low").select(F.col("low").alias("cluster"), "id").distinct())
+    lone = saved(lone.select("id", "size", "prefix"))
+    every = lone.select("id", "size", F.explode("prefix").alias("gram"))
+    groups = every.groupBy("gram").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("size").alias("least"), F.max("size").alias("most"))
+    groups = saved(groups.filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("least") * 100 >= F.col("most") * percent))).drop("least", "most"))
+    # n-grams of one set only go no further
+    posts = saved(every.drop("size").filter(may_be_in(F.col("gram"), sketch_of(groups, "gram"))).join(groups.select("gram"), "gram", "left_semi"))
+    texts = saved(texts_of(docs, key, text, posts.select("id").distinct()))
+
+    # each set meets the id that is smallest in the most of its groups
+    met = posts.join(groups.select("gram", "low"), "gram").filter("id <> low").groupBy("id", "low").agg(F.count("*").alias("k"))
+    pairs = saved(met.groupBy("id").agg(F.max(F.struct("k", (-F.col("low")).alias("low")))["low"].alias("low")).select((-F.col("low")).alias("cluster"), "id"))
     sizes = pairs.groupBy("cluster").agg(F.ceil(F.count("*") / (BLOCK - 1)).alias("nb"))
     members = pairs.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("id"), "nb").alias("block"), "id")
     leads = sizes.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("block"), F.col("cluster").alias("id"))
