@@ -12,6 +12,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vidlake.llm.binding import let
+
 # Label, keyword that must be in the lower-case text, name of the license as a regex on lower-case text.
 FAMILIES = (
     ("0bsd", "0bsd", r"(?:bsd zero[ -]clause|0bsd)(?: license)?"),
@@ -160,9 +162,8 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and findings (spans of the surviving matches)."""
     out = docs.withColumn("_low", lowered(F.col(text)))
     out = out.withColumn("_words", F.array_remove(F.split("_low", NOT_WORD), ""))
-    out = out.withColumn("_base", F.when(F.contains("_low", F.lit("license")), _places(F.col("_words"))).otherwise(F.array().cast("array<struct<at:int,label:string>>")))
-    out = out.withColumn("_found", F.when(gated(F.col("_low")), _findings(F.col("_low"))).otherwise(F.array().cast("array<struct<start:int,end:int,priority:int,order:int,label:string,weight:double>>")))
-    out = out.withColumn("findings", _kept(F.col("_found")))
+    out = out.withColumn("_base", F.when(F.contains("_low", F.lit("license")), let(F.col("_words"), _places)).otherwise(F.array().cast("array<struct<at:int,label:string>>")))
+    out = out.withColumn("findings", let(F.when(gated(F.col("_low")), _findings(F.col("_low"))).otherwise(F.array().cast("array<struct<start:int,end:int,priority:int,order:int,label:string,weight:double>>")), _kept))
     names = lambda c: F.transform(c, lambda x: x["label"])
     base = names(F.col("_base"))
     out = out.withColumns({
@@ -174,7 +175,7 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
         "labels": F.array_join(F.array_sort(F.array_union(base, names(F.col("findings")))), ","),
         "score": F.greatest(F.when(F.size("_base") > 0, F.lit(BASE_WEIGHT)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.transform("findings", lambda x: x["weight"])), F.lit(0.0))),
     })
-    return out.drop("_low", "_words", "_base", "_found")
+    return out.drop("_low", "_words", "_base")
 
 
 def op6(docs: DataFrame) -> DataFrame:

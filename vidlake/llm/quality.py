@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vidlake.llm.binding import let
+
 #: Fixed phrases of page furniture, lower case.
 BOILERPLATE = (
     "all rights reserved",
@@ -70,10 +72,21 @@ def ranked(windows: Column) -> Column:
     return F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
 
 
-def repeated_at(rank: Column) -> Column:
-    """Where windows stand that occur more than once, in order; rank must be a column, as every element looks into it."""
-    same = F.transform(rank, lambda s, k: F.when((s["x"] == F.get(rank, k - 1)["x"]) | (s["x"] == F.get(rank, k + 1)["x"]), s["i"]))
-    return F.array_sort(F.array_compact(same))
+def repeated_words(windows: Column) -> Column:
+    """How many words stand in windows that occur more than once."""
+    def steps(rank: Column) -> Column:
+        same = F.transform(rank, lambda s, k: F.when((s["x"] == F.get(rank, k - 1)["x"]) | (s["x"] == F.get(rank, k + 1)["x"]), s["i"]))
+        return let(F.array_sort(F.array_compact(same)), lambda at: F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1), p + WINDOW) - p)), F.lit(0).cast("long"), lambda a, x: a + x))
+
+    return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), let(ranked(w), steps)).otherwise(F.lit(0).cast("long")))
+
+
+def word_windows(words: Column) -> Column:
+    """A hash of each WINDOW words in a row, from hashes of 1, 2, 4 and 8 words."""
+    left = F.size(words) - WINDOW + 1
+    pairs = lambda h, apart: paired(h, apart, left + WINDOW - 2 * apart)
+    eight = let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: let(pairs(h, 1), lambda h2: let(pairs(h2, 2), lambda h4: pairs(h4, 4))))
+    return F.when(left > 0, eight).otherwise(F.array().cast("array<bigint>"))
 
 
 def line_clean(docs: DataFrame, text: str = "text", max_lost: float = 0.3, max_symbols: float = 0.1, min_words: int = 20, max_repeated: int = 30) -> DataFrame:
@@ -81,34 +94,41 @@ def line_clean(docs: DataFrame, text: str = "text", max_lost: float = 0.3, max_s
     n_failed_lines, lost_share, base_failed and kept.
 
     base_failed: under ``min_words`` words, or over ``max_repeated`` per cent of them inside repeated windows.
-    kept: not base_failed, and failed lines hold at most ``max_lost`` of the words' characters.
+    kept: not base_failed, and failed lines hold at most ``max_lost`` of the lines' characters.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_words", word_array(body)).withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike("[^ \\t\\n\\u000B\\f\\r]")))
-    out = out.withColumn("_hashes", F.transform("_words", lambda x: F.xxhash64(x)))
-    left = F.size("_words") - WINDOW + 1
-    for apart in (1, 2, 4):
-        out = out.withColumn("_hashes", F.when(left > 0, paired(F.col("_hashes"), apart, left + WINDOW - 2 * apart)))
-    out = out.withColumn("_windows", F.coalesce("_hashes", F.array().cast("array<bigint>")))
-    out = out.withColumn("_rank", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), ranked(F.col("_windows"))).otherwise(F.array().cast("array<struct<x:bigint,i:int>>")))
-    out = out.withColumn("_again", repeated_at(F.col("_rank")))
-    steps = F.transform("_again", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_again"), k + 1), p + WINDOW) - p))
-    out = out.withColumn("_good", F.filter("_lines", lambda x: line_passes(x, max_symbols)))
     chars = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
-    out = out.withColumns({
-        "clean_text": F.when(F.size("_good") == F.size("_lines"), F.col(text)).otherwise(F.array_join("_good", "\n")),
-        "n_words": F.size("_words").cast("long"),
+
+    def of_lines(lines: Column) -> Column:
+        def verdicts(good: Column) -> Column:
+            whole = F.size(good) == F.size(lines)
+            return F.struct(
+                F.when(~whole, F.array_join(good, "\n")).alias("clean_text"),
+                F.size(lines).cast("long").alias("n_lines"),
+                (F.size(lines) - F.size(good)).cast("long").alias("n_failed_lines"),
+                (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+                F.when(whole, F.lit(0.0)).otherwise(1.0 - chars(good) / chars(lines)).alias("lost_share"),
+            )
+
+        return let(F.filter(lines, lambda x: line_passes(x, max_symbols)), verdicts)
+
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^ \\t\\n\\u000B\\f\\r]"))
+    of_words = lambda words: F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(word_windows(words)).alias("n_repeat_words"))
+    out = docs.withColumns({"_w": let(word_array(F.col(text)), of_words), "_l": let(lines, of_lines)})
+    failed = (F.col("_w.n_words") < min_words) | (F.col("_w.n_repeat_words") * 100 > F.col("_w.n_words") * max_repeated)
+    return out.withColumns({
+        "clean_text": F.coalesce("_l.clean_text", F.col(text)),
+        "n_words": F.col("_w.n_words"),
         "word_chars": F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": symbol_count(body).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_failed_lines": (F.size("_lines") - F.size("_good")).cast("long"),
-        "lost_share": F.when(F.size("_good") == F.size("_lines"), F.lit(0.0)).otherwise(1.0 - chars(F.col("_good")) / chars(F.col("_lines"))),
-    })
-    out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeated))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost))
-    return out.drop("_words", "_lines", "_hashes", "_windows", "_rank", "_again", "_good")
+        "n_dup_lines": F.col("_l.n_dup_lines"),
+        "n_repeat_words": F.col("_w.n_repeat_words"),
+        "n_lines": F.col("_l.n_lines"),
+        "n_failed_lines": F.col("_l.n_failed_lines"),
+        "lost_share": F.col("_l.lost_share"),
+        "base_failed": failed,
+        "kept": ~failed & (F.col("_l.lost_share") <= max_lost),
+    }).drop("_w", "_l")
 
 
 def op8(docs: DataFrame) -> DataFrame:
