@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vidlake.plans import event_queries, evaluation_queries, library_queries, track_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (event_queries, track_queries, evaluation_queries, library_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for part in PARTS for name, (query, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}
