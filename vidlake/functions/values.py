@@ -125,3 +125,10 @@ def gcd(values: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.lit(64)), first, lambda p, i: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), F.try_mod(p["a"], p["b"]).alias("b"))), lambda p: p["a"])
 
     return F.aggregate(values, F.lit(0).cast("bigint"), two)
+
+
+def middle(values: Column) -> Column:
+    """Median of an array without nulls."""
+    ranked = F.array_sort(values)
+    n = F.size(values)
+    return (F.get(ranked, F.floor((n - 1) / 2).cast("int")) + F.get(ranked, F.floor(n / 2).cast("int"))) / 2

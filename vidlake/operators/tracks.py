@@ -19,7 +19,7 @@ def by_track(*order: str) -> Window:
     return Window.partitionBy(*TRACK).orderBy(*(order or ("frame_idx",)))
 
 
-def violations(tracks: DataFrame, fps: Column, frame_count: Column) -> DataFrame:
+def violations(tracks: DataFrame, fps: Column | float, frame_count: Column | int) -> DataFrame:
     """Rows that break the contract, with the reasons: repeated key, frame out of range, clock off by more than a frame, empty box."""
     n = F.count("*").over(Window.partitionBy(*TRACK, "frame_idx"))
     tests = [
@@ -29,14 +29,14 @@ def violations(tracks: DataFrame, fps: Column, frame_count: Column) -> DataFrame
     return tracks.withColumn("reasons", v.reasons(*tests)).filter(F.size("reasons") > 0)
 
 
-def summary(tracks: DataFrame, fps: Column) -> DataFrame:
+def summary(tracks: DataFrame, fps: Column | float) -> DataFrame:
     """One row a track: first and last frame, observations, coverage of the span, scores, duration."""
     out = tracks.groupBy(*TRACK).agg(F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"), F.count("*").alias("observations"), F.min("det_score").alias("min_score"), F.avg("det_score").alias("mean_score"), F.max("det_score").alias("max_score"))
     span = F.col("end_frame") - F.col("start_frame") + 1
     return out.withColumns({"coverage": F.col("observations") / span, "duration_s": span / fps})
 
 
-def steps(tracks: DataFrame, fps: Column, jump: float = 60.0) -> DataFrame:
+def steps(tracks: DataFrame, fps: Column | float, jump: float = 60.0) -> DataFrame:
     """Each observation with the gap since the last, its speed in box diagonals a second, and whether it jumps."""
     before = lambda c: F.lag(c).over(by_track())
     out = tracks.withColumns({"gap_s": (F.col("frame_idx") - before("frame_idx")) / fps, "_last": before("box")})
@@ -44,11 +44,11 @@ def steps(tracks: DataFrame, fps: Column, jump: float = 60.0) -> DataFrame:
     return out.withColumn("speed", speed).withColumn("is_jump", F.coalesce(F.col("speed") > jump, F.lit(False))).drop("_last")
 
 
-def quality(tracks: DataFrame, fps: Column, jump: float = 60.0, least: int = 3, least_s: float = 0.1) -> DataFrame:
+def quality(tracks: DataFrame, fps: Column | float, jump: float = 60.0, least: int = 3, least_s: float = 0.1) -> DataFrame:
     """One row a track with status tentative, needs_review or accepted, and what led to it."""
     out = steps(tracks, fps, jump).groupBy(*TRACK).agg(
         F.count("*").alias("observations"), F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"), F.max("gap_s").alias("max_gap_s"),
-        F.array_sort(F.collect_list(F.when(F.col("is_jump"), F.col("frame_idx")))).alias("jump_frames"), F.avg("det_score").alias("mean_det_score"), F.first(fps).alias("_fps"))
+        F.array_sort(F.collect_list(F.when(F.col("is_jump"), F.col("frame_idx")))).alias("jump_frames"), F.avg("det_score").alias("mean_det_score"), F.first(F.lit(fps)).alias("_fps"))
     seconds = F.col("observations") / F.col("_fps")
     tests = [(F.col("observations") < least, "few_observations"), (seconds < least_s, "short"), (F.size("jump_frames") > 0, "motion_jump")]
     status = F.when((F.col("observations") < least) | (seconds < least_s), "tentative").when(F.size("jump_frames") > 0, "needs_review").otherwise("accepted")
@@ -73,7 +73,7 @@ def co_observation(tracks: DataFrame) -> DataFrame:
     return frame_pairs(tracks).groupBy("video_id", "track_a", "track_b").agg(F.count("*").alias("common_frames"), F.min("iou").alias("min_iou"))
 
 
-def gaps(tracks: DataFrame, fps: Column) -> DataFrame:
+def gaps(tracks: DataFrame, fps: Column | float) -> DataFrame:
     """For pairs of tracks of a video: frames and seconds between their spans."""
     s = tracks.groupBy(*TRACK).agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"))
     a = s.select("video_id", F.col("track_id").alias("track_a"), F.col("first").alias("fa"), F.col("last").alias("la"))

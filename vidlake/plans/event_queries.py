@@ -183,7 +183,7 @@ def clip_indices(spark: SparkSession, d: str) -> DataFrame:
 def smoothed(spark: SparkSession, d: str) -> DataFrame:
     o = vw.table(spark, d, "orders")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(-4, 0)
-    return o.select("o_orderkey", R(F.avg("o_totalprice").over(w), 4).alias("mean5"), R(F.median("o_totalprice").over(w), 4).alias("median5"))
+    return o.select("o_orderkey", R(F.avg("o_totalprice").over(w), 4).alias("mean5"), R(v.middle(F.collect_list("o_totalprice").over(w)), 4).alias("median5"))
 
 
 QUERIES = {
