@@ -175,7 +175,7 @@ QUERIES = {
       SELECT a.video_id, a.track_id AS track_a, b.track_id AS track_b, greatest(0, greatest(a.f, b.f) - least(a.l, b.l) - 1) AS gap_frames, round(greatest(0, greatest(a.f, b.f) - least(a.l, b.l) - 1) / 25.0::DOUBLE, 6) AS gap_s FROM s a JOIN s b ON a.video_id = b.video_id AND a.track_id < b.track_id"""),
     "suppress_duplicates_k": (suppressed, None),
     "spaced_best_k": (spaced_best, None),
-    "most_overlapped": (overlapped, f"""WITH {vw.TRACKS} SELECT a.video_id, a.frame_idx, a.track_id, round(coalesce(max(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1))), 0), 6) AS overlapped
+    "most_overlapped": (overlapped, f"""WITH {vw.TRACKS} SELECT a.video_id, a.frame_idx, a.track_id, round(coalesce(max(CASE WHEN b.track_id IS NOT NULL THEN greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1)) END), 0), 6) AS overlapped
       FROM tracks a LEFT JOIN tracks b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.track_id <> b.track_id GROUP BY 1, 2, 3"""),
     "box_conversions": (conversions, f"""WITH {vw.TRACKS} SELECT video_id, frame_idx, track_id, round((x1 + x2) / 2, 6) AS cx, round((y1 + y2) / 2, 6) AS cy, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h,
       CASE WHEN least(x2, 180) > least(x1, 180) AND least(y2, 90) > least(y1, 90) THEN round(least(x2, 180), 6) END AS clip_x2, CASE WHEN least(x2, 180) > least(x1, 180) AND least(y2, 90) > least(y1, 90) THEN round(least(y2, 90), 6) END AS clip_y2,
