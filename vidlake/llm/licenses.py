@@ -96,9 +96,9 @@ NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """(order, label, keyword, regex, priority, weight) of every signature; every family in every form, then the sentences."""
+    """(order, label, keyword, regex, priority, weight) of every signature, which starts at a word's start; every family in every form, then the sentences."""
     made = [(label, "spdx" if form == "tag" else keyword, regex.replace("{spdx}", label.replace(".", "\\.")).replace("{}", name), priority, weight) for label, keyword, name in FAMILIES for form, regex, priority, weight in FORMS]
-    return [(i, *x) for i, x in enumerate([*made, *SENTENCES])]
+    return [(i, label, keyword, f"(?<![a-z0-9])(?:{regex})", priority, weight) for i, (label, keyword, regex, priority, weight) in enumerate([*made, *SENTENCES])]
 
 
 def lowered(text: Column) -> Column:
