@@ -1,11 +1,12 @@
 """Exact Jaccard self-join of n-gram sets through prefix trees.
 
-Sets of word n-grams are kept in one global order: n-grams that many texts share last, by hash otherwise. Two
-sets over the threshold share an n-gram among the first few of each, so the n-grams there deal the sets into
-groups. A group's sets make a prefix tree - the sorted list of sequences with the lengths of common prefixes -
-which each set walks: what it shares with a prefix is counted once for all below it, and a branch is left as
-soon as the part of the set that is still to come cannot make up what is missing. Equal sets are joined first,
-and sets already known to be connected are not compared again, so groups of copies need no pair for each two.
+Sets of word n-grams are kept in one global order, that of their hashes, which is cut into ranges (class Ranges).
+Two sets over the threshold are alike in some range, so what a set holds in each range deals the sets into groups;
+a range holds several n-grams, so few sets meet by chance, in however large a corpus. A group's sets make a prefix
+tree - the sorted list of sequences with the lengths of common prefixes - which each set walks: what it shares with
+a prefix is counted once for all below it, and a branch is left as soon as the part of the set that is still to come
+cannot make up what is missing. Equal sets are joined first, and sets already known to be connected are not compared
+again, so groups of copies need no pair for each two.
 
 Every set first meets the set that is the first of most of its groups; groups that still hold sets of several
 components are then joined whole, in blocks. So no link between different sets is lost, and no task gets more than two
@@ -18,6 +19,7 @@ An empty table gives an empty one. Other columns pass through, those named like
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidlake.llm.components import components
-from vidlake.llm.sketch import may_be_in, sketch_of, texts_of
+from vidlake.llm.sketch import Sketch, sketch_of, texts_of
 from vidlake.llm.storage import saved
 from vidlake.llm.text import chunks, mix, owners, shingles, words
 
 BLOCK = 128
-#: N-grams that are met COMMON times or more in one batch of rows may be ordered last, up to LISTED of them; this changes speed only.
-COMMON, LISTED = 3, 100_000
 
 
 def ngram_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,106 +66,172 @@ def needed(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
 
 
-def common_ngrams(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """A bounded list of n-grams that stand in many texts, the most frequent last."""
+class Ranges:
+    """Cuts the global order into ranges so that two sets over the threshold are alike in one of them at least.
+
+    Sets whose sizes lie in one class [first, end) differ by D n-grams at most, if they are over the threshold; of
+    D + 1 + spare ranges of the order, at most D hold a difference. So the sets are equal in spare + 1 ranges or more,
+    one of which is not empty unless more than ``spare`` ranges of a set are: then its empty ranges count as well.
+    """
+
+    def __init__(self, percent: int, longest: int, ratio: float = 1.5):
+        first = [1]
+        while first[-1] <= longest:
+            first.append(max(first[-1] + 1, int(first[-1] * ratio)))
+        self.percent, self.first = percent, np.array(first, np.int64)
+        differ = 2 * (self.first[1:] - 1) * (100 - percent) // (100 + percent)
+        self.spare = np.array([_spare(int(d), -(-percent * int(f) // 100)) for d, f in zip(differ, self.first, strict=False)], np.int64)
+        self.cuts = differ + 1 + self.spare
+
+    def classes(self, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(sets, class) for the class of each set's own size, then for those of larger sets that it can be linked with."""
+        own = np.searchsorted(self.first, size, "right") - 1
+        sets, c = np.flatnonzero(size > 0), own[size > 0]
+        while len(sets):
+            yield sets, c
+            sets, c = sets, c + 1
+            ok = c < len(self.cuts)
+            ok[ok] = 100 * size[sets[ok]] >= self.percent * self.first[c[ok]]
+            sets, c = sets[ok], c[ok]
+
+    def keys(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, set) of all ranges; values: the sets' n-grams in order of set and hash."""
+        size = np.diff(at)
+        held, owners_ = [], []
+        for sets, c in self.classes(size):
+            cuts = self.cuts[c]
+            base = np.cumsum(cuts) - cuts
+            place = np.repeat(at[sets], size[sets]) + np.arange(int(size[sets].sum())) - np.repeat(np.cumsum(size[sets]) - size[sets], size[sets])
+            own = values[place]
+            part = ((own >> np.uint64(32)) * np.repeat(cuts, size[sets]).astype(np.uint64)) >> np.uint64(32)
+            slot = np.repeat(base, size[sets]) + part.astype(np.int64)
+            start = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+            slots, total = slot[start], np.add.reduceat(mix(own), start)
+            of = np.searchsorted(base, slots, "right") - 1
+            empty = cuts - np.bincount(of, minlength=len(sets))
+            for k in np.flatnonzero(empty > self.spare[c]):
+                bare = np.setdiff1d(np.arange(base[k], base[k] + cuts[k]), slots[of == k])
+                slots, total, of = np.r_[slots, bare], np.r_[total, np.zeros(len(bare), np.uint64)], np.r_[of, np.full(len(bare), k)]
+            held.append(mix(total ^ mix((c[of] * (1 << 40) + slots - base[of]).astype(np.uint64))))
+            owners_.append(sets[of])
+        return (np.concatenate(held), np.concatenate(owners_)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _spare(differ: int, least: int) -> int:
+    """So many ranges over D + 1 that few sets of ``least`` n-grams or more have more empty ranges than these."""
+    spare = 0
+    while spare < least:
+        cuts = differ + 1 + spare
+        empty = cuts * (1 - 1 / cuts) ** least
+        wanted = int(empty + 2 * math.sqrt(empty))
+        if wanted <= spare:
+            break
+        spare = wanted
+    return spare
+
+
+#: Sizes of sets that a table of classes reaches; larger ones get a larger table.
+LONGEST = 1 << 20
+
+
+def measured(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """For each row: id, size of its set and two checksums of it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [ngram_sets(data, offs, n)[0] for _, _, data, offs in chunks(batch.column(0))]
-            h, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            often = c >= COMMON
-            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["h", "c"])
+            for lo, hi, data, offs in chunks(batch.column(1)):
+                values, at = ngram_sets(data, offs, n)
+                sums = [np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(v)])[at]) for v in (values, mix(values ^ np.uint64(0x2545F4914F6CDD1D)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at).astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64))], ["id", "size", "sum1", "sum2"])
 
-    counts = docs.select(text).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counts.filter(F.col("c") >= 4 * COMMON).orderBy(F.desc("c"), "h").limit(LISTED).toPandas()
-    return top["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id bigint, size bigint, sum1 bigint, sum2 bigint")
 
 
-def prefixes(docs: DataFrame, key: str, text: str, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """For each row: id, size of its set, two checksums of the set, and the n-grams of its prefix."""
+def range_keys(docs: DataFrame, key: str, text: str, n: int, percent: int, shared: Sketch | None = None, among: Sketch | None = None) -> DataFrame:
+    """(gram, id): keys of all ranges of each set; only those that may be in ``shared``, of ids that may be in ``among``, if these are given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.argsort(common)
-        listed = common[rank]
+        ranges = Ranges(percent, LONGEST)
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            if among is not None:
+                batch = batch.filter(pa.array(among.may_hold(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offs in chunks(batch.column(1)):
                 values, at = ngram_sets(data, offs, n)
-                size = np.diff(at)
-                late = np.zeros(len(values), np.int64)
-                if len(listed):
-                    p = np.minimum(np.searchsorted(listed, values), len(listed) - 1)
-                    late = np.where(listed[p] == values, rank[p] + 1, 0)
-                owner = owners(at)
-                order = np.lexsort((values, late, owner))
-                place = np.arange(len(values)) - np.repeat(at[:-1], size)
-                take = place < np.repeat(size - needed(size, percent) + 1, size)
-                sums = [np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(v)])[at]) for v in (values, mix(values ^ np.uint64(0x2545F4914F6CDD1D)))]
-                cut = np.concatenate([[0], np.cumsum(take)])[at].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(cut), pa.array(values[order][take].view(np.int64))),
-                ], ["id", "size", "sum1", "sum2", "prefix"])
+                longest = int(np.diff(at).max(initial=0))
+                keys, owner = (ranges if longest < LONGEST else Ranges(percent, longest + 1)).keys(values, at)
+                if shared is not None:
+                    held = shared.may_hold(keys)
+                    keys, owner = keys[held], owner[held]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo:hi][owner])], ["gram", "id"])
+
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "gram bigint, id bigint")
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id bigint, size bigint, sum1 bigint, sum2 bigint, prefix array<bigint>")
 
+class Block:
+    """A block's sets as numbers of n-grams in the global order, and for each n-gram the sets that hold it."""
 
-class Forest:
-    """Which of a block's sets are connected."""
+    def __init__(self, sets: list[np.ndarray]):
+        flat = np.concatenate(sets)
+        self.size = np.array([len(x) for x in sets], np.int64)
+        names, number = np.unique(flat, return_inverse=True)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.number, self.n = number.astype(np.int64), len(names)
+        owner = owners(self.at)
+        order = np.argsort(self.number, kind="stable")
+        self.holders, self.start = owner[order], np.searchsorted(self.number[order], np.arange(self.n + 1))
+        self.places = owner * (self.n + 1) + self.number  # in order of set and n-gram
+        self.base = np.arange(len(sets), dtype=np.int64) * (self.n + 1)
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def sequence(self, i: int) -> np.ndarray:
+        return self.number[self.at[i] : self.at[i + 1]]
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+    def counted(self, grams: np.ndarray) -> np.ndarray:
+        """How many of the n-grams each set holds."""
+        first, n = self.start[grams], self.start[grams + 1] - self.start[grams]
+        place = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return np.bincount(self.holders[place], minlength=len(self.size))
 
-    def link(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
+    def left(self, gram: int) -> np.ndarray:
+        """How many n-grams of each set come after this one."""
+        return self.at[1:] - np.searchsorted(self.places, self.base + gram, "right")
 
 
 def walk(sets: list[np.ndarray], percent: int, group: list[int]) -> list[tuple[int, int]]:
-    """Links that connect what the threshold connects. group: sets of one number are known to be connected."""
+    """Links that connect what the threshold connects. group: sets of one number are known to be connected.
+
+    All sets walk the prefix tree together: at a node each knows its overlap with the prefix, which is made once for all
+    sequences below; a node is left when no set can reach its least overlap with what comes after the prefix.
+    """
+    block = Block(sets)
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    shared = [0] * len(order)  # length of the prefix shared with the sequence before
+    shared = np.zeros(len(order), np.int64)  # length of the prefix shared with the sequence before
     for k in range(1, len(order)):
         a, b = sets[order[k - 1]], sets[order[k]]
         m = min(len(a), len(b))
         off = np.flatnonzero(a[:m] != b[:m])
         shared[k] = int(off[0]) if len(off) else m
-    forest, first, links = Forest(len(sets)), {}, []
-    for i, g in enumerate(group):
-        forest.link(first.setdefault(g, i), i)
-    for at, i in enumerate(order):
-        x = sets[i]
-        spare = len(x) - int(needed(len(x), percent))  # how many of x may be missing
-        # overlap and place in x after each token of the path walked so far
-        over, gone, depth, dead = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, None
-        for k in range(at + 1, len(order)):
-            j = order[k]
-            depth = min(depth, shared[k]) if k > at + 1 else 0
-            if dead is not None:
-                if shared[k] > dead:
-                    continue
-                dead = None
-            y = sets[j]
-            if forest.root(i) == forest.root(j) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+    least = needed(block.size, percent)
+    component = np.unique(np.array(group), return_inverse=True)[1]
+    links: list[tuple[int, int]] = []
+    nodes = [(0, len(order), 0, np.zeros(len(sets), np.int64))]
+    while nodes:
+        lo, hi, depth, over = nodes.pop()
+        y = block.sequence(order[lo])
+        end = len(y) if hi - lo == 1 else int(shared[lo + 1 : hi].min())
+        if end > depth:
+            over = over + block.counted(y[depth:end])
+            if not (over + block.left(int(y[end - 1])) >= least).any():
                 continue
-            tail = y[depth:]
-            place = np.searchsorted(x, tail)
-            hit = x[np.minimum(place, len(x) - 1)] == tail
-            base = over[depth - 1] if depth else 0
-            add = base + np.cumsum(hit)
-            missed = place - (add - hit)
-            over, gone = np.concatenate([over[:depth], add]), np.concatenate([gone[:depth], missed])
-            depth = len(y)
-            late = np.flatnonzero(gone > spare)
-            total = int(over[-1]) if len(over) else 0
-            if len(late):
-                dead = int(late[0])
-                continue
-            if 100 * total >= percent * (len(x) + len(y) - total):
-                forest.link(i, j)
-                links.append((i, j))
+        k = lo
+        while k < hi and block.size[order[k]] == end:
+            j = order[k]
+            hit = np.flatnonzero((100 * over >= percent * (block.size + end - over)) & (component != component[j]))
+            for c in np.unique(component[hit]):
+                links.append((int(hit[component[hit] == c][0]), j))
+            component[np.isin(component, component[hit])] = component[j]
+            k += 1
+        cuts = [k, *(k + 1 + np.flatnonzero(shared[k + 1 : hi] == end)).tolist(), hi] if k < hi else []
+        nodes += [(a, b, end, over) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return links
 
 
@@ -204,17 +270,19 @@ def joined(blocks: DataFrame, n: int, percent: int) -> DataFrame:
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """Adds n_shingles and component_id: the smallest id reachable over links of Jaccard similarity percent/100 or more."""
-    sets = saved(prefixes(docs, key, text, n, percent, common_ngrams(docs, text, n)))
+    sets = saved(measured(docs, key, text, n))
     keyed = sets.filter("id is not null and size > 0")
     same = keyed.groupBy("size", "sum1", "sum2").agg(F.min("id").alias("rep"))
     classes = saved(keyed.select("id", "size", "sum1", "sum2").join(same, ["size", "sum1", "sum2"]).select("id", "rep").distinct())
-    lone = keyed.join(classes.filter("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"])
-    lone = saved(lone.select("id", "size", "prefix"))
-    every = lone.select("id", "size", F.explode("prefix").alias("gram"))
-    groups = every.groupBy("gram").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("size").alias("least"), F.max("size").alias("most"))
-    groups = saved(groups.filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("least") * 100 >= F.col("most") * percent))).drop("least", "most"))
-    # n-grams of one set only go no further
-    posts = saved(every.drop("size").filter(may_be_in(F.col("gram"), sketch_of(groups, "gram"))).join(groups.select("gram"), "gram", "left_semi"))
+    lone = classes.filter("id = rep").select("id")
+    among = sketch_of(lone, "id")
+    # a set of its own for each class of equal ones; keys of one set only go no further
+    seen = range_keys(docs, key, text, n, percent, among=among).groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    shared = saved(seen.filter("low < high").select("gram"))
+    posts = range_keys(docs, key, text, n, percent, sketch_of(shared, "gram"), among).join(lone, "id", "left_semi").join(shared, "gram", "left_semi")
+    posts = saved(posts.distinct())
+    groups = posts.groupBy("gram").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"))
+    groups = saved(groups.filter("n > 1"))
     texts = saved(texts_of(docs, key, text, posts.select("id").distinct()))
 
     # each set meets the id that is smallest in the most of its groups
