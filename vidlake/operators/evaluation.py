@@ -172,9 +172,15 @@ def error_kinds(predictions: DataFrame, matched: DataFrame, overlaps: DataFrame)
 def match_boundaries(edges: DataFrame) -> DataFrame:
     """Matching with the most pairs of boundaries and proposals in each range and stage, nearest middles first. edges: range, stage, truth, pred, distance."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        near = {t: r.sort_values(["distance", "pred"])["pred"].tolist() for t, r in rows.groupby("truth")}
-        pairs = most_pairs(sorted(near), near)
-        return pd.DataFrame({"range": rows["range"].iloc[0], "stage": rows["stage"].iloc[0], "truth": list(pairs), "pred": list(pairs.values())})
+        out = []
+        for (range_, stage), one in rows.groupby(["range", "stage"], sort=False):
+            near: dict = {}
+            for t, p in zip(*(one.sort_values(["distance", "pred"])[c].tolist() for c in ("truth", "pred")), strict=True):
+                near.setdefault(t, []).append(p)
+            out += [(range_, stage, t, p) for t, p in most_pairs(sorted(near), near).items()]
+        return pd.DataFrame(out, columns=["range", "stage", "truth", "pred"])
 
     k = dict(edges.dtypes)
-    return edges.groupBy("range", "stage").applyInPandas(run, f"range {k['range']}, stage {k['stage']}, truth {k['truth']}, pred {k['pred']}")
+    # many small ranges share a group of the grouped map
+    parts = edges.withColumn("_part", F.pmod(F.xxhash64("range", "stage"), F.lit(256)))
+    return parts.groupBy("_part").applyInPandas(run, f"range {k['range']}, stage {k['stage']}, truth {k['truth']}, pred {k['pred']}")

@@ -113,7 +113,11 @@ def suppress_duplicates(tracks: DataFrame, status: DataFrame, least: float = 0.9
         return pd.DataFrame({"video_id": rows["video_id"], "frame_idx": rows["frame_idx"], "track_id": rows["track_id"], "duplicate_of": pd.array(of, dtype="Int64"), "duplicate_iou": share})
 
     flat = ranked.select("video_id", "frame_idx", "track_id", "det_score", "observations", (F.col("status") != "accepted").alias("_late"), "box.*")
-    return flat.groupBy("video_id", "frame_idx").applyInPandas(frame, "video_id bigint, frame_idx bigint, track_id bigint, duplicate_of bigint, duplicate_iou double")
+    # only frames with two boxes that may be one need the ordered scan
+    met = frame_pairs(tracks).filter(F.col("iou") >= least).select("video_id", "frame_idx").distinct()
+    found = flat.join(met, ["video_id", "frame_idx"], "left_semi").groupBy("video_id", "frame_idx").applyInPandas(frame, "video_id bigint, frame_idx bigint, track_id bigint, duplicate_of bigint, duplicate_iou double")
+    rest = flat.join(met, ["video_id", "frame_idx"], "left_anti").select("video_id", "frame_idx", "track_id", F.lit(None).cast("bigint").alias("duplicate_of"), F.lit(None).cast("double").alias("duplicate_iou"))
+    return found.unionByName(rest)
 
 
 def spaced_best(samples: DataFrame, keys: list[str], time: str, quality_: str, gap: float, most: int) -> DataFrame:
