@@ -31,21 +31,29 @@ def similarities(truth: DataFrame, tracks: DataFrame) -> DataFrame:
     return a.join(b, ["seq", "t"], "full").select("seq", "t", "gt_id", "tr_id", F.coalesce(g.iou(F.col("_a"), F.col("_b")), F.lit(0.0)).alias("sim"))
 
 
+def _coded(ids: pd.Series) -> tuple[np.ndarray, dict]:
+    """Ids as numbers from 0 in their order, -1 for null, and the numbers by id."""
+    codes, names = pd.factorize(ids, sort=True)
+    return codes.astype(np.int64), {x: i for i, x in enumerate(names)}
+
+
 class Sequence:
     """Frames of one sequence in order, ids from 0."""
 
     def __init__(self, rows: pd.DataFrame):
-        self.gt = {x: i for i, x in enumerate(sorted(rows["gt_id"].dropna().unique()))}
-        self.tr = {x: i for i, x in enumerate(sorted(rows["tr_id"].dropna().unique()))}
+        rows = rows.sort_values("t", kind="stable")
+        gt, self.gt = _coded(rows["gt_id"])
+        tr, self.tr = _coded(rows["tr_id"])
+        t, sim = rows["t"].to_numpy(), rows["sim"].to_numpy(float)
+        cuts = [*np.flatnonzero(np.r_[True, t[1:] != t[:-1]]).tolist(), len(t)] if len(t) else [0]
         self.frames: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for _, f in rows.sort_values("t").groupby("t"):
-            a, b = sorted(f["gt_id"].dropna().unique()), sorted(f["tr_id"].dropna().unique())
-            sim = np.zeros((len(a), len(b)))
-            at, to = {x: i for i, x in enumerate(a)}, {x: i for i, x in enumerate(b)}
-            for x, y, s in zip(f["gt_id"], f["tr_id"], f["sim"], strict=True):
-                if x in at and y in to:
-                    sim[at[x], to[y]] = s
-            self.frames.append((np.array([self.gt[x] for x in a], int), np.array([self.tr[x] for x in b], int), sim))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            x, y = gt[lo:hi], tr[lo:hi]
+            a, b = np.unique(x[x >= 0]), np.unique(y[y >= 0])
+            both = (x >= 0) & (y >= 0)
+            matrix = np.zeros((len(a), len(b)))
+            matrix[np.searchsorted(a, x[both]), np.searchsorted(b, y[both])] = sim[lo:hi][both]
+            self.frames.append((a, b, matrix))
         self.n_gt = sum(len(a) for a, _, _ in self.frames)
         self.n_tr = sum(len(b) for _, b, _ in self.frames)
 
