@@ -73,6 +73,19 @@ def test_sets_over_the_threshold_are_alike_in_a_range(percent):
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_links_over_the_last_class_bound(spark, monkeypatch, percent):
+    """Two sets on both sides of the bound where the smaller one's table of classes ended, each in a chunk of its own."""
+    monkeypatch.setattr(trie_join, "LONGEST", 64)
+    bounds = trie_join.Ranges(percent, 400).first.tolist()
+    for k in (bounds.index(63), bounds.index(211)):
+        rows = [(i, " ".join(f"v{j}" for j in range(n))) for i, n in ((1, bounds[k] - 2), (2, bounds[k] + 2))]
+        keys = [{r["gram"] for r in trie_join.range_keys(frame(spark, [row]), "doc_id", "text", 1, percent).collect()} for row in rows]
+        assert keys[0] & keys[1]
+        out = trie_join.ngram_components(frame(spark, rows).repartition(2, "doc_id"), n=1, percent=percent).collect()
+        assert {r["doc_id"]: r["component_id"] for r in out} == {1: 1, 2: 1}
+
+
 def test_empty_table(spark):
     out = trie_join.ngram_components(frame(spark, []))
     assert out.count() == 0 and "component_id" in out.columns

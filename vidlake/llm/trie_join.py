@@ -72,11 +72,12 @@ class Ranges:
     Sets whose sizes lie in one class [first, end) differ by D n-grams at most, if they are over the threshold; of
     D + 1 + spare ranges of the order, at most D hold a difference. So the sets are equal in spare + 1 ranges or more,
     one of which is not empty unless more than ``spare`` ranges of a set are: then its empty ranges count as well.
+    The classes reach beyond ``longest`` to the largest set that one of that size can be linked with.
     """
 
     def __init__(self, percent: int, longest: int, ratio: float = 1.5):
         first = [1]
-        while first[-1] <= longest:
+        while first[-1] <= longest * 100 // percent:
             first.append(max(first[-1] + 1, int(first[-1] * ratio)))
         self.percent, self.first = percent, np.array(first, np.int64)
         differ = 2 * (self.first[1:] - 1) * (100 - percent) // (100 + percent)
