@@ -49,7 +49,8 @@ def test_components_of_all_pairs(spark, n, percent):
 
 
 def test_groups_larger_than_blocks(spark, monkeypatch):
-    monkeypatch.setattr(trie_join, "BLOCK", 4)
+    for name, n in (("BLOCK", 4), ("SETS", 3), ("BYTES", 2000)):
+        monkeypatch.setattr(trie_join, name, n)
     rows = near_copies(77)
     out = trie_join.ngram_components(frame(spark, rows), n=3, percent=90).collect()
     assert {r["doc_id"]: r["component_id"] for r in out} == linked_components(rows, 3, 90)
@@ -69,8 +70,12 @@ def test_sets_over_the_threshold_are_alike_in_a_range(percent):
             both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
             if not len(b) or 100 * both < percent * either:
                 continue
-            keys, owner = trie_join.Ranges(percent, 1 << 14).keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+            keys, owner, _, leave = trie_join.Ranges(percent, 1 << 14).keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            shared = set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+            assert shared
+            # both leave as many keys as they may of the one class in which they must meet, shared ones first
+            own = trie_join.Ranges(percent, 1 << 14).keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))[2]
+            assert any(len(set(keys[(owner == 0) & (own == c)].tolist()) & shared) > max(leave[own == c], default=0) for c in np.unique(own))
 
 
 @pytest.mark.parametrize("percent", [80, 90])

@@ -1,16 +1,19 @@
 """Exact Jaccard self-join of n-gram sets through prefix trees.
 
 Sets of word n-grams are kept in one global order, that of their hashes, which is cut into ranges (class Ranges).
-Two sets over the threshold are alike in some range, so what a set holds in each range deals the sets into groups;
-a range holds several n-grams, so few sets meet by chance, in however large a corpus. A group's sets make a prefix
-tree - the sorted list of sequences with the lengths of common prefixes - which each set walks: what it shares with
-a prefix is counted once for all below it, and a branch is left as soon as the part of the set that is still to come
-cannot make up what is missing. Equal sets are joined first, and sets already known to be connected are not compared
-again, so groups of copies need no pair for each two.
+Two sets over the threshold are alike in several ranges, so what a set holds in each range deals the sets into groups.
+How many ranges at least is known, so a set leaves its largest groups, all but one of these many: two linked sets
+still meet in the smallest group that they share, and groups of a passage or phrase that many texts hold are left by all.
 
-Every set first meets the set that is the first of most of its groups; groups that still hold sets of several
-components are then joined whole, in blocks. So no link between different sets is lost, and no task gets more than two
-blocks of BLOCK texts.
+Each set meets the lead of each of its groups, the set with the most groups of its own, and is written as what it
+differs from that lead in. The differences of a lead's sets make a prefix tree - the sorted list of sequences with the
+lengths of common prefixes - which the sets walk: what they share with a prefix is counted once for all below it, and
+a branch is left by each set as soon as what is still to come on both sides cannot make up what is missing. Two sets
+differ in what only one of their differences holds, so the walk is exact, whatever the lead is.
+
+Equal sets are joined first, then sets with their leads; a tree is walked only where sets of several components are
+left, so groups of copies need no pair for each two. A lead with many sets is worked through in blocks of bounded
+size, each against each. No link between different sets is lost.
 
 A text with fewer words than n has its whole sequence as the one n-gram; a null text, or one without words, has
 no n-gram and is linked with nothing. Rows that repeat an id share its component. A row without an id gets none.
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidlake.llm.components import components
@@ -32,7 +35,8 @@ from vidlake.llm.sketch import Sketch, sketch_of, texts_of
 from vidlake.llm.storage import saved
 from vidlake.llm.text import chunks, mix, owners, shingles, words
 
-BLOCK = 128
+#: Texts that meet their lead in one go, and sets or bytes of differences of a lead that are walked at once, at most.
+BLOCK, SETS, BYTES = 512, 4096, 8 << 20
 
 
 def ngram_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,17 +65,13 @@ def _sequence(h: np.ndarray) -> np.uint64:
     return total[0]
 
 
-def needed(n: np.ndarray | int, percent: int):
-    """The least overlap of a set of n with any set at the threshold."""
-    return (percent * n + 99) // 100
-
-
 class Ranges:
     """Cuts the global order into ranges so that two sets over the threshold are alike in one of them at least.
 
     Sets whose sizes lie in one class [first, end) differ by D n-grams at most, if they are over the threshold; of
-    D + 1 + spare ranges of the order, at most D hold a difference. So the sets are equal in spare + 1 ranges or more,
-    one of which is not empty unless more than ``spare`` ranges of a set are: then its empty ranges count as well.
+    D + 1 + spare ranges of the order, at most D hold a difference. So the sets are equal in spare + 1 ranges or more.
+    A set with E empty ranges shares spare + 1 - E or more that are not; a set with more than ``spare`` of them counts
+    its empty ranges as well.
     The classes reach beyond ``longest`` to the largest set that one of that size can be linked with.
     """
 
@@ -95,10 +95,10 @@ class Ranges:
             ok[ok] = 100 * size[sets[ok]] >= self.percent * self.first[c[ok]]
             sets, c = sets[ok], c[ok]
 
-    def keys(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(key, set) of all ranges; values: the sets' n-grams in order of set and hash."""
+    def keys(self, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, set, class, how many of a set's keys of a class it may leave) of all ranges; values: the sets' n-grams in order of set and hash."""
         size = np.diff(at)
-        held, owners_ = [], []
+        out: list[tuple[np.ndarray, ...]] = []
         for sets, c in self.classes(size):
             cuts = self.cuts[c]
             base = np.cumsum(cuts) - cuts
@@ -113,9 +113,10 @@ class Ranges:
             for k in np.flatnonzero(empty > self.spare[c]):
                 bare = np.setdiff1d(np.arange(base[k], base[k] + cuts[k]), slots[of == k])
                 slots, total, of = np.r_[slots, bare], np.r_[total, np.zeros(len(bare), np.uint64)], np.r_[of, np.full(len(bare), k)]
-            held.append(mix(total ^ mix((c[of] * (1 << 40) + slots - base[of]).astype(np.uint64))))
-            owners_.append(sets[of])
-        return (np.concatenate(held), np.concatenate(owners_)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            key = mix(total ^ mix((c[of] * (1 << 40) + slots - base[of]).astype(np.uint64)))
+            out.append((key, sets[of], c[of], np.maximum(self.spare[c] - empty, 0)[of]))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none.view(np.uint64), none, none, none)
 
 
 def _spare(differ: int, least: int) -> int:
@@ -147,8 +148,12 @@ def measured(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id bigint, size bigint, sum1 bigint, sum2 bigint")
 
 
-def range_keys(docs: DataFrame, key: str, text: str, n: int, percent: int, shared: Sketch | None = None, among: Sketch | None = None) -> DataFrame:
-    """(gram, id): keys of all ranges of each set; only those that may be in ``shared``, of ids that may be in ``among``, if these are given."""
+def range_keys(docs: DataFrame, key: str, text: str, n: int, percent: int, among: Sketch | None = None, shared: Sketch | None = None) -> DataFrame:
+    """Keys of all ranges of each set of ids that may be in ``among``.
+
+    Without ``shared``: (gram). With it: (gram, id, of, may_leave) of keys that may be in it, of sets and classes (of) that
+    have more of these than they may leave.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges(percent, LONGEST)
         for batch in batches:
@@ -159,114 +164,207 @@ def range_keys(docs: DataFrame, key: str, text: str, n: int, percent: int, share
             for lo, hi, data, offs in chunks(batch.column(1)):
                 values, at = ngram_sets(data, offs, n)
                 longest = int(np.diff(at).max(initial=0))
-                keys, owner = (ranges if longest < LONGEST else Ranges(percent, longest + 1)).keys(values, at)
-                if shared is not None:
-                    held = shared.may_hold(keys)
-                    keys, owner = keys[held], owner[held]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo:hi][owner])], ["gram", "id"])
+                keys, owner, cls, leave = (ranges if longest < LONGEST else Ranges(percent, longest + 1)).keys(values, at)
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["gram"])
+                    continue
+                held = shared.may_hold(keys)
+                keys, owner, cls, leave = keys[held], owner[held], cls[held], leave[held]
+                _, part, many = np.unique(owner << 8 | cls, return_inverse=True, return_counts=True)
+                kept = many[part] > leave
+                keys, owner, cls, leave = keys[kept], owner[kept], cls[kept], leave[kept]
+                sums = np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])[at])[owner]
+                of = mix(sums ^ cls.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[lo:hi][owner]), pa.array(of.view(np.int64)), pa.array(leave.astype(np.int32))], ["gram", "id", "of", "may_leave"])
+
+    schema = "gram bigint" if shared is None else "gram bigint, id bigint, of bigint, may_leave int"
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, schema)
+
+
+def allowed(sizes, percent: int):
+    """How many n-grams only one of two sets may hold, if they have so many together."""
+    return (100 - percent) * sizes // (100 + percent)
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "gram bigint, id bigint")
 
+class Tree:
+    """A block's sets as sorted sequences of numbers, frequent n-grams first, and for each number the sets that hold it.
 
-class Block:
-    """A block's sets as numbers of n-grams in the global order, and for each n-gram the sets that hold it."""
+    What more than half of the sets hold is taken out of these and put into the others, which changes no difference.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
-        flat = np.concatenate(sets)
-        self.size = np.array([len(x) for x in sets], np.int64)
-        names, number = np.unique(flat, return_inverse=True)
+        names, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        size = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        centre = np.flatnonzero(2 * times > len(sets))
+        if len(centre):
+            has = np.zeros((len(sets), len(centre)), bool)
+            inside = np.flatnonzero(2 * times[number] > len(sets))
+            has[owner[inside], np.searchsorted(centre, number[inside])] = True
+            lacks, which = np.nonzero(~has)
+            outside = np.flatnonzero(2 * times[number] <= len(sets))
+            number, owner = np.r_[number[outside], centre[which]], np.r_[owner[outside], lacks]
+        times = np.bincount(number, minlength=len(names))
+        rank = np.empty(len(names), np.int64)
+        rank[np.lexsort((names, -times))] = np.arange(len(names))
+        number = rank[number]
+        order = np.lexsort((number, owner))
+        self.number, owner, self.n = number[order], owner[order], len(names)
+        self.size = np.bincount(owner, minlength=len(sets))
         self.at = np.concatenate([[0], np.cumsum(self.size)])
-        self.number, self.n = number.astype(np.int64), len(names)
-        owner = owners(self.at)
         order = np.argsort(self.number, kind="stable")
         self.holders, self.start = owner[order], np.searchsorted(self.number[order], np.arange(self.n + 1))
-        self.places = owner * (self.n + 1) + self.number  # in order of set and n-gram
+        self.places = owner * (self.n + 1) + self.number  # in order of set and number
         self.base = np.arange(len(sets), dtype=np.int64) * (self.n + 1)
+        # the leaves in order, and the length of the prefix that each shares with the one before
+        self.order = sorted(range(len(sets)), key=lambda i: self.sequence(i).astype(">u4").tobytes())
+        self.shared = np.zeros(len(sets), np.int64)
+        for k in range(1, len(sets)):
+            a, b = self.sequence(self.order[k - 1]), self.sequence(self.order[k])
+            m = min(len(a), len(b))
+            off = np.flatnonzero(a[:m] != b[:m])
+            self.shared[k] = int(off[0]) if len(off) else m
 
     def sequence(self, i: int) -> np.ndarray:
         return self.number[self.at[i] : self.at[i + 1]]
 
-    def counted(self, grams: np.ndarray) -> np.ndarray:
-        """How many of the n-grams each set holds."""
-        first, n = self.start[grams], self.start[grams + 1] - self.start[grams]
+    def counted(self, numbers: np.ndarray) -> np.ndarray:
+        """How many of the numbers each set holds."""
+        first, n = self.start[numbers], self.start[numbers + 1] - self.start[numbers]
         place = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         return np.bincount(self.holders[place], minlength=len(self.size))
 
-    def left(self, gram: int) -> np.ndarray:
-        """How many n-grams of each set come after this one."""
-        return self.at[1:] - np.searchsorted(self.places, self.base + gram, "right")
+    def left(self, sets: np.ndarray, number: int) -> np.ndarray:
+        """How many numbers of each set come after this one."""
+        return self.at[sets + 1] - np.searchsorted(self.places, self.base[sets] + number, "right")
 
 
-def walk(sets: list[np.ndarray], percent: int, group: list[int]) -> list[tuple[int, int]]:
-    """Links that connect what the threshold connects. group: sets of one number are known to be connected.
+def walk(differences: list[np.ndarray], sizes: np.ndarray, percent: int, group: list[int]) -> list[tuple[int, int]]:
+    """Links that connect what the threshold connects. differences: from one set that is the same for all; sizes: of the
+    whole sets; group: sets of one number are known to be connected.
 
-    All sets walk the prefix tree together: at a node each knows its overlap with the prefix, which is made once for all
-    sequences below; a node is left when no set can reach its least overlap with what comes after the prefix.
+    All sets go down the tree together: each knows its overlap with the prefix, which is made once for all sequences
+    below, and stays only as long as it can differ from some of them little enough.
     """
-    block = Block(sets)
-    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-    shared = np.zeros(len(order), np.int64)  # length of the prefix shared with the sequence before
-    for k in range(1, len(order)):
-        a, b = sets[order[k - 1]], sets[order[k]]
-        m = min(len(a), len(b))
-        off = np.flatnonzero(a[:m] != b[:m])
-        shared[k] = int(off[0]) if len(off) else m
-    least = needed(block.size, percent)
+    tree = Tree(differences)
+    order, shared, size = np.array(tree.order), tree.shared, tree.size
     component = np.unique(np.array(group), return_inverse=True)[1]
     links: list[tuple[int, int]] = []
-    nodes = [(0, len(order), 0, np.zeros(len(sets), np.int64))]
+    every = np.arange(len(sizes))
+    nodes = [(0, len(order), 0, every, np.zeros(len(every), np.int64))]
     while nodes:
-        lo, hi, depth, over = nodes.pop()
-        y = block.sequence(order[lo])
+        lo, hi, depth, rows, over = nodes.pop()
+        y = tree.sequence(order[lo])
         end = len(y) if hi - lo == 1 else int(shared[lo + 1 : hi].min())
+        below = order[lo:hi]
         if end > depth:
-            over = over + block.counted(y[depth:end])
-            if not (over + block.left(int(y[end - 1])) >= least).any():
+            over = over + tree.counted(y[depth:end])[rows]
+            left = tree.left(rows, int(y[end - 1]))
+            best = np.clip(end + left, size[below].min(), size[below].max())
+            least = size[rows] + best - 2 * (over + np.minimum(left, best - end))
+            stay = least <= allowed(sizes[rows] + sizes[below].max(), percent)
+            kinds = component[below]
+            if (kinds == kinds[0]).all():
+                stay &= component[rows] != kinds[0]
+            rows, over = rows[stay], over[stay]
+            if not len(rows):
                 continue
         k = lo
-        while k < hi and block.size[order[k]] == end:
+        while k < hi and size[order[k]] == end:
             j = order[k]
-            hit = np.flatnonzero((100 * over >= percent * (block.size + end - over)) & (component != component[j]))
+            hit = rows[(size[rows] + end - 2 * over <= allowed(sizes[rows] + sizes[j], percent)) & (component[rows] != component[j])]
             for c in np.unique(component[hit]):
-                links.append((int(hit[component[hit] == c][0]), j))
+                links.append((int(hit[component[hit] == c][0]), int(j)))
             component[np.isin(component, component[hit])] = component[j]
             k += 1
         cuts = [k, *(k + 1 + np.flatnonzero(shared[k + 1 : hi] == end)).tolist(), hi] if k < hi else []
-        nodes += [(a, b, end, over) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        nodes += [(a, b, end, rows, over) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return links
 
 
-def joined(blocks: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) found in each block; blocks: cluster, block, id, grp and text, every block bounded."""
+def _dealt(blocks: DataFrame, *within: str) -> DataFrame:
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block", *within)
+
+
+def differing(met: DataFrame, n: int, percent: int) -> DataFrame:
+    """(cluster, id, size, whole, grams, linked) for each set and lead; met: cluster (the lead's id), block, later (false for the lead), id and text.
+
+    grams: hashes that only one of the set and its lead holds; where these are more, and for the lead, the whole set.
+    A lead with several texts is known by the one with the least set, the others are sets like any.
+    """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, groups, texts = None, [], [], []
+        key, first, out = None, [], []
+
+        def rows(cluster: int, id_: int, own: np.ndarray, lead: np.ndarray) -> tuple:
+            apart = np.setxor1d(own, lead, assume_unique=True)
+            whole = len(apart) >= len(own)
+            return cluster, id_, len(own), whole, (own if whole else apart).tobytes(), len(apart) <= allowed(len(own) + len(lead), percent)
+
+        for part in parts:
+            ids, blocks = part.column("id").to_pylist(), list(zip(part.column("cluster").to_pylist(), part.column("block").to_pylist(), strict=True))
+            later = part.column("later").to_pylist()
+            for lo, _, data, offs in chunks(part.column("text")):
+                values, at = ngram_sets(data, offs, n)
+                for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True), lo):
+                    own = values[a:b]
+                    if blocks[i] != key:
+                        key, first = blocks[i], []
+                    if not later[i]:
+                        first.append(own)
+                        first.sort(key=lambda x: (len(x), x.tobytes()))
+                        if key[1] == 0:
+                            out.append((key[0], ids[i], len(own), True, own.tobytes(), True))
+                    elif len(own):
+                        out.append(rows(key[0], ids[i], own, first[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 6, KINDS, strict=True)], NAMES)
+            out = []
+
+    return _dealt(met, "later").mapInArrow(run, "cluster bigint, id bigint, size bigint, whole boolean, grams binary, linked boolean")
+
+
+NAMES = ["cluster", "id", "size", "whole", "grams", "linked"]
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.bool_()]
+
+
+def joined(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in each block; blocks: cluster, block, id, grp, size, whole and grams, the lead's rows in each block."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
 
         def links() -> pa.RecordBatch:
-            out_a, out_b = [], []
-            if len(ids) > 1:
-                data = pa.array(texts, pa.string())
-                sets: list[np.ndarray] = []
-                for _, _, d, offs in chunks(data):
-                    values, at = ngram_sets(d, offs, n)
-                    sets += [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                for i, j in walk(sets, percent, groups):
-                    out_a.append(ids[i])
-                    out_b.append(ids[j])
-            return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            out: list[tuple[int, int]] = []
+            if len({r[1] for r in rows}) > 1:
+                sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+                lead = min((x for r, x in zip(rows, sets, strict=True) if r[0] == key[0] and r[3]), key=lambda x: (len(x), x.tobytes()))
+                apart = [np.setxor1d(x, lead, assume_unique=True) if r[3] else x for r, x in zip(rows, sets, strict=True)]
+                out = [(rows[i][0], rows[j][0]) for i, j in walk(apart, np.array([r[2] for r in rows], np.int64), percent, [r[1] for r in rows])]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for part in parts:
-            for c, b, i, g, t in zip(*(part.column(x).to_pylist() for x in ("cluster", "block", "id", "grp", "text")), strict=True):
+            for c, b, *row in zip(*(part.column(x).to_pylist() for x in ("cluster", "block", "id", "grp", "size", "whole", "grams")), strict=True):
                 if (c, b) != key:
                     yield links()
-                    key, ids, groups, texts = (c, b), [], [], []
-                ids.append(i)
-                groups.append(g)
-                texts.append(t)
+                    key, rows = (c, b), []
+                rows.append(row)
         yield links()
 
-    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block")
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return _dealt(blocks).mapInArrow(run, "a bigint, b bigint")
+
+
+def _groups(docs: DataFrame, key: str, text: str, n: int, percent: int, lone: DataFrame) -> DataFrame:
+    """(cluster, id): the leads of the groups that each set stays in, other than itself."""
+    among = sketch_of(lone, "id")
+    seen = range_keys(docs, key, text, n, percent, among).groupBy("gram").agg(F.count("*").alias("n"))
+    shared = sketch_of(saved(seen.filter("n > 1").select("gram")), "gram")
+    posts = saved(range_keys(docs, key, text, n, percent, among, shared).join(lone, "id", "left_semi").distinct())
+    # each set leaves its largest groups, as many as it may
+    counted = posts.join(posts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "gram")
+    own = Window.partitionBy("id", "of").orderBy(F.desc("n"), F.desc("gram"))
+    stays = counted.withColumn("rank", F.row_number().over(own)).filter("rank > may_leave").select("gram", "id").distinct()
+    stays = saved(stays.withColumn("weight", F.count("*").over(Window.partitionBy("id"))))
+    leads = stays.groupBy("gram").agg(F.max(F.struct("weight", (-F.col("id")).alias("id")))["id"].alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    return stays.join(leads, "gram").select((-F.col("lead")).alias("cluster"), "id").filter("cluster <> id").distinct()
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -275,40 +373,32 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     keyed = sets.filter("id is not null and size > 0")
     same = keyed.groupBy("size", "sum1", "sum2").agg(F.min("id").alias("rep"))
     classes = saved(keyed.select("id", "size", "sum1", "sum2").join(same, ["size", "sum1", "sum2"]).select("id", "rep").distinct())
-    lone = classes.filter("id = rep").select("id")
-    among = sketch_of(lone, "id")
-    # a set of its own for each class of equal ones; keys of one set only go no further
-    seen = range_keys(docs, key, text, n, percent, among=among).groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = saved(seen.filter("low < high").select("gram"))
-    posts = range_keys(docs, key, text, n, percent, sketch_of(shared, "gram"), among).join(lone, "id", "left_semi").join(shared, "gram", "left_semi")
-    posts = saved(posts.distinct())
-    groups = posts.groupBy("gram").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who"))
-    groups = saved(groups.filter("n > 1"))
-    texts = saved(texts_of(docs, key, text, posts.select("id").distinct()))
-
-    # each set meets the id that is smallest in the most of its groups
-    met = posts.join(groups.select("gram", "low"), "gram").filter("id <> low").groupBy("id", "low").agg(F.count("*").alias("k"))
-    pairs = saved(met.groupBy("id").agg(F.max(F.struct("k", (-F.col("low")).alias("low")))["low"].alias("low")).select((-F.col("low")).alias("cluster"), "id"))
-    sizes = pairs.groupBy("cluster").agg(F.ceil(F.count("*") / (BLOCK - 1)).alias("nb"))
-    members = pairs.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("id"), "nb").alias("block"), "id")
-    leads = sizes.select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("block"), F.col("cluster").alias("id"))
-    blocks = members.unionByName(leads).withColumn("grp", F.col("id")).join(texts, "id").select("cluster", "block", "id", "grp", "text")
-    links = saved(joined(blocks, n, percent))
+    pairs = saved(_groups(docs, key, text, n, percent, classes.filter("id = rep").select("id")))
+
+    # each set meets its leads
+    texts = saved(texts_of(docs, key, text, pairs.select("id").unionByName(pairs.select(F.col("cluster").alias("id"))).distinct()))
+    sizes = pairs.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
+    members = pairs.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("id"), "nb").alias("block"), "id", F.lit(True).alias("later"))
+    leads = sizes.select("cluster", F.explode(_upto("nb")).alias("block"), F.col("cluster").alias("id"), F.lit(False).alias("later"))
+    met = saved(differing(members.unionByName(leads).join(texts, "id").select("cluster", "block", "later", "id", "text"), n, percent))
+    links = met.filter("linked and cluster <> id").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
     first = components(links)
 
-    # groups that hold several components are joined whole: the largest component's sets against all others', and those among themselves
-    held = posts.join(groups.select("gram"), "gram").join(first, "id", "left").select("gram", "id", F.coalesce("component", "id").alias("grp"))
-    by = held.groupBy("gram", "grp").agg(F.count("*").alias("k"))
-    split = by.groupBy("gram").agg(F.count("*").alias("parts"), F.max(F.struct("k", "grp"))["grp"].alias("main")).filter("parts > 1")
-    kept = split.join(groups, "gram").groupBy("n", "low", "who").agg(F.min("gram").alias("gram"), F.min(F.struct("gram", "main"))["main"].alias("main"))
-    open_ = saved(held.join(kept.select("gram", "main"), "gram"))
-    counts = open_.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).alias("nb"), F.ceil(F.sum((F.col("grp") != F.col("main")).cast("long")) / BLOCK).alias("qb"))
-    marked = open_.join(counts, "gram").withColumns({"row": F.pmod(F.xxhash64("id"), "nb"), "ask": F.when(F.col("grp") != F.col("main"), F.pmod(F.xxhash64("id", F.lit(1)), "qb"))})
-    span = lambda m: F.sequence(F.lit(0).cast("long"), F.col(m) - 1)
-    as_row = marked.select("gram", "id", "grp", "row", F.explode(span("qb")).alias("ask"))
-    as_ask = marked.filter("ask is not null").select("gram", "id", "grp", F.explode(span("nb")).alias("row"), "ask")
-    wide = as_row.unionByName(as_ask).distinct().select(F.col("gram").alias("cluster"), F.struct("row", "ask").alias("block"), "id", "grp")
-    more = joined(wide.withColumn("block", F.concat_ws("/", "block.row", "block.ask")).join(texts, "id").select("cluster", "block", "id", "grp", "text"), n, percent)
+    # where a lead's sets are of several components: those outside the largest one against all, in blocks
+    held = met.select("cluster", "id", F.length("grams").alias("bytes")).join(first, "id", "left").withColumn("grp", F.coalesce("component", "id"))
+    by = held.groupBy("cluster", "grp").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes"))
+    blocks = lambda k, bytes_: F.ceil(F.greatest(k / SETS, bytes_ / BYTES))
+    split = by.groupBy("cluster").agg(F.count("*").alias("parts"), F.max(F.struct("k", "grp", "bytes")).alias("main"), F.sum("k").alias("k"), F.sum("bytes").alias("bytes")).filter("parts > 1")
+    split = saved(split.select("cluster", F.col("main.grp").alias("main"), blocks(F.col("k"), F.col("bytes")).alias("nb"), blocks(F.col("k") - F.col("main.k"), F.col("bytes") - F.col("main.bytes")).alias("qb")))
+    open_ = met.drop("linked").join(split, "cluster").join(first, "id", "left").withColumn("grp", F.coalesce("component", "id"))
+    kept = ["cluster", "id", "grp", "size", "whole", "grams"]
+    row, ask = F.pmod(F.xxhash64("id"), "nb"), F.pmod(F.xxhash64("id", F.lit(1)), "qb")
+    lead = F.col("id") == F.col("cluster")
+    at = F.when(lead, _upto(F.col("nb") * F.col("qb"))).otherwise(F.array_union(
+        F.transform(_upto("qb"), lambda a: row * F.col("qb") + a),
+        F.when(F.col("grp") != F.col("main"), F.transform(_upto("nb"), lambda r: r * F.col("qb") + ask)).otherwise(F.array().cast("array<bigint>")),
+    ))
+    more = joined(open_.select(*kept, F.explode(at).alias("block")), percent)
     total = components(links.unionByName(saved(more)))
 
     label = classes.join(total, classes["rep"] == total["id"], "left").select(classes["id"].alias("_id"), F.coalesce("component", "rep").alias("_component"))
@@ -319,6 +409,11 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     return out.withColumns({"n_shingles": F.coalesce("_size", F.lit(0)).cast("long"), "component_id": F.coalesce("_component", out[key]).cast("long")}).drop("_id", "_sid", "_component", "_size")
 
 
+def _upto(n: str | Column) -> Column:
+    """0 to n - 1."""
+    return F.sequence(F.lit(0).cast("long"), (F.col(n) if isinstance(n, str) else n) - 1)
+
+
 def op4(docs: DataFrame) -> DataFrame:
     return ngram_components(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
