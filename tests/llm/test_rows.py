@@ -79,17 +79,62 @@ def test_license_base_and_labels(spark):
 
 
 def plain_findings(text: str) -> list[tuple]:
-    """All rules over the text, then those that no better overlapping one beats."""
-    found = [(m.start(), m.end(), p, o, label) for o, label, key, rx, p, _ in licenses.rules() if key in text for m in re.finditer(rx, text)]
-    better = lambda b, a: b[0] < a[1] and a[0] < b[1] and b[3] != a[3] and (b[2], b[1] - b[0], -b[3]) > (a[2], a[1] - a[0], -a[3])
-    return sorted((a[0], a[1], a[4]) for a in found if not any(better(b, a) for b in found))
+    """All rules over the text with single spaces; the best first, each dropped if it is inside one that was kept."""
+    text = re.sub(r"\s*\n\s*(?:(?://+|/?\*+|#+|;+|--+|>+)(?=\s|$))?\s*|\s+", " ", text)
+    found = [(-p, m.start() - m.end(), o, m.start(), m.end(), label) for o, label, key, rx, p, _ in licenses.rules() if key in text for m in re.finditer(rx, text)]
+    kept: list[tuple] = []
+    for x in sorted(found):
+        if not any(y[3] <= x[3] and x[4] <= y[4] for y in kept):
+            kept.append(x)
+    return sorted(x[3:] for x in kept)
 
 
 def test_license_findings_by_brute_force(spark):
-    out = licenses.license_scan(docs(spark, LICENSED)).select("text", "findings").collect()
-    assert any(r["findings"] for r in out)
+    more = ["Licensed under the MIT License: zlib license", "licensed under the mit license: postgresql license and vim license", " ; ".join(["MIT License", "Apache License 2.0", "zlib license: mit"] * 70)]
+    out = licenses.license_scan(docs(spark, [*LICENSED, *enumerate(more, 500)])).select("doc_id", "text", "findings", "labels").collect()
+    assert sum(len(r["findings"]) for r in out) > 200
     for r in out:
-        assert sorted((f["start"], f["end"], f["label"]) for f in r["findings"]) == plain_findings(r["text"].lower())
+        assert sorted((f["start"], f["end"], f["label"]) for f in r["findings"]) == plain_findings((r["text"] or "").lower())
+    assert {r["doc_id"]: r["labels"] for r in out if r["doc_id"] in (500, 501)} == {500: "mit,zlib", 501: "mit,postgresql,vim"}
+
+
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without modification",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee",
+    "gpl": "as published by the Free Software Foundation",
+    "apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "cc-by-4.0": "Creative Commons Attribution 4.0 International",
+}
+
+
+def test_license_sentences_wrapped_anywhere(spark):
+    """A line break, with or without a comment mark, or two spaces, in every gap."""
+    rows = [(label, t.replace(" ", "\0", k + 1).replace("\0", " ", k).replace("\0", gap)) for label, t in WRAPPED.items() for k in range(t.count(" ")) for gap in ("\n", "\n * ", "\n# ", "\r\n// ", "  ")]
+    out = licenses.license_scan(docs(spark, list(enumerate(t for _, t in rows)))).select("doc_id", "labels").collect()
+    assert all(rows[r["doc_id"]][0] in r["labels"].split(",") for r in out)
+
+
+def test_license_keywords_and_gate():
+    """Every rule's keyword is in its regex as it stands, and so is one of the words that let a text be searched."""
+    made = licenses.rules()
+    assert len(made) >= 200 and len({rx for *_, rx, _, _ in made}) == len(made)
+    for _, label, key, rx, _, _ in made:
+        plain = rx.replace("\\.", ".").replace("[ -]", "-").replace("(?:public )?", "")
+        assert key in plain or key.replace(" ", "-") in plain or "(?:" in rx, (label, rx)
+        assert any(g in key or g in plain for g in licenses.GATE), (label, rx)
+
+
+def test_many_license_findings_in_one_text(spark):
+    import time
+
+    seconds = []
+    for n in (2_000, 16_000):
+        rows = docs(spark, [(1, "mit license zlib license " * n)])
+        began = time.perf_counter()
+        assert len(licenses.license_scan(rows).select("findings").first()[0]) == 2 * n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 30 * max(seconds[0], 0.5)
 
 
 URLS = ["https://WWW.Example.com/en/a?b#c", "http://a.example.com/en/x", "https://example.com/de/", "x.net/fr/", "ftp://shop.net/fr/a", "http://net/es/", "http://h?q", "http://com", "http://com/", None, "", "://", "http://a.net/es", "HTTP://U:P@B.COM:80/e/f;g", "http://casino.win/free-spins"]
