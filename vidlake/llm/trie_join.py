@@ -359,19 +359,19 @@ def _groups(docs: DataFrame, key: str, text: str, n: int, percent: int, lone: Da
     shared = sketch_of(saved(seen.filter("n > 1").select("gram")), "gram")
     posts = saved(range_keys(docs, key, text, n, percent, among, shared).join(lone, "id", "left_semi").distinct())
     # each set leaves its largest groups, as many as it may
-    counted = posts.join(posts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "gram")
+    counted = posts.join(saved(posts.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")), "gram")
     own = Window.partitionBy("id", "of").orderBy(F.desc("n"), F.desc("gram"))
     stays = counted.withColumn("rank", F.row_number().over(own)).filter("rank > may_leave").select("gram", "id").distinct()
     stays = saved(stays.withColumn("weight", F.count("*").over(Window.partitionBy("id"))))
     leads = stays.groupBy("gram").agg(F.max(F.struct("weight", (-F.col("id")).alias("id")))["id"].alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    return stays.join(leads, "gram").select((-F.col("lead")).alias("cluster"), "id").filter("cluster <> id").distinct()
+    return stays.join(saved(leads), "gram").select((-F.col("lead")).alias("cluster"), "id").filter("cluster <> id").distinct()
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """Adds n_shingles and component_id: the smallest id reachable over links of Jaccard similarity percent/100 or more."""
     sets = saved(measured(docs, key, text, n))
     keyed = sets.filter("id is not null and size > 0")
-    same = keyed.groupBy("size", "sum1", "sum2").agg(F.min("id").alias("rep"))
+    same = saved(keyed.groupBy("size", "sum1", "sum2").agg(F.min("id").alias("rep")))  # apart from the join, so that a hot class can be split there
     classes = saved(keyed.select("id", "size", "sum1", "sum2").join(same, ["size", "sum1", "sum2"]).select("id", "rep").distinct())
     pairs = saved(_groups(docs, key, text, n, percent, classes.filter("id = rep").select("id")))
 
