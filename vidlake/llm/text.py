@@ -117,6 +117,19 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
     return out, valid
 
 
+def runs(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``shingles``, for long runs of words: one sum for all of them."""
+    n = len(hashes)
+    up, down = _powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(hashes) * up[:n], out=total[1:])
+    out = np.zeros(n, np.uint64)
+    if n >= k:
+        out[: n - k + 1] = mix((total[k:] - total[: n - k + 1]) * down[: n - k + 1])
+    size = np.diff(at)
+    return out, np.arange(n) - np.repeat(at[:-1], size) + k <= np.repeat(size, size)
+
+
 def owners(at: np.ndarray) -> np.ndarray:
     """The text that each word belongs to."""
     return np.repeat(np.arange(len(at) - 1), np.diff(at))
