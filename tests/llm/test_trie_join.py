@@ -49,7 +49,7 @@ def test_components_of_all_pairs(spark, n, percent):
 
 
 def test_groups_larger_than_blocks(spark, monkeypatch):
-    for name, n in (("BLOCK", 4), ("SETS", 3), ("BYTES", 2000)):
+    for name, n in (("BLOCK", 4), ("CHARACTERS", 3000), ("SETS", 3), ("BYTES", 2000)):
         monkeypatch.setattr(trie_join, name, n)
     rows = near_copies(77)
     out = trie_join.ngram_components(frame(spark, rows), n=3, percent=90).collect()

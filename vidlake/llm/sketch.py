@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from vidlake.llm.text import mix
 
-#: Bits at most (16 MB).
-LIMIT = 1 << 27
+#: Bits at most (8 MB), and words of 64 bits that come to the driver as one value.
+LIMIT, PIECE = 1 << 26, 1 << 13
 
 
 class Sketch:
@@ -41,9 +41,18 @@ def sketch_of(keys: DataFrame, column: str) -> Sketch:
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(word[first]), pa.array((np.bitwise_or.reduceat(bit, first) if len(first) else bit).view(np.int64))], ["word", "bits"])
 
-    rows = keys.select(column).filter(F.col(column).isNotNull()).mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    def piece(words: pa.Table) -> pa.Table:
+        whole = np.zeros(min(PIECE, size // 64), np.uint64)
+        at = words.column("word").to_numpy()
+        np.bitwise_or.at(whole, at % PIECE, words.column("bits").to_numpy().view(np.uint64))
+        return pa.table({"piece": pa.array([int(at[0]) // PIECE], pa.int64()), "bits": pa.array([whole.tobytes()], pa.binary())})
+
+    made = keys.select(column).filter(F.col(column).isNotNull()).mapInArrow(run, "word bigint, bits bigint")
+    pieces = made.groupBy(F.floor(F.col("word") / PIECE).alias("_piece")).applyInArrow(piece, "piece bigint, bits binary")
     words = np.zeros(size // 64, np.uint64)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    for row in pieces.collect():
+        held = np.frombuffer(row["bits"], np.uint64)
+        words[row["piece"] * PIECE : row["piece"] * PIECE + len(held)] = held
     return Sketch(words)
 
 

@@ -12,8 +12,8 @@ a branch is left by each set as soon as what is still to come on both sides cann
 differ in what only one of their differences holds, so the walk is exact, whatever the lead is.
 
 Equal sets are joined first, then sets with their leads; a tree is walked only where sets of several components are
-left, so groups of copies need no pair for each two. A lead with many sets is worked through in blocks of bounded
-size, each against each. No link between different sets is lost.
+left, so groups of copies need no pair for each two. A lead with few sets has its tree walked at once; one with many is
+worked through in blocks of bounded size, each against each. No link between different sets is lost.
 
 A text with fewer words than n has its whole sequence as the one n-gram; a null text, or one without words, has
 no n-gram and is linked with nothing. Rows that repeat an id share its component. A row without an id gets none.
@@ -35,8 +35,8 @@ from vidlake.llm.sketch import Sketch, sketch_of, texts_of
 from vidlake.llm.storage import saved
 from vidlake.llm.text import chunks, mix, owners, shingles, words
 
-#: Texts that meet their lead in one go, and sets or bytes of differences of a lead that are walked at once, at most.
-BLOCK, SETS, BYTES = 512, 4096, 8 << 20
+#: Texts and their length that meet their lead in one go, and sets or bytes of differences of a lead that are walked at once.
+BLOCK, CHARACTERS, SETS, BYTES = 512, 8 << 20, 4096, 8 << 20
 
 
 def ngram_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,37 +288,47 @@ def _dealt(blocks: DataFrame, *within: str) -> DataFrame:
 
 
 def differing(met: DataFrame, n: int, percent: int) -> DataFrame:
-    """(cluster, id, size, whole, grams, linked) for each set and lead; met: cluster (the lead's id), block, later (false for the lead), id and text.
+    """(cluster, id, size, whole, grams, linked): links of leads with one block of sets; for others a row for each set.
 
-    grams: hashes that only one of the set and its lead holds; where these are more, and for the lead, the whole set.
-    A lead with several texts is known by the one with the least set, the others are sets like any.
+    met: cluster (the lead's id), block, nb (its number of blocks), later (false for the lead), id and text. A link has
+    its ends in cluster and id, and no grams. Otherwise these are hashes that only one of the set and its lead holds;
+    where they are more, and for the lead, the whole set. A lead with several texts is known by the one with the least
+    set, the others are sets like any.
     """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, out = None, [], []
-
-        def rows(cluster: int, id_: int, own: np.ndarray, lead: np.ndarray) -> tuple:
-            apart = np.setxor1d(own, lead, assume_unique=True)
-            whole = len(apart) >= len(own)
-            return cluster, id_, len(own), whole, (own if whole else apart).tobytes(), len(apart) <= allowed(len(own) + len(lead), percent)
+        key, ids, sets, n_first = None, [], [], 0
+
+        def found() -> Iterator[tuple]:
+            if not sets:
+                return
+            order = sorted(range(n_first), key=lambda i: (len(sets[i]), sets[i].tobytes()))
+            lead = sets[order[0]]
+            apart = [np.setxor1d(x, lead, assume_unique=True) for x in sets]
+            if key[2] == 1:
+                if len(set(ids)) > 1:
+                    for i, j in walk(apart, np.array([len(x) for x in sets], np.int64), percent, ids):
+                        yield ids[i], ids[j], 0, None, None, True
+                return
+            for k in range(0 if key[1] == 0 else n_first, len(sets)):
+                whole = k == order[0] or len(apart[k]) >= len(sets[k])
+                yield key[0], ids[k], len(sets[k]), whole, (sets[k] if whole else apart[k]).tobytes(), len(apart[k]) <= allowed(len(sets[k]) + len(lead), percent)
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 6, KINDS, strict=True)], NAMES)
 
         for part in parts:
-            ids, blocks = part.column("id").to_pylist(), list(zip(part.column("cluster").to_pylist(), part.column("block").to_pylist(), strict=True))
-            later = part.column("later").to_pylist()
+            rows = list(zip(*(part.column(c).to_pylist() for c in ("cluster", "block", "nb", "later", "id")), strict=True))
             for lo, _, data, offs in chunks(part.column("text")):
                 values, at = ngram_sets(data, offs, n)
                 for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True), lo):
-                    own = values[a:b]
-                    if blocks[i] != key:
-                        key, first = blocks[i], []
-                    if not later[i]:
-                        first.append(own)
-                        first.sort(key=lambda x: (len(x), x.tobytes()))
-                        if key[1] == 0:
-                            out.append((key[0], ids[i], len(own), True, own.tobytes(), True))
-                    elif len(own):
-                        out.append(rows(key[0], ids[i], own, first[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 6, KINDS, strict=True)], NAMES)
-            out = []
+                    if rows[i][:3] != key:
+                        yield batch(list(found()))
+                        key, ids, sets, n_first = rows[i][:3], [], [], 0
+                    if b > a:
+                        n_first += not rows[i][3]
+                        ids.append(rows[i][4])
+                        sets.append(values[a:b])
+        yield batch(list(found()))
 
     return _dealt(met, "later").mapInArrow(run, "cluster bigint, id bigint, size bigint, whole boolean, grams binary, linked boolean")
 
@@ -363,8 +373,11 @@ def _groups(docs: DataFrame, key: str, text: str, n: int, percent: int, lone: Da
     own = Window.partitionBy("id", "of").orderBy(F.desc("n"), F.desc("gram"))
     stays = counted.withColumn("rank", F.row_number().over(own)).filter("rank > may_leave").select("gram", "id").distinct()
     stays = saved(stays.withColumn("weight", F.count("*").over(Window.partitionBy("id"))))
-    leads = stays.groupBy("gram").agg(F.max(F.struct("weight", (-F.col("id")).alias("id")))["id"].alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    return stays.join(saved(leads), "gram").select((-F.col("lead")).alias("cluster"), "id").filter("cluster <> id").distinct()
+    # then groups choose among the leads of most groups, so that sets have few leads
+    first = lambda t, *by: t.groupBy("gram").agg(F.max(F.struct(*by, (-F.col("id")).alias("id")))["id"].alias("lead"), F.count("*").alias("n")).filter("n > 1").withColumn("lead", -F.col("lead"))
+    often = saved(first(stays, "weight").groupBy(F.col("lead").alias("id")).agg(F.count("*").alias("groups")))
+    leads = saved(first(stays.join(often, "id", "left").na.fill(0, ["groups"]), "groups", "weight"))
+    return stays.join(leads, "gram").select(F.col("lead").alias("cluster"), "id").filter("cluster <> id").distinct()
 
 
 def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -377,14 +390,16 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
 
     # each set meets its leads
     texts = saved(texts_of(docs, key, text, pairs.select("id").unionByName(pairs.select(F.col("cluster").alias("id"))).distinct()))
-    sizes = pairs.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-    members = pairs.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("id"), "nb").alias("block"), "id", F.lit(True).alias("later"))
-    leads = sizes.select("cluster", F.explode(_upto("nb")).alias("block"), F.col("cluster").alias("id"), F.lit(False).alias("later"))
-    met = saved(differing(members.unionByName(leads).join(texts, "id").select("cluster", "block", "later", "id", "text"), n, percent))
+    long = texts.groupBy("id").agg(F.sum(F.length("text")).alias("long"))
+    sizes = pairs.join(long, "id").groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("long") / CHARACTERS)).alias("nb"))
+    members = pairs.join(sizes, "cluster").select("cluster", F.pmod(F.xxhash64("id"), "nb").alias("block"), "nb", "id", F.lit(True).alias("later"))
+    leads = sizes.select("cluster", F.explode(_upto("nb")).alias("block"), "nb", F.col("cluster").alias("id"), F.lit(False).alias("later"))
+    met = saved(differing(members.unionByName(leads).join(texts, "id").select("cluster", "block", "nb", "later", "id", "text"), n, percent))
     links = met.filter("linked and cluster <> id").select(F.col("cluster").alias("a"), F.col("id").alias("b"))
+    met = met.filter("grams is not null")
     first = components(links)
 
-    # where a lead's sets are of several components: those outside the largest one against all, in blocks
+    # where the sets of a lead with many are of several components: those outside the largest one against all, in blocks
     held = met.select("cluster", "id", F.length("grams").alias("bytes")).join(first, "id", "left").withColumn("grp", F.coalesce("component", "id"))
     by = held.groupBy("cluster", "grp").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes"))
     blocks = lambda k, bytes_: F.ceil(F.greatest(k / SETS, bytes_ / BYTES))
