@@ -50,18 +50,24 @@ def max_score(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def most_pairs(seeds: list[int], edges: dict[int, list[int]]) -> dict[int, int]:
     """Matching with the most pairs: seeds in order, each along an augmenting path over its edges in order. Left to right."""
     left_of: dict[int, int] = {}
-
-    def place(i: int, tried: set[int]) -> bool:
-        for j in edges.get(i, ()):
-            if j not in tried:
-                tried.add(j)
-                if j not in left_of or place(left_of[j], tried):
-                    left_of[j] = i
-                    return True
-        return False
-
-    for i in seeds:
-        place(i, set())
+    for seed in seeds:
+        tried: set[int] = set()
+        # the path so far: a left node and the edges that it has not tried; taken: the right node that each goes to
+        path, taken = [(seed, iter(edges.get(seed, ())))], []
+        while path:
+            j = next((x for x in path[-1][1] if x not in tried), None)
+            if j is None:
+                path.pop()
+                if taken:
+                    taken.pop()
+                continue
+            tried.add(j)
+            taken.append(j)
+            if j not in left_of:
+                for (i, _), right in zip(path, taken, strict=True):
+                    left_of[right] = i
+                break
+            path.append((left_of[j], iter(edges.get(left_of[j], ()))))
     return {i: j for j, i in left_of.items()}
 
 

@@ -192,7 +192,7 @@ def track_precision(hits: DataFrame, by: list[str], n_truth: str, recalls: list[
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "pred")
     at = hits.withColumns({"_tp": F.sum(F.col("hit").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(w)})
     at = at.withColumns({"_r": v.ratio(F.col("_tp"), F.col(n_truth)), "_p": F.col("_tp") / F.col("_n")})
-    at = at.withColumn("_e", F.max("_p").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    at = at.withColumn("_e", F.max("_p").over(Window.partitionBy(*by).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)))
     wanted = at.withColumn("_want", F.explode(F.array(*map(F.lit, recalls))))
     point = wanted.groupBy(*by, "_want").agg(F.coalesce(F.max(F.when(F.col("_r") >= F.col("_want"), F.col("_e"))), F.lit(0.0)).alias("_v"))
     return point.groupBy(*by).agg(F.avg("_v").alias("ap"))

@@ -76,7 +76,8 @@ def envelope_ap(ranked: DataFrame, by: list[str], order: list[Column], hit: str,
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     at = ranked.withColumns({"_tp": F.sum(F.col(hit).cast("long")).over(run), "_n": F.row_number().over(w)})
     at = at.withColumns({"_p": F.col("_tp") / F.col("_n"), "_r": v.ratio(F.col("_tp"), F.col(n_truth))})
-    at = at.withColumns({"_e": F.max("_p").over(w.rowsBetween(0, Window.unboundedFollowing)), "_d": F.col("_r") - F.coalesce(F.lag("_r").over(w), F.lit(0.0))})
+    back = Window.partitionBy(*by).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)  # one pass from the right
+    at = at.withColumns({"_e": F.max("_p").over(back), "_d": F.col("_r") - F.coalesce(F.lag("_r").over(w), F.lit(0.0))})
     return at.groupBy(*by).agg(F.sum(F.col("_d") * F.col("_e")).alias("ap"))
 
 

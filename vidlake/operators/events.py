@@ -48,7 +48,7 @@ def event_intervals(points: DataFrame, fps: float, cadence: int, frame_count: in
 def numbered_events(events: DataFrame, video: Column) -> DataFrame:
     """Ids by start, end, identity and label, from E00001 in each video."""
     place = F.row_number().over(Window.partitionBy(video).orderBy("start_frame", "end_frame", "identity", "event"))
-    return events.withColumn("event_id", F.concat(video.cast("string"), F.lit(":E"), F.lpad(place.cast("string"), 5, "0")))
+    return events.withColumn("event_id", F.concat(video.cast("string"), F.lit(":E"), F.format_string("%05d", place)))
 
 
 def cadence(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,7 +82,7 @@ def keep_accepted(actions: DataFrame, observations: DataFrame, keys: list[str])
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, tolerance: float, carried: list[str]) -> DataFrame:
     """For each left row, the right row of the same keys nearest in ``at`` (the earlier on ties, then the first by the carried columns); nulls beyond the tolerance.
 
-    Both sides go through one sort: each row sees the last right row at or before it and the first after it.
+    Both sides go through a sort each way: each row sees the last right row at or before it and the first after it.
     """
     own = [c for c in left.columns]
     r = right.groupBy(*keys, at).agg(F.min(F.struct(*carried)).alias("_s")).select(*keys, at, F.struct(F.col(at).alias("at"), *(F.col("_s")[c].alias(c) for c in carried)).alias("_right"), F.lit(0).alias("_side"))
@@ -90,7 +90,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, toleran
     both = r.unionByName(l_, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(at, "_side")
     back = F.last("_right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last("_right", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(at), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0))
     seen = both.withColumns({"_b": back, "_a": ahead}).filter("_side = 1")
     gap_b, gap_a = F.abs(F.col(at) - F.col("_b.at")), F.abs(F.col("_a.at") - F.col(at))
     best = F.when(gap_b.isNull() | (gap_a < gap_b), F.col("_a")).otherwise(F.col("_b"))

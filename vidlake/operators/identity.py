@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vidlake.functions import values as v
 from vidlake.operators.assignment import complete_link
+from vidlake.storage import saved
 
 
 def spaced(times: Column, gap: float) -> Column:
@@ -71,7 +72,7 @@ def follow(aliases: DataFrame, most: int = 16) -> DataFrame:
             return hop
         if not ahead.filter("id = _to").isEmpty():
             raise ValueError("aliases go round in a circle")
-        hop = ahead.select("id", F.coalesce("_to", "target").alias("target")).checkpoint() if aliases.sparkSession.sparkContext.getCheckpointDir() else ahead.select("id", F.coalesce("_to", "target").alias("target"))
+        hop = saved(ahead.select("id", F.coalesce("_to", "target").alias("target")))
     raise ValueError("aliases go round in a circle")
 
 

@@ -1,24 +1,28 @@
 """Tracking metrics of predictions against ground truth: CLEAR, identity, HOTA, VACE, counts.
 
-Input is a table of similarities for each sequence and frame; what recurs from frame to frame or needs one
-assignment for a sequence runs for each sequence by itself, and sequences are combined in SQL.
+All start from one table of frames: the ids of both sides in each, and the pairs whose boxes overlap. What a metric needs
+besides sums and joins is the pairing of largest summed weight: in each frame (HOTA, VACE), of whole tracks (identity,
+VACE), or frame after frame with pairs that last (CLEAR). Counts are sums for each sequence, ratios are taken after
+sequences are summed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidlake.functions import geometry as g
 from vidlake.functions import values as v
-from vidlake.operators.assignment import max_score, min_cost
+from vidlake.operators.assignment import max_score
+from vidlake.storage import saved
 
-ALPHAS = np.arange(1, 20) * 0.05
-EPS = np.finfo(float).eps
+#: Similarities from which HOTA counts a pair.
+ALPHAS = [k / 20 for k in range(1, 20)]
+EPS = float(np.finfo(float).eps)
 
 
 def similarities(truth: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -31,172 +35,168 @@ def similarities(truth: DataFrame, tracks: DataFrame) -> DataFrame:
     return a.join(b, ["seq", "t"], "full").select("seq", "t", "gt_id", "tr_id", F.coalesce(g.iou(F.col("_a"), F.col("_b")), F.lit(0.0)).alias("sim"))
 
 
-def _coded(ids: pd.Series) -> tuple[np.ndarray, dict]:
-    """Ids as numbers from 0 in their order, -1 for null, and the numbers by id."""
-    codes, names = pd.factorize(ids, sort=True)
-    return codes.astype(np.int64), {x: i for i, x in enumerate(names)}
-
-
-class Sequence:
-    """Frames of one sequence in order, ids from 0."""
-
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values("t", kind="stable")
-        gt, self.gt = _coded(rows["gt_id"])
-        tr, self.tr = _coded(rows["tr_id"])
-        t, sim = rows["t"].to_numpy(), rows["sim"].to_numpy(float)
-        cuts = [*np.flatnonzero(np.r_[True, t[1:] != t[:-1]]).tolist(), len(t)] if len(t) else [0]
-        self.frames: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            x, y = gt[lo:hi], tr[lo:hi]
-            a, b = np.unique(x[x >= 0]), np.unique(y[y >= 0])
-            both = (x >= 0) & (y >= 0)
-            matrix = np.zeros((len(a), len(b)))
-            matrix[np.searchsorted(a, x[both]), np.searchsorted(b, y[both])] = sim[lo:hi][both]
-            self.frames.append((a, b, matrix))
-        self.n_gt = sum(len(a) for a, _, _ in self.frames)
-        self.n_tr = sum(len(b) for _, b, _ in self.frames)
-
-
-def clear_counts(s: Sequence, least: float = 0.5) -> dict[str, float]:
-    """Counts of one sequence. A frame without truth or without tracks leaves the last frame's matches in place."""
-    out = dict.fromkeys(("tp", "fn", "fp", "idsw", "mt", "pt", "ml", "frag", "sim_sum"), 0.0)
-    n_gt = len(s.gt)
-    seen, hit, runs = np.zeros(n_gt), np.zeros(n_gt), np.zeros(n_gt)
-    last_ever, last = np.full(n_gt, -1), np.full(n_gt, -1)
-    if not s.n_gt or not s.n_tr:
-        return out | {"fn": float(s.n_gt), "fp": float(s.n_tr), "ml": float(n_gt)}
-    for a, b, sim in s.frames:
-        seen[a] += 1
-        if not len(a) or not len(b):
-            out["fn"] += len(a)
-            out["fp"] += len(b)
-            continue
-        score = 1000 * (b[None] == last[a][:, None]) + sim
-        score[sim < least - EPS] = 0
-        i, j = max_score(score)
-        ok = score[i, j] > EPS
-        i, j = i[ok], j[ok]
-        before = last_ever[a[i]]
-        out["idsw"] += ((before >= 0) & (before != b[j])).sum()
-        last_ever[a[i]] = b[j]
-        now = np.full(n_gt, -1)
-        now[a[i]] = b[j]
-        runs += (last < 0) & (now >= 0)
-        last = now
-        hit[a[i]] += 1
-        out["tp"] += len(i)
-        out["fn"] += len(a) - len(i)
-        out["fp"] += len(b) - len(i)
-        out["sim_sum"] += sim[i, j].sum()
-    share = hit[seen > 0] / seen[seen > 0]
-    out |= {"mt": float((share > 0.8).sum()), "pt": float(((share >= 0.2) & (share <= 0.8)).sum()), "frag": float(np.maximum(runs - 1, 0).sum())}
-    out["ml"] = n_gt - out["mt"] - out["pt"]
-    return out
-
-
-def identity_counts(s: Sequence, least: float = 0.5) -> dict[str, float]:
-    """True, false positive and missed detections under the one assignment of whole tracks that errs least."""
-    g_, t_ = len(s.gt), len(s.tr)
-    if not s.n_gt or not s.n_tr:
-        return {"idtp": 0.0, "idfn": float(s.n_gt), "idfp": float(s.n_tr)}
-    pot, n_g, n_t = np.zeros((g_, t_)), np.zeros(g_), np.zeros(t_)
-    for a, b, sim in s.frames:
-        i, j = np.nonzero(sim >= least)
-        np.add.at(pot, (a[i], b[j]), 1)
-        n_g[a] += 1
-        n_t[b] += 1
-    fn, fp = np.zeros((g_ + t_, g_ + t_)), np.zeros((g_ + t_, g_ + t_))
-    fp[g_:, :t_], fn[:g_, t_:] = 1e10, 1e10
-    fn[:g_, :t_], fp[:g_, :t_] = n_g[:, None] - pot, n_t[None] - pot
-    fn[np.arange(g_), t_ + np.arange(g_)] = n_g
-    fp[g_ + np.arange(t_), np.arange(t_)] = n_t
-    i, j = min_cost(fn + fp)
-    missed, false = fn[i, j].sum(), fp[i, j].sum()
-    return {"idtp": s.n_gt - missed, "idfn": missed, "idfp": false}
-
-
-def hota_counts(s: Sequence) -> list[dict[str, float]]:
-    """For each alpha: counts, and association sums weighted by true positives."""
-    if not s.n_gt or not s.n_tr:
-        return [{"alpha": float(a), "tp": 0.0, "fn": float(s.n_gt), "fp": float(s.n_tr), "ass_a": 0.0, "ass_re": 0.0, "ass_pr": 0.0, "loc": 0.0} for a in ALPHAS]
-    pot, n_g, n_t = np.zeros((len(s.gt), len(s.tr))), np.zeros(len(s.gt)), np.zeros(len(s.tr))
-    for a, b, sim in s.frames:
-        total = sim.sum(axis=0)[None] + sim.sum(axis=1)[:, None] - sim
-        pot[np.ix_(a, b)] += np.divide(sim, total, out=np.zeros_like(sim), where=total > EPS)
-        n_g[a] += 1
-        n_t[b] += 1
-    align = pot / (n_g[:, None] + n_t[None] - pot)
-    match = np.zeros((len(ALPHAS), *pot.shape))
-    tp, loc = np.zeros(len(ALPHAS)), np.zeros(len(ALPHAS))
-    for a, b, sim in s.frames:
-        if not len(a) or not len(b):
-            continue
-        i, j = max_score(align[np.ix_(a, b)] * sim)
-        for k, alpha in enumerate(ALPHAS):
-            ok = sim[i, j] >= alpha - EPS
-            match[k, a[i[ok]], b[j[ok]]] += 1
-            tp[k] += ok.sum()
-            loc[k] += sim[i[ok], j[ok]].sum()
-    out = []
-    for k, alpha in enumerate(ALPHAS):
-        m = match[k]
-        out.append({"alpha": float(alpha), "tp": tp[k], "fn": s.n_gt - tp[k], "fp": s.n_tr - tp[k], "loc": loc[k], "ass_a": (m * m / np.maximum(1, n_g[:, None] + n_t[None] - m)).sum(),
-                    "ass_re": (m * m / np.maximum(1, n_g[:, None])).sum(), "ass_pr": (m * m / np.maximum(1, n_t[None])).sum()})
-    return out
-
-
-def vace_counts(s: Sequence, least: float = 0.5) -> dict[str, float]:
-    """Sums behind average tracking accuracy and sequence frame detection accuracy."""
-    if not s.gt and not s.tr:
-        return {"stda": 0.0, "n_ids": 0.0, "fda": 0.0, "frames": 0.0}
-    pot, both, n_g, n_t = np.zeros((len(s.gt), len(s.tr))), np.zeros((len(s.gt), len(s.tr))), np.zeros(len(s.gt)), np.zeros(len(s.tr))
-    fda, frames = 0.0, 0
-    for a, b, sim in s.frames:
-        i, j = np.nonzero(sim >= least)
-        np.add.at(pot, (a[i], b[j]), 1)
-        both[np.ix_(a, b)] += 1
-        n_g[a] += 1
-        n_t[b] += 1
-        if len(a) + len(b):
-            frames += 1
-            if len(a) and len(b):
-                p, q = max_score(sim)
-                fda += sim[p, q].sum() / (0.5 * (len(a) + len(b)))
-    share = np.divide(pot, n_g[:, None] + n_t[None] - both, out=np.zeros_like(pot), where=n_g[:, None] + n_t[None] - both > 0)
-    i, j = max_score(share) if share.size else ([], [])
-    return {"stda": float(share[i, j].sum()) if share.size else 0.0, "n_ids": 0.5 * (len(s.gt) + len(s.tr)), "fda": fda, "frames": float(frames)}
-
-
-def per_sequence(sim: DataFrame, counts: Callable[[Sequence], dict | list[dict]], columns: list[str]) -> DataFrame:
-    """One row (or more) of counts for each sequence."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        made = counts(Sequence(rows))
-        out = pd.DataFrame(made if isinstance(made, list) else [made])
-        out.insert(0, "seq", rows["seq"].iloc[0])
-        return out[["seq", *columns]].astype({c: float for c in columns})
-
-    kind = dict(sim.dtypes)["seq"]
-    return sim.groupBy("seq").applyInPandas(run, f"seq {kind}, " + ", ".join(f"{c} double" for c in columns))
-
-
-CLEAR = ["tp", "fn", "fp", "idsw", "mt", "pt", "ml", "frag", "sim_sum"]
-
-
-def clear(sim: DataFrame) -> DataFrame:
-    return per_sequence(sim, clear_counts, CLEAR)
-
-
-def identity(sim: DataFrame) -> DataFrame:
-    return per_sequence(sim, identity_counts, ["idtp", "idfn", "idfp"])
+def frames(sim: DataFrame) -> DataFrame:
+    """(seq, t, gts, trs, pairs): a row for each frame with the ids of both sides and the pairs that are alike at all."""
+    pair = F.when(F.col("sim") > 0, F.struct("gt_id", "tr_id", F.col("sim").cast("double").alias("sim")))
+    return sim.groupBy("seq", "t").agg(F.collect_set("gt_id").alias("gts"), F.collect_set("tr_id").alias("trs"), F.collect_list(pair).alias("pairs"))
 
 
-def hota(sim: DataFrame) -> DataFrame:
-    return per_sequence(sim, hota_counts, ["alpha", "tp", "fn", "fp", "ass_a", "ass_re", "ass_pr", "loc"])
+def _kind(fr: DataFrame, name: str) -> str:
+    kinds = {f.name: f.dataType for f in fr.schema["pairs"].dataType.elementType.fields} | {f.name: f.dataType for f in fr.schema.fields}
+    return kinds[name].simpleString()
+
+
+def _pairs(fr: DataFrame) -> DataFrame:
+    return fr.select("seq", "t", F.inline("pairs"))
+
+
+def _lengths(fr: DataFrame, side: str, id_: str, n: str) -> DataFrame:
+    """In how many frames each id is."""
+    return fr.select("seq", F.explode(side).alias(id_)).groupBy("seq", id_).agg(F.count("*").alias(n))
+
+
+def _totals(fr: DataFrame) -> DataFrame:
+    return fr.groupBy("seq").agg(F.sum(F.size("gts")).alias("n_gt"), F.sum(F.size("trs")).alias("n_tr"), F.sum((F.size("gts") + F.size("trs") > 0).cast("long")).alias("frames"))
+
+
+def heaviest(gt: np.ndarray, tr: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which pairs make the pairing of the largest summed weight; ids are numbers, weights over zero."""
+    lone = (np.bincount(gt)[gt] == 1) & (np.bincount(tr)[tr] == 1)
+    rest = np.flatnonzero(~lone)
+    if len(rest):
+        rows, i = np.unique(gt[rest], return_inverse=True)
+        cols, j = np.unique(tr[rest], return_inverse=True)
+        made, at = np.zeros((len(rows), len(cols))), np.full((len(rows), len(cols)), -1)
+        made[i, j], at[i, j] = weight[rest], rest
+        taken = at[max_score(made)]
+        lone[taken[taken >= 0]] = True
+    return lone
+
 
+def _numbers(ids: pa.Array) -> np.ndarray:
+    return ids.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
-def vace(sim: DataFrame) -> DataFrame:
-    return per_sequence(sim, vace_counts, ["stda", "n_ids", "fda", "frames"])
+
+def best_pairs(pairs: DataFrame, by: list[str], weight: str) -> DataFrame:
+    """Of pairs (by, gt_id, tr_id and more) those of the pairing of the largest summed weight in each group; weights are over zero."""
+    def run(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for gt, tr, w in columns:
+            at = np.r_[0, np.cumsum(pa.compute.list_value_length(gt).to_numpy(zero_copy_only=False))].astype(np.int64)
+            i, j, x = _numbers(gt.flatten()), _numbers(tr.flatten()), w.flatten().to_numpy(zero_copy_only=False)
+            ok = np.zeros(len(i), bool)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ok[a:b] = heaviest(i[a:b], j[a:b], x[a:b])
+            yield pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ok))
+
+    held = pairs.groupBy(*by).agg(F.collect_list(F.struct(*(c for c in pairs.columns if c not in by))).alias("_p"))
+    ok = F.arrow_udf(run, "array<boolean>")(F.col("_p.gt_id"), F.col("_p.tr_id"), F.col(f"_p.{weight}").cast("array<double>"))
+    return held.select(*by, F.explode(F.arrays_zip(F.col("_p").alias("p"), ok.alias("ok"))).alias("_x")).filter("_x.ok").select(*by, "_x.p.*")
+
+
+def clear_matches(fr: DataFrame, least: float = 0.5) -> DataFrame:
+    """(seq, t, frame, gt_id, tr_id, sim): a truth keeps its last frame's track while they are alike enough; the others are paired so that similarities sum up to the most.
+
+    Frames of one sequence pass by in order, one at a time; frames without truth or without tracks are passed over. frame: number of the frame among the others.
+    """
+    names = ["seq", "t", "frame", "gt_id", "tr_id", "sim"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, last, frame = None, {}, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for s, t, pairs in zip(*(batch.column(x).to_pylist() for x in ("seq", "t", "pairs")), strict=True):
+                if s != seq:
+                    seq, last, frame = s, {}, 0
+                now = {p["gt_id"]: p for p in pairs if last.get(p["gt_id"]) == p["tr_id"]}
+                taken = {p["tr_id"] for p in now.values()}
+                free = [p for p in pairs if p["gt_id"] not in now and p["tr_id"] not in taken]
+                if free:
+                    number = lambda key: np.unique([p[key] for p in free], return_inverse=True)[1]  # noqa: E731, B023
+                    now |= {free[k]["gt_id"]: free[k] for k in np.flatnonzero(heaviest(number("gt_id"), number("tr_id"), np.array([p["sim"] for p in free]))).tolist()}
+                out += [(s, t, frame, i, p["tr_id"], p["sim"]) for i, p in now.items()]
+                last, frame = {i: p["tr_id"] for i, p in now.items()}, frame + 1
+            made = [batch.schema.field("seq").type, batch.schema.field("t").type, pa.int64(), *(batch.schema.field("pairs").type.value_type.field(x).type for x in names[3:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 6, made, strict=True)], names)
+
+    both = fr.filter((F.size("gts") > 0) & (F.size("trs") > 0)).select("seq", "t", F.filter("pairs", lambda p: p["sim"] >= least - EPS).alias("pairs"))
+    schema = f"seq {_kind(fr, 'seq')}, t {_kind(fr, 't')}, frame bigint, gt_id {_kind(fr, 'gt_id')}, tr_id {_kind(fr, 'tr_id')}, sim double"
+    return both.repartition("seq").sortWithinPartitions("seq", "t").mapInArrow(run, schema)
+
+
+CLEAR = ["tp", "fn", "fp", "idsw", "mt", "pt", "ml", "frag", "sim_sum", "frames"]
+
+
+def clear(sim: DataFrame, least: float = 0.5) -> DataFrame:
+    """Counts of each sequence: pairs, missed and false boxes, switches of track, truths by the share of their frames that are paired, and how often they are found anew."""
+    fr = saved(frames(sim))
+    before = Window.partitionBy("seq", "gt_id").orderBy("frame")
+    steps = clear_matches(fr, least).withColumns({"_tr": F.lag("tr_id").over(before), "_frame": F.lag("frame").over(before)})
+    anew = F.col("_frame").isNull() | (F.col("frame") - F.col("_frame") > 1)
+    found = steps.groupBy("seq", "gt_id").agg(F.count("*").alias("hits"), F.sum("sim").alias("sim"), F.count_if(F.col("_tr") != F.col("tr_id")).alias("switches"), F.count_if(anew).alias("runs"))
+    each = _lengths(fr, "gts", "gt_id", "n").join(found, ["seq", "gt_id"], "left").na.fill(0, ["hits", "sim", "switches", "runs"])
+    share = F.col("hits") / F.col("n")
+    made = each.groupBy("seq").agg(
+        F.sum("hits").alias("tp"), F.sum("switches").alias("idsw"), F.count_if(share > 0.8).alias("mt"), F.count_if((share >= 0.2) & (share <= 0.8)).alias("pt"),
+        F.count_if(share < 0.2).alias("ml"), F.sum(F.greatest(F.col("runs") - 1, F.lit(0))).alias("frag"), F.sum("sim").alias("sim_sum"),
+    )
+    out = _totals(fr).join(made, "seq", "left").na.fill(0).withColumns({"fn": F.col("n_gt") - F.col("tp"), "fp": F.col("n_tr") - F.col("tp")})
+    return out.select("seq", *(F.col(c).cast("double").alias(c) for c in CLEAR))
+
+
+def identity(sim: DataFrame, least: float = 0.5) -> DataFrame:
+    """Boxes under the one pairing of whole tracks that has the most frames in common: paired, missed and false."""
+    fr = saved(frames(sim))
+    shared = _pairs(fr).filter(F.col("sim") >= least).groupBy("seq", "gt_id", "tr_id").agg(F.count("*").alias("n"))
+    tp = best_pairs(shared, ["seq"], "n").groupBy("seq").agg(F.sum("n").alias("idtp"))
+    out = _totals(fr).join(tp, "seq", "left").na.fill(0)
+    made = {"idtp": F.col("idtp"), "idfn": F.col("n_gt") - F.col("idtp"), "idfp": F.col("n_tr") - F.col("idtp")}
+    return out.select("seq", *(c.cast("double").alias(n) for n, c in made.items()))
+
+
+def alignments(fr: DataFrame) -> DataFrame:
+    """(seq, gt_id, tr_id, n_gt, n_tr, align): how alike whole tracks are, each frame's similarity taken as a share of what both boxes have with any."""
+    p = _pairs(fr)
+    sums = {n: F.sum("sim").over(Window.partitionBy("seq", "t", id_)) for n, id_ in (("_g", "gt_id"), ("_t", "tr_id"))}
+    soft = p.repartition("seq", "t").withColumns(sums).withColumn("x", F.col("sim") / (F.col("_g") + F.col("_t") - F.col("sim")))
+    summed = soft.groupBy("seq", "gt_id", "tr_id").agg(F.sum("x").alias("x"))
+    made = summed.join(_lengths(fr, "gts", "gt_id", "n_gt"), ["seq", "gt_id"]).join(_lengths(fr, "trs", "tr_id", "n_tr"), ["seq", "tr_id"])
+    return made.select("seq", "gt_id", "tr_id", "n_gt", "n_tr", (F.col("x") / (F.col("n_gt") + F.col("n_tr") - F.col("x"))).alias("align"))
+
+
+HOTA = ["alpha", "tp", "fn", "fp", "ass_a", "ass_re", "ass_pr", "loc"]
+
+
+def hota(sim: DataFrame) -> DataFrame:
+    """For each sequence and alpha: counts, and association and localisation sums weighted by true positives."""
+    fr = saved(frames(sim))
+    align = saved(alignments(fr))
+    scored = _pairs(fr).join(align, ["seq", "gt_id", "tr_id"]).select("seq", "t", "gt_id", "tr_id", "sim", (F.col("align") * F.col("sim")).alias("score"))
+    level = F.size(F.filter(F.array(*(F.lit(a - EPS) for a in ALPHAS)), lambda a: F.col("sim") >= a))
+    by_level = best_pairs(scored, ["seq", "t"], "score").groupBy("seq", "gt_id", "tr_id", level.alias("level")).agg(F.count("*").alias("n"), F.sum("sim").alias("loc"))
+    alphas = F.explode(F.filter(F.array(*(F.struct(F.lit(k + 1).alias("k"), F.lit(a).alias("alpha")) for k, a in enumerate(ALPHAS))), lambda a: a["k"] <= F.col("level")))
+    each = by_level.select("*", alphas.alias("_a")).groupBy("seq", F.col("_a.alpha").alias("alpha"), "gt_id", "tr_id").agg(F.sum("n").alias("n"), F.sum("loc").alias("loc"))
+    each = each.join(align, ["seq", "gt_id", "tr_id"])
+    square = lambda below: F.sum(F.col("n") * F.col("n") / below)
+    made = each.groupBy("seq", "alpha").agg(F.sum("n").alias("tp"), F.sum("loc").alias("loc"), square(F.col("n_gt") + F.col("n_tr") - F.col("n")).alias("ass_a"), square(F.col("n_gt")).alias("ass_re"), square(F.col("n_tr")).alias("ass_pr"))
+    every = _totals(fr).withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
+    out = every.join(made, ["seq", "alpha"], "left").na.fill(0).withColumns({"fn": F.col("n_gt") - F.col("tp"), "fp": F.col("n_tr") - F.col("tp")})
+    return out.select("seq", *(F.col(c).cast("double").alias(c) for c in HOTA))
+
+
+def vace(sim: DataFrame, least: float = 0.5) -> DataFrame:
+    """Sums behind average tracking accuracy (over the pairing of whole tracks) and sequence frame detection accuracy (over that of each frame)."""
+    fr = saved(frames(sim))
+    alike = _pairs(fr).filter(F.col("sim") >= least).groupBy("seq", "gt_id", "tr_id").agg(F.count("*").alias("n"))
+    met = fr.select("seq", F.explode("gts").alias("gt_id"), "trs").select("seq", "gt_id", F.explode("trs").alias("tr_id")).groupBy("seq", "gt_id", "tr_id").agg(F.count("*").alias("both"))
+    lengths = [_lengths(fr, "gts", "gt_id", "a"), _lengths(fr, "trs", "tr_id", "b")]
+    share = alike.join(met, ["seq", "gt_id", "tr_id"]).join(lengths[0], ["seq", "gt_id"]).join(lengths[1], ["seq", "tr_id"])
+    share = share.select("seq", "gt_id", "tr_id", (F.col("n") / (F.col("a") + F.col("b") - F.col("both"))).alias("share"))
+    stda = best_pairs(share, ["seq"], "share").groupBy("seq").agg(F.sum("share").alias("stda"))
+    fda = best_pairs(_pairs(fr), ["seq", "t"], "sim").groupBy("seq", "t").agg(F.sum("sim").alias("sim")).join(fr.select("seq", "t", (F.size("gts") + F.size("trs")).alias("n")), ["seq", "t"])
+    fda = fda.groupBy("seq").agg(F.sum(F.col("sim") / (0.5 * F.col("n"))).alias("fda"))
+    ids = lengths[0].select("seq").unionByName(lengths[1].select("seq")).groupBy("seq").agg((0.5 * F.count("*")).alias("n_ids"))
+    out = _totals(fr).select("seq", "frames").join(stda, "seq", "left").join(fda, "seq", "left").join(ids, "seq", "left").na.fill(0)
+    return out.select("seq", *(F.col(c).cast("double").alias(c) for c in ("stda", "n_ids", "fda", "frames")))
 
 
 def combined(counts: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -206,11 +206,13 @@ def combined(counts: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def clear_finals(c: DataFrame) -> DataFrame:
-    gt = F.col("tp") + F.col("fn")
+    gt, ids = F.col("tp") + F.col("fn"), F.col("mt") + F.col("pt") + F.col("ml")
     return c.withColumns({
         "mota": v.ratio(F.col("tp") - F.col("fp") - F.col("idsw"), gt), "moda": v.ratio(F.col("tp") - F.col("fp"), gt), "smota": v.ratio(F.col("sim_sum") - F.col("fp") - F.col("idsw"), gt),
         "motal": v.ratio(F.col("tp") - F.col("fp") - F.when(F.col("idsw") > 0, F.log10(F.greatest("idsw", F.lit(1.0)))).otherwise(0.0), gt),
         "motp": v.ratio(F.col("sim_sum"), F.col("tp")), "f1": v.ratio(F.col("tp"), F.col("tp") + 0.5 * F.col("fn") + 0.5 * F.col("fp")),
+        "recall": v.ratio(F.col("tp"), gt), "precision": v.ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+        "mtr": v.ratio(F.col("mt"), ids), "ptr": v.ratio(F.col("pt"), ids), "mlr": v.ratio(F.col("ml"), ids), "fp_per_frame": v.ratio(F.col("fp"), F.col("frames")),
     })
 
 
@@ -219,11 +221,16 @@ def identity_finals(c: DataFrame) -> DataFrame:
 
 
 def hota_finals(c: DataFrame, by: list[str]) -> DataFrame:
-    """Means over alpha of the combined counts' scores."""
+    """Means over alpha of the combined counts' scores, and the scores at the least alpha."""
     tp = F.greatest("tp", F.lit(1.0))
-    at = c.withColumns({"det_a": v.ratio(F.col("tp"), F.col("tp") + F.col("fn") + F.col("fp")), "_ass": F.col("ass_a") / tp, "ass_r": F.col("ass_re") / tp, "ass_p": F.col("ass_pr") / tp, "loc_a": F.greatest(F.lit(1e-10), F.col("loc")) / F.greatest(F.lit(1e-10), F.col("tp"))})
-    at = at.withColumn("hota", F.sqrt(F.col("det_a") * F.col("_ass")))
-    return at.groupBy(*by).agg(F.avg("hota").alias("hota"), F.avg("det_a").alias("det_a"), F.avg("_ass").alias("ass_a"), F.avg("ass_r").alias("ass_re"), F.avg("ass_p").alias("ass_pr"), F.avg("loc_a").alias("loc_a"))
+    at = c.withColumns({
+        "det_a": v.ratio(F.col("tp"), F.col("tp") + F.col("fn") + F.col("fp")), "det_re": v.ratio(F.col("tp"), F.col("tp") + F.col("fn")), "det_pr": v.ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+        "ass_a": F.col("ass_a") / tp, "ass_re": F.col("ass_re") / tp, "ass_pr": F.col("ass_pr") / tp, "loc_a": F.greatest(F.lit(1e-10), F.col("loc")) / F.greatest(F.lit(1e-10), F.col("tp")),
+    })
+    at = at.withColumns({"hota": F.sqrt(F.col("det_a") * F.col("ass_a")), "rhota": F.sqrt(F.col("det_re") * F.col("ass_a"))})
+    means = [F.avg(x).alias(x) for x in ("hota", "det_a", "ass_a", "det_re", "det_pr", "ass_re", "ass_pr", "loc_a", "rhota")]
+    at_least: list[Column] = [F.min_by(x, "alpha").alias(n) for x, n in (("hota", "hota_0"), ("loc_a", "loc_a_0"))]
+    return at.groupBy(*by).agg(*means, *at_least).withColumn("hota_loc_a_0", F.col("hota_0") * F.col("loc_a_0"))
 
 
 def vace_finals(c: DataFrame) -> DataFrame:

@@ -208,8 +208,8 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vqa(spark: SparkSession, d: str) -> DataFrame:
-    """Answers of the same turn, taken together, to the one of the first conversation."""
-    e = vw.table(spark, d, "events").groupBy(F.col("user_id")).agg(F.slice(F.array_sort(F.collect_list("event_type")), 1, 10).alias("answers"), F.max_by("event_type", "event_id").alias("said"))
+    """Answers of a user's turn, taken together, to the last of them."""
+    e = vw.table(spark, d, "events").groupBy("user_id", F.col("event_id") % 16).agg(F.collect_list("event_type").alias("answers"), F.max_by("event_type", "event_id").alias("said"))
     return evl.answer_accuracy(e, "said", "answers").select(R(F.col("accuracy")).alias("accuracy"))
 
 
@@ -265,7 +265,7 @@ QUERIES = {
     "identity_pair_f1": (pair_f1, """WITH e AS (SELECT vec_id, label, CASE WHEN vec_id % 11 > 0 THEN label * 2 + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END END AS person FROM embeddings),
       p AS (SELECT a.label = b.label AS t, coalesce(a.person = b.person, false) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id), c AS (SELECT count(*) FILTER (t AND s) AS tp, count(*) FILTER (s AND NOT t) AS fp, count(*) FILTER (t AND NOT s) AS fn FROM p) SELECT tp, fp, fn, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM c"""),
     "text_normalise": (answers, None),
-    "vqa_accuracy": (vqa, """WITH o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS n, max_by(event_type, event_id) OVER (PARTITION BY user_id) AS said FROM events), u AS (SELECT user_id, least(1.0, count(*) FILTER (n <= 10 AND event_type = said) / 3.0::DOUBLE) AS a FROM o GROUP BY 1) SELECT round(avg(a), 6) AS accuracy FROM u"""),
+    "vqa_accuracy": (vqa, """WITH o AS (SELECT user_id, event_id % 16 AS turn, event_type, max_by(event_type, event_id) OVER (PARTITION BY user_id, event_id % 16) AS said FROM events), u AS (SELECT user_id, turn, least(1.0, count(*) FILTER (event_type = said) / 3.0::DOUBLE) AS a FROM o GROUP BY 1, 2) SELECT round(avg(a), 6) AS accuracy FROM u"""),
     "grounding_recall": (grounding, f"""WITH {vw.INTERVALS}, t AS (SELECT actor, min(row("start", "end")) AS k, arg_min("start", "start") AS s FROM intervals WHERE side = 'O' GROUP BY 1), tt AS (SELECT actor, "start" AS s, "end" AS e FROM intervals WHERE side = 'O' QUALIFY row_number() OVER (PARTITION BY actor ORDER BY "start", "end") = 1),
       p AS (SELECT actor, "start" AS ps, "end" AS pe, row_number() OVER (PARTITION BY actor ORDER BY score DESC, "start", "end") AS n FROM intervals WHERE side = 'F'), j AS (SELECT tt.actor, n, (least(e, pe) - greatest(s, ps)) / (greatest(e, pe) - least(s, ps)) AS i FROM tt JOIN p USING (actor)),
       h AS (SELECT actor, coalesce(max(i) FILTER (n <= 1), -1) AS i1, coalesce(max(i) FILTER (n <= 5), -1) AS i5 FROM j GROUP BY 1) SELECT round(avg((i1 > 0.1)::INT), 6) AS r1_at_10, round(avg((i1 > 0.3)::INT), 6) AS r1_at_30, round(avg((i5 > 0.1)::INT), 6) AS r5_at_10, round(avg((i5 > 0.3)::INT), 6) AS r5_at_30 FROM h"""),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vidlake.functions import values as v
@@ -14,6 +14,11 @@ from vidlake.plans import views as vw
 R = lambda c, n=6: F.round(c, n)
 
 
+def _video() -> Column:
+    """The video of an event."""
+    return F.format_string("V%d", F.col("identity") % 20)
+
+
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
     return ev.event_intervals(vw.action_points(spark, d), vw.FPS, 60, vw.MINUTES)
 
@@ -30,7 +35,7 @@ made AS (SELECT identity, event, greatest(0, min(frame_idx) - 30) AS start_frame
 
 
 def event_ids(spark: SparkSession, d: str) -> DataFrame:
-    return ev.numbered_events(_intervals(spark, d).filter("support_count >= 2"), F.lit("events")).select("event_id", "identity", "event", "start_frame", "end_frame")
+    return ev.numbered_events(_intervals(spark, d).filter("support_count >= 2"), _video()).select("event_id", "identity", "event", "start_frame", "end_frame")
 
 
 def reducers(spark: SparkSession, d: str) -> DataFrame:
@@ -82,22 +87,23 @@ def nearest_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
-    i = vw.intervals(spark, d)
-    a, b = i.filter("side = 'O'"), i.filter("side = 'F'")
+    i = vw.intervals(spark, d).withColumn("actor", F.col("actor") % 40)
+    """Orders with an even key against those with an odd one."""
+    a, b = i.filter("interval_id % 2 = 0"), i.filter("interval_id % 2 = 1")
     cols = ["label", "actor", "interval_id", "start", "end"]
     out = ev.overlapping(a.select(*cols), b.select(*cols), ["label", "actor"], 8.0, 0.2)
     return out.select("actor", "label", "a_interval_id", "b_interval_id", R(F.col("tiou")).alias("tiou"))
 
 
 def point_in_range(spark: SparkSession, d: str) -> DataFrame:
-    r = vw.intervals(spark, d).filter("interval_id % 4 = 0").select(F.col("label").alias("stage"), "interval_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
-    p = vw.intervals(spark, d).filter("interval_id % 50 = 1").select(F.col("label").alias("stage"), F.col("interval_id").alias("point_id"), F.col("start").alias("at"))
+    r = vw.intervals(spark, d).select(F.col("label").alias("stage"), "interval_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    p = vw.intervals(spark, d).select(F.col("label").alias("stage"), F.col("interval_id").alias("point_id"), F.col("start").alias("at"))
     return ev.near_ranges(p, r, ["stage"], 2.0, 3.0).select("stage", "point_id", "interval_id")
 
 
 def owner_unanimous(spark: SparkSession, d: str) -> DataFrame:
-    e = vw.table(spark, d, "orders").select((F.col("o_orderkey") % 3000).alias("event_id"), F.col("o_custkey").alias("track_id")).groupBy("event_id").agg(F.slice(F.array_sort(F.collect_set("track_id")), 1, 2).alias("track_ids"))
-    own = vw.table(spark, d, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("track_id"), F.col("c_mktsegment").alias("owner"))
+    e = vw.table(spark, d, "orders").select((F.col("o_orderkey") % 3000).alias("event_id"), F.col("o_custkey").alias("track_id")).groupBy("event_id").agg(F.collect_set("track_id").alias("track_ids"))
+    own = vw.table(spark, d, "customer").filter("c_custkey % 50 <> 0").select(F.col("c_custkey").alias("track_id"), F.when(F.col("c_nationkey") < 22, "home").otherwise("guest").alias("owner"))
     return ev.unanimous_owner(e, own)
 
 
@@ -138,8 +144,11 @@ def local_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def number_consensus(spark: SparkSession, d: str) -> DataFrame:
-    e = vw.table(spark, d, "events").select(F.col("user_id").alias("track"), v.jersey_number(F.floor(F.col("value") / 10).cast("string")).alias("number"), (F.col("event_id") / 100.0).alias("timestamp_s"))
-    return ident.number_consensus(e.filter("track % 2 = 0 or number = '3'"), "track", 5.0)
+    """Readings of a track's own number, of which a third of the tracks have another now and then and a fifth none."""
+    track = F.col("user_id")
+    said = F.when(track % 5 == 4, F.lit("?")).when((track % 3 == 0) & (F.col("event_id") % 11 == 0), (F.col("event_id") % 7).cast("string")).otherwise((track % 60).cast("string"))
+    e = vw.table(spark, d, "events").select(track.alias("track"), v.jersey_number(said).alias("number"), (F.col("event_id") / 100.0).alias("timestamp_s"))
+    return ident.number_consensus(e, "track", 5.0)
 
 
 def props_json(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +163,7 @@ def canonical_labels(spark: SparkSession, d: str) -> DataFrame:
 def player_events(spark: SparkSession, d: str) -> DataFrame:
     from vidlake.operators import catalog
 
-    e = ev.numbered_events(_intervals(spark, d), F.lit("events")).withColumn("player", F.col("identity") % 40)
+    e = ev.numbered_events(_intervals(spark, d), _video()).withColumn("player", F.col("identity") % 40)
     return catalog.player_events(e, 8, min_score=0.3).select("event_id", "identity", "event", "start_frame")
 
 
@@ -188,7 +197,7 @@ def smoothed(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "event_intervals": (event_intervals, f"WITH {RUNS} SELECT identity, event, start_frame, end_frame, round(start_frame / 25.0, 6)::DOUBLE AS \"start\", round((end_frame + 1) / 25.0, 6)::DOUBLE AS \"end\", round(raw_score, 6) AS raw_score, support_count, track_ids FROM made"),
-    "event_ids": (event_ids, f"WITH {RUNS} SELECT 'events:E' || lpad(row_number() OVER (ORDER BY start_frame, end_frame, identity, event)::VARCHAR, 5, '0') AS event_id, identity, event, start_frame, end_frame FROM made WHERE support_count >= 2"),
+    "event_ids": (event_ids, f"WITH {RUNS} SELECT printf('V%d:E%05d', identity % 20, row_number() OVER (PARTITION BY identity % 20 ORDER BY start_frame, end_frame, identity, event)) AS event_id, identity, event, start_frame, end_frame FROM made WHERE support_count >= 2"),
     "score_reducers": (reducers, f"WITH {RUNS} SELECT identity, event, start_frame, round(raw_score, 6) AS mean_score, round(mid_score, 6) AS median_score, round(top_score, 6) AS max_score FROM made"),
     "ranked_actions": (ranked, "SELECT event_id, event, round(max(s), 6) AS score FROM (SELECT event_id, event_type AS event, value + 1 AS s FROM events UNION ALL SELECT event_id, 'click', value / 2 FROM events) GROUP BY 1, 2"),
     "cadence_gcd": (cadence_gcd, f"WITH {vw.ACTION_POINTS}, f AS (SELECT DISTINCT identity, (frame_idx // 10) * 6 AS f FROM action_points), s AS (SELECT identity, f - lag(f) OVER (PARTITION BY identity ORDER BY f) AS d FROM f) SELECT identity, CASE WHEN count(d) > 0 THEN list_reduce(list(d) FILTER (d IS NOT NULL), lambda a, b: gcd(a, b)) END AS cadence FROM s GROUP BY identity"),
@@ -200,11 +209,11 @@ QUERIES = {
     "nearest_asof": (nearest_asof, f"""WITH {vw.ACTION_POINTS}, r AS (SELECT identity, frame_idx, max(score) AS score FROM action_points WHERE event = 'view' GROUP BY 1, 2),
       j AS (SELECT l.row_seq, r.frame_idx AS f, r.score AS s, row_number() OVER (PARTITION BY l.row_seq ORDER BY abs(r.frame_idx - l.frame_idx), r.frame_idx) AS n FROM action_points l LEFT JOIN r ON r.identity = l.identity AND abs(r.frame_idx - l.frame_idx) <= 600 WHERE l.event = 'click')
       SELECT row_seq, CASE WHEN s >= 0.1 THEN f END AS matched_frame_idx, CASE WHEN s >= 0.1 THEN round(s, 6) END AS matched_score FROM j WHERE n = 1"""),
-    "interval_overlap": (interval_overlap, f"""WITH {vw.INTERVALS}, p AS (SELECT a.actor, a.label, a.interval_id AS a_interval_id, b.interval_id AS b_interval_id, (least(a."end", b."end") - greatest(a."start", b."start")) / (greatest(a."end", b."end") - least(a."start", b."start")) AS t
-      FROM intervals a JOIN intervals b ON a.actor = b.actor AND a.label = b.label AND a."start" < b."end" AND b."start" < a."end" WHERE a.side = 'O' AND b.side = 'F') SELECT actor, label, a_interval_id, b_interval_id, round(t, 6) AS tiou FROM p WHERE t >= 0.2"""),
-    "point_in_range": (point_in_range, f"""WITH {vw.INTERVALS} SELECT p.label AS stage, p.interval_id AS point_id, r.interval_id FROM intervals p JOIN intervals r ON p.label = r.label AND p."start" BETWEEN r."start" - 2 AND r."end" + 2 WHERE p.interval_id % 50 = 1 AND r.interval_id % 4 = 0 AND r."end" - r."start" <= 3"""),
-    "owner_unanimous": (owner_unanimous, """WITH e AS (SELECT o_orderkey % 3000 AS event_id, list_sort(list_distinct(list(o_custkey)))[1:2] AS ids FROM orders GROUP BY 1), t AS (SELECT event_id, unnest(ids) AS t FROM e),
-      j AS (SELECT event_id, c_mktsegment AS o FROM t LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON c_custkey = t) SELECT event_id, CASE WHEN count(*) = count(o) AND min(o) = max(o) THEN min(o) END AS owner FROM j GROUP BY 1"""),
+    "interval_overlap": (interval_overlap, f"""WITH {vw.INTERVALS}, i AS (SELECT * REPLACE (actor % 40 AS actor) FROM intervals), p AS (SELECT a.actor, a.label, a.interval_id AS a_interval_id, b.interval_id AS b_interval_id, (least(a."end", b."end") - greatest(a."start", b."start")) / (greatest(a."end", b."end") - least(a."start", b."start")) AS t
+      FROM i a JOIN i b ON a.actor = b.actor AND a.label = b.label AND a."start" < b."end" AND b."start" < a."end" WHERE a.interval_id % 2 = 0 AND b.interval_id % 2 = 1) SELECT actor, label, a_interval_id, b_interval_id, round(t, 6) AS tiou FROM p WHERE t >= 0.2"""),
+    "point_in_range": (point_in_range, f"""WITH {vw.INTERVALS} SELECT p.label AS stage, p.interval_id AS point_id, r.interval_id FROM intervals p JOIN intervals r ON p.label = r.label AND p."start" BETWEEN r."start" - 2 AND r."end" + 2 WHERE r."end" - r."start" <= 3"""),
+    "owner_unanimous": (owner_unanimous, """WITH e AS (SELECT o_orderkey % 3000 AS event_id, list_distinct(list(o_custkey)) AS ids FROM orders GROUP BY 1), t AS (SELECT event_id, unnest(ids) AS t FROM e),
+      j AS (SELECT event_id, CASE WHEN c_custkey IS NULL THEN NULL WHEN c_nationkey < 22 THEN 'home' ELSE 'guest' END AS o FROM t LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 50 <> 0) ON c_custkey = t) SELECT event_id, CASE WHEN count(*) = count(o) AND min(o) = max(o) THEN min(o) END AS owner FROM j GROUP BY 1"""),
     "to_source_time": (to_source_time, f"""WITH {RUNS}, s AS (SELECT identity, event, identity % 25 AS clip, (identity % 25) * 100.0::DOUBLE + start_frame / 25.0::DOUBLE AS a, least((identity % 25) * 100.0::DOUBLE + (end_frame + 1) / 25.0::DOUBLE, (identity % 25) * 100.0::DOUBLE + 1500) AS b FROM made WHERE support_count >= 2)
       SELECT identity, event, clip, round(a, 6) AS source_start, round(b, 6) AS source_end FROM s WHERE b > a"""),
     "hop_windows": (hop_windows, "WITH c AS (SELECT c_custkey, (c_custkey % 97)::DOUBLE AS d FROM customer), w AS (SELECT c_custkey, d, unnest(range(0, (greatest(0, ceil((d - 20) / 14)) + 1)::BIGINT)) AS k FROM c) SELECT c_custkey, k AS \"window\", (k * 14)::DOUBLE AS \"start\", least(k * 14 + 20, d)::DOUBLE AS \"end\" FROM w"),
@@ -217,7 +226,7 @@ QUERIES = {
     "props_json": (props_json, "SELECT event_id, (props->>'k')::BIGINT AS k, CASE WHEN regexp_full_match(props->>'k', '0|00|[1-9][0-9]?') THEN props->>'k' END AS number FROM events"),
     "canonical_labels": (canonical_labels, """SELECT p_partkey, regexp_replace(lower(trim('  ' || upper(p_name) || ' _ ' || p_brand)), '[\\s_]+', '_', 'g') AS label, regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
       p_brand || ':T' || lpad(p_size::VARCHAR, 4, '0') AS uid, 'CL-' || sha256(p_name || chr(31) || p_size::VARCHAR)[1:20] AS clip_id FROM part"""),
-    "player_events": (player_events, f"WITH {RUNS}, n AS (SELECT *, 'events:E' || lpad(row_number() OVER (ORDER BY start_frame, end_frame, identity, event)::VARCHAR, 5, '0') AS event_id FROM made) SELECT event_id, identity, event, start_frame FROM n WHERE identity % 40 = 8 AND raw_score >= 0.3"),
+    "player_events": (player_events, f"WITH {RUNS}, n AS (SELECT *, printf('V%d:E%05d', identity % 20, row_number() OVER (PARTITION BY identity % 20 ORDER BY start_frame, end_frame, identity, event)) AS event_id FROM made) SELECT event_id, identity, event, start_frame FROM n WHERE identity % 40 = 8 AND raw_score >= 0.3"),
     "export_plan": (export_plan, f"WITH {RUNS} SELECT identity, event, round(greatest(0, start_frame / 25.0::DOUBLE - 2), 6)::DOUBLE AS from_s, round(least(1700, (end_frame + 1) / 25.0::DOUBLE + 2), 6)::DOUBLE AS to_s FROM made WHERE support_count >= 3 QUALIFY row_number() OVER (PARTITION BY identity, event ORDER BY raw_score DESC, start_frame) = 1"),
     "untrimmed_centres": (sampled_strata, "WITH c AS (SELECT n_nationkey, unnest(range(16, n_nationkey * 40 + 100, 32)) AS centre FROM nation) SELECT n_nationkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY centre) - 1 AS clip, centre FROM c"),
     "clip_indices": (clip_indices, "WITH f AS (SELECT p_partkey, p_size, list_transform(range(0, 16), lambda i: p_size + (i - 8) * 2) AS raw FROM part) SELECT p_partkey, array_to_string(list_transform(raw, lambda x: greatest(0, least(49, x))), ',') AS frames, list_min(raw) < 0 OR list_max(raw) > 49 AS padded FROM f"),

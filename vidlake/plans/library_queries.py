@@ -14,7 +14,7 @@ R = lambda c, n=6: F.round(c, n)
 
 def scope_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Orders by region, nation and segment: every level of the path."""
-    o = vw.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum((F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
+    o = vw.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
     c = vw.table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
     n = vw.table(spark, d, "nation").join(vw.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return catalog.scope_rollup(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")), ["r_name", "n_name", "c_mktsegment"], ["orders", "cents"])
@@ -48,12 +48,14 @@ def prototypes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_player(spark: SparkSession, d: str) -> DataFrame:
-    e = vw.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("player")).agg((F.min("o_totalprice") / 1e5).alias("distance"))
-    return ident.nearest_player(e, "key", 1.2, 0.1).select("key", "player", "decision", R(F.col("best")).alias("best"))
+    e = vw.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("player")).agg((F.min(F.round(F.col("o_totalprice") * 100)) / 1e7).alias("distance"))
+    return ident.nearest_player(e, "key", 1.2, 0.1).select("key", "player", "decision", R(F.col("best"), 8).alias("best"))
 
 
 def team_palette(spark: SparkSession, d: str) -> DataFrame:
-    c = vw.table(spark, d, "customer").select(F.col("c_nationkey").alias("clip"), F.col("c_custkey").alias("track_id"), F.col("c_mktsegment").alias("colour"))
+    """Two nations in three wear two colours, the others a colour for each segment."""
+    colour = F.when(F.col("c_nationkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.when(F.col("c_mktsegment") < "H", "dark").otherwise("light"))
+    c = vw.table(spark, d, "customer").select(F.col("c_nationkey").alias("clip"), F.col("c_custkey").alias("track_id"), colour.alias("colour"))
     return ident.team_palette(c, 2).select("clip", F.array_join("palette", ",").alias("palette"))
 
 
@@ -127,7 +129,7 @@ def distinct_best(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "scope_rollup": (scope_rollup, """WITH o AS (SELECT o_custkey, count(*) AS orders, sum((o_totalprice * 100)::BIGINT) AS cents FROM (SELECT o_custkey, trunc(o_totalprice * 100) / 100 AS o_totalprice FROM orders) GROUP BY 1)
+    "scope_rollup": (scope_rollup, """WITH o AS (SELECT o_custkey, count(*) AS orders, sum(round(o_totalprice * 100)::BIGINT) AS cents FROM orders GROUP BY 1)
       SELECT r_name, n_name, c_mktsegment, sum(orders)::BIGINT AS orders, sum(cents)::BIGINT AS cents, (grouping(r_name) + grouping(n_name) + grouping(c_mktsegment))::INT AS level FROM customer JOIN o ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ROLLUP (r_name, n_name, c_mktsegment)"""),
     "people_catalog": (people_catalog, """WITH e AS (SELECT user_id AS t, user_id % 50 AS person, event_id % 9 AS clip, value, event_type FROM events), w AS (SELECT person, count(*) AS n_members, count(DISTINCT clip) AS n_clips, count(*) AS n_events FROM e GROUP BY 1),
       b AS (SELECT person, t AS cover FROM e QUALIFY row_number() OVER (PARTITION BY person ORDER BY value DESC, t) = 1), k AS (SELECT person, string_agg(event_type || '=' || n::VARCHAR, ',' ORDER BY event_type) AS event_types FROM (SELECT person, event_type, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1)
@@ -137,9 +139,10 @@ QUERIES = {
     "dependency_closure": (dependency_closure, "WITH RECURSIVE r AS (SELECT p_partkey AS id FROM part WHERE p_partkey IN (2, 5) UNION SELECT p.p_partkey FROM part p JOIN r ON p.p_partkey // 3 = r.id) SELECT id FROM r"),
     "prototype_mean": (prototypes, """WITH f AS (SELECT label, (1 + vec_id % 3)::DOUBLE AS w, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, dim, sum(x * w) / sum(w) AS m FROM f GROUP BY 1, 2)
       SELECT label, dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS value FROM m"""),
-    "nearest_player": (nearest_player, """WITH e AS (SELECT o_custkey AS key, o_orderpriority AS player, min(o_totalprice) / 1e5 AS distance FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, player) AS n FROM e), t AS (SELECT key, min(distance) AS best, max(CASE WHEN n = 2 THEN distance END) AS second, max(CASE WHEN n = 1 THEN player END) AS p FROM r WHERE n <= 2 GROUP BY 1),
-      x AS (SELECT *, CASE WHEN best > 1.2 THEN 'new' WHEN second - best < 0.1 THEN 'ambiguous' ELSE 'match' END AS decision FROM t) SELECT key, CASE WHEN decision = 'match' THEN p END AS player, decision, round(best, 6) AS best FROM x"""),
-    "team_palette_k": (team_palette, None),
+    "nearest_player": (nearest_player, """WITH e AS (SELECT o_custkey AS key, o_orderpriority AS player, min(round(o_totalprice * 100)) / 1e7 AS distance FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, player) AS n FROM e), t AS (SELECT key, min(distance) AS best, max(CASE WHEN n = 2 THEN distance END) AS second, max(CASE WHEN n = 1 THEN player END) AS p FROM r WHERE n <= 2 GROUP BY 1),
+      x AS (SELECT *, CASE WHEN best > 1.2 THEN 'new' WHEN second - best < 0.1 THEN 'ambiguous' ELSE 'match' END AS decision FROM t) SELECT key, CASE WHEN decision = 'match' THEN p END AS player, decision, round(best, 8) AS best FROM x"""),
+    "team_palette": (team_palette, """WITH c AS (SELECT c_nationkey AS clip, c_custkey AS t, CASE WHEN c_nationkey % 3 = 0 THEN c_mktsegment WHEN c_mktsegment < 'H' THEN 'dark' ELSE 'light' END AS colour FROM customer),
+      n AS (SELECT clip, colour FROM c GROUP BY 1, 2 HAVING count(DISTINCT t) >= 2) SELECT clip, string_agg(colour, ',' ORDER BY colour) AS palette FROM n GROUP BY 1 HAVING count(*) = 2"""),
     "complete_link_k": (complete_link, None),
     "timeline_k": (timeline, None),
     "segment_plan_k": (segment_plan, None),

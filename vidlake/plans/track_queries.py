@@ -67,7 +67,7 @@ def duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gap_seconds(spark: SparkSession, d: str) -> DataFrame:
-    return tr.gaps(vw.tracks(spark, d).filter("frame_idx % 400 < 40"), FPS).select("video_id", "track_a", "track_b", "gap_frames", R(F.col("gap_s")).alias("gap_s"))
+    return tr.gaps(vw.tracks(spark, d), FPS).select("video_id", "track_a", "track_b", "gap_frames", R(F.col("gap_s")).alias("gap_s"))
 
 
 def suppressed(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +95,17 @@ def similarities(spark: SparkSession, d: str) -> DataFrame:
 
 def clear(spark: SparkSession, d: str) -> DataFrame:
     c = tm.clear(similarities(spark, d))
-    return tm.clear_finals(c).select("seq", *(F.round(x, 6).alias(x) for x in (*tm.CLEAR, "mota", "motp", "moda", "smota", "motal", "f1")))
+    return tm.clear_finals(c).select("seq", *(F.round(x, 6).alias(x) for x in (*tm.CLEAR, "mota", "motp", "moda", "smota", "motal", "f1", "recall", "precision", "mtr", "ptr", "mlr", "fp_per_frame")))
+
+
+def clear_trace(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of each frame that CLEAR counts."""
+    return tm.clear_matches(tm.frames(similarities(spark, d))).select("seq", "t", "gt_id", "tr_id", R(F.col("sim")).alias("sim"))
+
+
+def alignment(spark: SparkSession, d: str) -> DataFrame:
+    """How alike whole tracks are, before any are paired."""
+    return tm.alignments(tm.frames(similarities(spark, d))).select("seq", "gt_id", "tr_id", "n_gt", "n_tr", R(F.col("align")).alias("align"))
 
 
 def identity(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +115,7 @@ def identity(spark: SparkSession, d: str) -> DataFrame:
 def hota(spark: SparkSession, d: str) -> DataFrame:
     per = tm.hota(similarities(spark, d))
     every = tm.hota_finals(tm.combined(per, ["alpha"]).withColumn("seq", F.lit("all")), ["seq"])
-    return tm.hota_finals(per.withColumn("seq", F.col("seq").cast("string")), ["seq"]).unionByName(every).select("seq", *(F.round(x, 6).alias(x) for x in ("hota", "det_a", "ass_a", "ass_re", "ass_pr", "loc_a")))
+    return tm.hota_finals(per.withColumn("seq", F.col("seq").cast("string")), ["seq"]).unionByName(every).select("seq", *(F.round(x, 6).alias(x) for x in ("hota", "det_a", "ass_a", "det_re", "det_pr", "ass_re", "ass_pr", "loc_a", "rhota", "hota_0", "loc_a_0", "hota_loc_a_0")))
 
 
 def vace(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +181,7 @@ QUERIES = {
       round(i / greatest(least(sa, sb), 1), 6) AS contained, round(iou - CASE WHEN hull > 0 THEN (hull - (sa + sb - i)) / hull ELSE 0 END, 6) AS giou, CASE WHEN iou >= 0.5 THEN round(1 - iou, 6) END AS distance, round(greatest(0, 1 - sqrt((x1 - u1) ** 2 + (y1 - v1) ** 2) / 100), 6) AS near FROM q"""),
     "frame_duplicates": (duplicates, f"WITH {PAIRS} SELECT video_id, track_a, track_b, count(*) AS n_frames, string_agg(frame_idx::VARCHAR, ',' ORDER BY frame_idx) AS frames FROM q WHERE iou >= 0.7 GROUP BY 1, 2, 3"),
     "coobservation": (co_observed, f"WITH {PAIRS} SELECT video_id, track_a, track_b, count(*) AS common_frames, round(min(iou), 6) AS min_iou FROM q GROUP BY 1, 2, 3"),
-    "gap_seconds": (gap_seconds, f"""WITH {vw.TRACKS}, s AS (SELECT video_id, track_id, min(frame_idx) AS f, max(frame_idx) AS l FROM tracks WHERE frame_idx % 400 < 40 GROUP BY 1, 2)
+    "gap_seconds": (gap_seconds, f"""WITH {vw.TRACKS}, s AS (SELECT video_id, track_id, min(frame_idx) AS f, max(frame_idx) AS l FROM tracks GROUP BY 1, 2)
       SELECT a.video_id, a.track_id AS track_a, b.track_id AS track_b, greatest(0, greatest(a.f, b.f) - least(a.l, b.l) - 1) AS gap_frames, round(greatest(0, greatest(a.f, b.f) - least(a.l, b.l) - 1) / 25.0::DOUBLE, 6) AS gap_s FROM s a JOIN s b ON a.video_id = b.video_id AND a.track_id < b.track_id"""),
     "suppress_duplicates_k": (suppressed, None),
     "spaced_best_k": (spaced_best, None),
@@ -185,6 +195,13 @@ QUERIES = {
     "track_counts": (counts, f"WITH {SIDES} SELECT coalesce(g.seq, p.seq) AS seq, coalesce(gt_dets, 0) AS gt_dets, coalesce(gt_ids, 0) AS gt_ids, coalesce(tr_dets, 0) AS tr_dets, coalesce(tr_ids, 0) AS tr_ids FROM (SELECT seq, count(*) AS gt_dets, count(DISTINCT id) AS gt_ids FROM gt GROUP BY 1) g FULL JOIN (SELECT seq, count(*) AS tr_dets, count(DISTINCT id) AS tr_ids FROM pr GROUP BY 1) p ON g.seq = p.seq"),
     "cumulative_frames": (cumulative, f"WITH {SIDES}, b AS (SELECT seq, t, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM (SELECT seq, t, 1 AS a, 0 AS b FROM gt UNION ALL SELECT seq, t, 0, 1 FROM pr) GROUP BY 1, 2) SELECT seq, t, (sum(a) OVER w)::BIGINT AS gt_so_far, (sum(b) OVER w)::BIGINT AS pr_so_far FROM b WINDOW w AS (PARTITION BY seq ORDER BY t)"),
     "clear_k": (clear, None),
+    "clear_trace_k": (clear_trace, None),
+    "track_alignment": (alignment, f"""WITH {vw.TRACKS}, gt AS (SELECT video_id AS seq, frame_idx AS t, track_id AS id, x1, y1, x2, y2 FROM tracks),
+      pr AS (SELECT video_id AS seq, frame_idx AS t, track_id + CASE WHEN frame_idx % 500 > 450 THEN 40 ELSE 0 END AS id, x1 + CASE WHEN flag = 'R' THEN 6 ELSE 1 END AS x1, y1 + 2 AS y1, x2 + 3 AS x2, y2 + 2 AS y2 FROM tracks WHERE (track_id + frame_idx) % 9 <> 0),
+      p AS (SELECT seq, t, g.id AS gt_id, p.id AS tr_id, greatest(0, least(g.x2, p.x2) - greatest(g.x1, p.x1)) * greatest(0, least(g.y2, p.y2) - greatest(g.y1, p.y1)) AS i, (g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) AS s FROM gt g JOIN pr p USING (seq, t)),
+      q AS (SELECT seq, t, gt_id, tr_id, i / (s - i) AS sim FROM p WHERE i > 0), x AS (SELECT *, sim / (sum(sim) OVER (PARTITION BY seq, t, gt_id) + sum(sim) OVER (PARTITION BY seq, t, tr_id) - sim) AS x FROM q), m AS (SELECT seq, gt_id, tr_id, sum(x) AS x FROM x GROUP BY 1, 2, 3),
+      a AS (SELECT seq, id, count(*) AS n FROM gt GROUP BY 1, 2), b AS (SELECT seq, id, count(*) AS n FROM pr GROUP BY 1, 2)
+      SELECT m.seq, gt_id, tr_id, a.n AS n_gt, b.n AS n_tr, round(x / (a.n + b.n - x), 6) AS align FROM m JOIN a ON a.seq = m.seq AND a.id = gt_id JOIN b ON b.seq = m.seq AND b.id = tr_id"""),
     "identity_k": (identity, None),
     "hota_k": (hota, None),
     "vace_k": (vace, None),
