@@ -43,8 +43,10 @@ def test_base_score_by_counting(spark):
     assert all(r[6] < 0 and math.isfinite(r[6]) for r in got)
 
 
-def test_forward_recursion_of_whole_texts():
+@pytest.mark.parametrize("run", [3, 64, 1024])
+def test_forward_recursion_of_whole_texts(monkeypatch, run):
     """Products over runs give what the plain recursion gives, token after token."""
+    monkeypatch.setattr(hmm, "RUN", run)
     rnd = np.random.default_rng(1)
     k, classes = 5, 40
     model = hmm.Model(rnd.dirichlet(np.ones(k)), rnd.dirichlet(np.ones(k), k), rnd.dirichlet(np.ones(classes), k).T.copy())
@@ -61,8 +63,10 @@ def test_forward_recursion_of_whole_texts():
         at += n
 
 
-def test_expected_counts_of_runs():
-    """Expected starts, moves and states of short sequences, by summing over all paths."""
+@pytest.mark.parametrize("run", [1, 2, 3, 64])
+def test_expected_counts_of_whole_texts(monkeypatch, run):
+    """Expected starts, moves and states of short sequences, by summing over all paths, however runs are cut."""
+    monkeypatch.setattr(hmm, "RUN", run)
     from itertools import product
 
     rnd = np.random.default_rng(2)
@@ -98,6 +102,16 @@ def test_a_trained_model_is_better_than_counts(spark):
     assert out[0] > out[1]
 
 
+def test_columns_with_clashing_names(spark):
+    rows = corpus()[:20]
+    names = ["seq", "_row", "_learn", "rest", "base", "n_head", "h", "_kept0", "_text"]
+    plain = hmm.score_texts(frame(spark, rows), F.col("doc_id") % 2 == 0)
+    more = hmm.score_texts(frame(spark, rows).select("*", *(F.lit(f"x{i}").alias(n) for i, n in enumerate(names))), F.col("doc_id") % 2 == 0)
+    assert set(more.columns) == {*plain.columns, *names}
+    assert sorted(plain.select("doc_id", "n_known").collect()) == sorted(more.select("doc_id", "n_known").collect())
+    assert all(r["seq"] == "x0" and r["_text"] == "x8" for r in more.collect())
+
+
 def test_nothing_to_learn_from(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     out = {r["doc_id"]: r for r in hmm.score_texts(docs, F.lit(False)).collect()}

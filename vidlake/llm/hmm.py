@@ -3,12 +3,13 @@
 A token's class is the word itself for the HEAD most frequent training words, one of BUCKETS hash buckets for
 the rest, and one class for the end of a text. States emit classes; within a bucket a word has its add-one
 share, so the model gives every word, known or not, a probability. Training reads every training token once a
-round: texts are cut into runs of RUN tokens that start from the initial distribution, and expected counts are
-summed over all partitions. Scoring does not cut: each run becomes the product of its transition and emission
-matrices, scaled, and the products are applied in order, which is the forward recursion itself.
+round, and expected counts of whole texts are summed over all partitions. Texts over RUN tokens are worked through in
+runs side by side: each run becomes the product of its transition and emission matrices, scaled, and the products are
+applied in order, forward and backward, which are the recursions themselves; nothing is cut.
 
 Words are told apart by 64-bit hashes of their bytes. A null text is an empty one and has the end token alone.
-Without training rows every count is zero. Equal rows each get their result; an empty table gives an empty one.
+Without training rows every count is zero. Equal rows each get their result; an empty table gives an empty one. Other
+columns pass through under their names, whatever these are; those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from vidlake.llm.storage import saved
 from vidlake.llm.text import chunks, words
 
-HEAD, BUCKETS, STATES, RUN, ROUNDS = 60_000, 1_024, 8, 64, 4
+HEAD, BUCKETS, STATES, RUN, ROUNDS = 60_000, 1_024, 8, 1_024, 4
 #: Tokens handled at once.
 TOKENS = 200_000
 
@@ -91,80 +92,127 @@ def first_model(lexicon: Lexicon, states: int = STATES, seed: int = 5) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def runs_of(lengths: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first token, length) of runs of RUN tokens that cover all but the first ``skip`` tokens of each text."""
-    left = lengths - skip
-    n = -(-left // RUN)
-    text = np.repeat(np.arange(len(lengths)), n)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    base = np.cumsum(lengths) - lengths
-    return text, base[text] + skip + k * RUN, np.minimum(RUN, left[text] - k * RUN)
+class Runs:
+    """Runs of at most RUN tokens that cover all but the first token of each text; long ones first.
+
+    text, rank: whose they are and which of its; first, size: token and length; live: how many runs are longer than t.
+    """
+
+    def __init__(self, lengths: np.ndarray):
+        self.base = np.cumsum(lengths) - lengths
+        n = -(-(lengths - 1) // RUN)
+        text = np.repeat(np.arange(len(lengths)), n)
+        rank = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        size = np.minimum(RUN, lengths[text] - 1 - rank * RUN)
+        order = np.argsort(-size, kind="stable")
+        self.text, self.rank, self.size, self.n = text[order], rank[order], size[order], n
+        self.first = self.base[self.text] + 1 + self.rank * RUN
+        self.steps = int(size.max(initial=0))
+        self.live = np.searchsorted(-self.size, -np.arange(self.steps), "left").tolist()
+        # by rank, the runs of texts with several
+        later = np.flatnonzero(n[self.text] > 1)
+        self.by_rank = [later[self.rank[later] == r] for r in range(int(n.max(initial=0)))] if len(later) else []
+        self.at = np.full((len(lengths), max(len(self.by_rank), 1)), -1, np.int64)
+        self.at[self.text[later], self.rank[later]] = later
+
+
+def products(seq: np.ndarray, first: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Product of the scaled transition and emission matrices over each run, and the logs of the scales; long runs first."""
+    k = len(model.start)
+    product, logs = np.tile(np.eye(k), (len(first), 1, 1)), np.zeros(len(first))
+    for t in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -t, "left"))
+        product[:n] = (product[:n].reshape(n * k, k) @ model.move).reshape(n, k, k) * model.emit[seq[first[:n] + t]][:, None, :]
+        if t % 8 == 7:
+            total = product[:n].sum(axis=(1, 2))
+            product[:n] /= total[:, None, None]
+            logs[:n] += np.log(total)
+    return product, logs
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    return v / v.sum(axis=1, keepdims=True)
 
 
 def expected(seq: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and, for each token, states, over runs; all runs take each step together."""
-    k = len(model.start)
-    _, first, size = runs_of(lengths, 0)
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    live = [int(np.searchsorted(-size, -t, "left")) for t in range(RUN)]  # runs longer than t
+    """Expected counts of starts, moves and, for each token, states, over whole texts; all runs take each step together."""
+    k, runs = len(model.start), Runs(lengths)
     b = model.emit[seq]
+    begun = _scaled(model.start * b[runs.base])
+    # vectors that come into each run from both sides
+    before, after = begun[runs.text], np.ones((len(runs.text), k))
+    several = np.flatnonzero(runs.n[runs.text] > 1)
+    if len(several):
+        product = np.zeros((len(runs.text), k, k))
+        product[several] = products(seq, runs.first[several], runs.size[several], model)[0]
+        for r in range(1, len(runs.by_rank)):
+            now = runs.by_rank[r]
+            last = runs.at[runs.text[now], r - 1]
+            before[now] = _scaled(np.einsum("dk,dkj->dj", before[last], product[last]))
+        for r in range(len(runs.by_rank) - 1, 0, -1):
+            now = runs.by_rank[r]
+            after[runs.at[runs.text[now], r - 1]] = _scaled(np.einsum("dkj,dj->dk", product[now], after[now]))
     ahead = np.zeros((len(seq), k))
-    alpha = None
-    for t in range(int(size[0]) if len(size) else 0):
-        i = first[: live[t]] + t
-        alpha = (model.start if t == 0 else alpha[: live[t]] @ model.move) * b[i]
+    alpha = before
+    for t in range(runs.steps):
+        n = runs.live[t]
+        i = runs.first[:n] + t
+        alpha = (alpha[:n] @ model.move) * b[i]
         if t % 8 == 7:  # a row's scale cancels out below
             alpha /= alpha.sum(axis=1, keepdims=True)
         ahead[i] = alpha
-    moves, back = np.zeros((k, k)), np.ones((len(first), k))
+    moves, back = np.zeros((k, k)), after
     state = np.zeros((len(seq), k))
-    for t in range(int(size[0]) - 1 if len(size) else -1, -1, -1):
-        i = first[: live[t]] + t
-        state[i] = ahead[i] * back[: live[t]]
-        if t:
-            weighted = b[i] * back[: live[t]]
-            before = ahead[i - 1]
-            total = ((before @ model.move) * weighted).sum(axis=1, keepdims=True)
-            moves += before.T @ (weighted / total)
-            back[: live[t]] = weighted @ model.move.T
-            if t % 8 == 0:
-                back[: live[t]] /= back[: live[t]].sum(axis=1, keepdims=True)
+    for t in range(runs.steps - 1, -1, -1):
+        n = runs.live[t]
+        i = runs.first[:n] + t
+        state[i] = ahead[i] * back[:n]
+        weighted = b[i] * back[:n]
+        old = ahead[i - 1] if t else before
+        total = ((old[:n] @ model.move) * weighted).sum(axis=1, keepdims=True)
+        moves += old[:n].T @ (weighted / total)
+        back[:n] = weighted @ model.move.T
+        if t % 8 == 0:
+            back[:n] /= back[:n].sum(axis=1, keepdims=True)
+    state[runs.base] = begun
+    heads = np.flatnonzero(runs.rank == 0)
+    state[runs.base[runs.text[heads]]] *= back[heads]
     state /= state.sum(axis=1, keepdims=True)
-    return state[first].sum(axis=0), moves * model.move, state
+    return state[runs.base].sum(axis=0), moves * model.move, state
 
 
 def log_likelihoods(seq: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
-    """Natural log-probability of each text's classes: products of scaled matrices over runs, applied in order. Every text has a token."""
-    k = len(model.start)
-    base = np.cumsum(lengths) - lengths
-    vector = model.start * model.emit[seq[base]]
-    scale = vector.sum(axis=1)
-    vector, out = vector / scale[:, None], np.log(scale)
-    text, first, size = runs_of(lengths, 1)
-    if not len(text):
-        return out
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    product, logs = np.tile(np.eye(k), (len(first), 1, 1)), np.zeros(len(first))
-    for t in range(int(size[0])):
+    """Natural log-probability of each text's classes. Every text has a token."""
+    runs = Runs(lengths)
+    vector = model.start * model.emit[seq[runs.base]]
+    out = np.log(vector.sum(axis=1))
+    vector = _scaled(vector)
+    # first runs step by step, later ones as products
+    heads = np.flatnonzero(runs.rank == 0)
+    size, first, text = runs.size[heads], runs.first[heads], runs.text[heads]
+    alpha, logs = vector[text], np.zeros(len(heads))
+    for t in range(int(size[0]) if len(size) else 0):
         n = int(np.searchsorted(-size, -t, "left"))
-        product[:n] = (product[:n].reshape(n * k, k) @ model.move).reshape(n, k, k) * model.emit[seq[first[:n] + t]][:, None, :]
+        alpha[:n] = (alpha[:n] @ model.move) * model.emit[seq[first[:n] + t]]
         if t % 8 == 7:
-            total = product[:n].sum(axis=(1, 2))
-            product[:n] /= total[:, None, None]
+            total = alpha[:n].sum(axis=1)
+            alpha[:n] /= total[:, None]
             logs[:n] += np.log(total)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    starts = np.searchsorted(text, np.arange(len(lengths)))
-    n_runs = np.bincount(text, minlength=len(lengths))
-    for r in range(int(n_runs.max())):
-        d = np.flatnonzero(n_runs > r)
-        p = place[starts[d] + r]
-        v = np.einsum("dk,dkj->dj", vector[d], product[p])
-        total = v.sum(axis=1)
-        vector[d] = v / total[:, None]
-        out[d] += np.log(total) + logs[p]
+    total = alpha.sum(axis=1)
+    vector[text] = alpha / total[:, None]
+    out[text] += logs + np.log(total)
+    later = np.flatnonzero(runs.rank > 0)
+    if len(later):
+        product, logs = products(seq, runs.first[later], runs.size[later], model)
+        place = np.full(len(runs.text), -1)
+        place[later] = np.arange(len(later))
+        for r in range(1, len(runs.by_rank)):
+            now = runs.by_rank[r]
+            d, p = runs.text[now], place[now]
+            v = np.einsum("dk,dkj->dj", vector[d], product[p])
+            total = v.sum(axis=1)
+            vector[d] = v / total[:, None]
+            out[d] += np.log(total) + logs[p]
     return out
 
 
@@ -212,12 +260,13 @@ def round_of(train: DataFrame, model: Model, lexicon: Lexicon, prior: float = 20
 
 def score_texts(docs: DataFrame, learn: Column, text: str = "text", rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score; ``learn`` tells which rows are learnt from."""
-    marked = docs.withColumns({"_learn": F.coalesce(learn, F.lit(False)), "_row": F.monotonically_increasing_id()})
+    kept = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
+    own = {c: f"_kept{i}" for i, c in enumerate(kept)}  # names of the rows' own columns are no concern of what follows
+    marked = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), F.col(text).alias("_text"), F.coalesce(learn, F.lit(False)).alias("_learn"), F.monotonically_increasing_id().alias("_row"))
     lessons = marked.filter("_learn")
-    counts = saved(count_words(lessons, text))
+    counts = saved(count_words(lessons, "_text"))
     lexicon = Lexicon(counts, lessons.count())
-    kept = [c for c in docs.columns if c not in (text, "n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    codes = saved(_with_codes(marked, kept, text, lexicon))
+    codes = saved(_with_codes(marked, list(own.values()), "_text", lexicon))
     model = first_model(lexicon, states)
     for _ in range(rounds if lexicon.n else 0):
         model = round_of(codes.filter("_learn"), model, lexicon)
@@ -239,7 +288,7 @@ def score_texts(docs: DataFrame, learn: Column, text: str = "text", rounds: int
     more = F.coalesce("_rest", F.lit(0.0))
     whole = float(np.log10(lexicon.n + lexicon.v + 1))
     seen_end = 1 if lexicon.n_texts else 0
-    return out.select(*kept, "n_tokens", (F.col("n_head") + F.coalesce("_seen", F.lit(0)) + seen_end).alias("n_known"), F.lit(lexicon.n).cast("long").alias("train_tokens"),
+    return out.select(*(F.col(n).alias(c) for c, n in own.items()), "n_tokens", (F.col("n_head") + F.coalesce("_seen", F.lit(0)) + seen_end).alias("n_known"), F.lit(lexicon.n).cast("long").alias("train_tokens"),
                       (F.col("base") + more - F.col("n_tokens") * whole).alias("base_score"), (F.col("_score") + more).alias("score"))
 
 
