@@ -1,8 +1,12 @@
 """Sharding along a Hilbert curve over quantised metadata, for pruning files in several dimensions at once.
 
-Null numbers fall in the lowest cell, null strings before all others. Ties on the curve are broken by the
-text's checksum and the id, so equal texts lie side by side. Equal rows each get a slot of their own. An
-empty table gives an empty table. Columns other than those asked for are not carried.
+Null numbers and null strings fall in the lowest cell; strings are ordered by the ranks of their distinct values.
+Ties on the curve are broken by the columns given for it: with the text's checksum, equal texts of one place on the
+curve lie side by side. The law of shards is that of rows: counts differ by one at most. So a group of equal texts
+stays in one shard only if its rows share their place on the curve and no cut falls among them; bytes may differ much
+between shards, as size is one of the dimensions. Equal rows each get a slot of their own. An empty table gives an
+empty table. Other columns pass through; those named _row, _curve, _key or _cell with a number, curve, shard or slot
+are replaced.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from vidlake.storage import saved
 
-from vidlake.llm.storage import saved
 
 
 def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
@@ -44,12 +48,13 @@ def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(column: Column, kind: str) -> Column:
-    """A number in the column's own order: numbers as they are, strings by their first seven bytes."""
-    if kind == "string":
-        head = F.substring(F.rpad(F.hex(F.encode(F.coalesce(column, F.lit("")), "utf-8")), 14, "0"), 1, 14)
-        return F.conv(head, 16, 10).cast("double")
-    return F.coalesce(column.cast("double"), F.lit(float("-inf")))
+def with_ordinal(df: DataFrame, dim: str, kind: str, name: str) -> DataFrame:
+    """Adds a number in the column's own order: numbers as they are, strings by the rank of their value."""
+    if kind != "string":
+        return df.withColumn(name, F.coalesce(F.col(dim).cast("double"), F.lit(float("-inf"))))
+    ranks = numbered(df.select(F.col(dim).alias("_value")).filter("_value is not null").distinct(), ["_value"], "_rank")
+    ranked = df.join(ranks, F.col(dim) == F.col("_value"), "left")
+    return ranked.withColumn(name, F.coalesce(F.col("_rank").cast("double"), F.lit(float("-inf")))).drop("_value", "_rank")
 
 
 def below(grid: Column, value: Column) -> Column:
@@ -60,7 +65,9 @@ def below(grid: Column, value: Column) -> Column:
 def quantised(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     """Adds _cell0.. with the quantile of each dimension's value, from cut points over all rows."""
     kinds = dict(df.dtypes)
-    keyed = df.withColumns({f"_key{i}": ordinal(F.col(d), kinds[d]) for i, d in enumerate(dims)})
+    keyed = df
+    for i, d in enumerate(dims):
+        keyed = with_ordinal(keyed, d, kinds[d], f"_key{i}")
     parts = [k / (1 << bits) for k in range(1, 1 << bits)]
     cuts = keyed.agg(*(F.percentile_approx(f"_key{i}", parts, 1000).alias(f"c{i}") for i in range(len(dims)))).first()
     for i in range(len(dims)):

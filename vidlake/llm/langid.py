@@ -2,9 +2,11 @@
 
 Byte n-grams of the whole text are hashed to embedding rows; their mean goes through one linear layer. The
 model is trained by stochastic gradient descent in numpy on a bounded sample of labelled texts: PER_LANG for
-each language, those with the smallest hashes of their ids, texts under SAMPLE_BYTES first. A null text, or
-one without a letter, is ``und`` with score 0 and rejected; so is every text if there is nothing to learn
-from. Equal texts get equal results; an empty table gives an empty one; other columns pass through.
+each language, those with the smallest hashes of their ids. Every fifth of a language is kept back to calibrate
+the score; with none kept back every prediction counts as rejected. A null text, or one without a letter, is
+``und`` with score 0 and rejected; so is every text if there is nothing to learn from. Equal texts get equal
+results; an empty table gives an empty one; other columns pass through, whatever their names, but for those named
+like an added one, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from vidlake.llm.text import chunks, lower_table
 
 BUCKETS, DIM, ORDERS = 1 << 14, 16, (3, 4)
-PER_LANG, SAMPLE_BYTES, WINDOW = 250, 20_000, 400
+PER_LANG, WINDOW = 250, 400
 
 
 def grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -51,18 +53,20 @@ class Model:
 
 
 def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 8.0, batch: int = 64, seed: int = 7) -> Model | None:
-    """Every fifth sampled text is kept back to set the softmax's temperature and the score under which a prediction is rejected."""
+    """Every fifth sampled text of a language is kept back to set the softmax's temperature and the score under which a prediction is rejected."""
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return None
-    back = [r for i, r in enumerate(rows) if i % 5 == 0]
-    pieces, labels = [], []
-    for i, (text, lang) in enumerate(rows):
+    back, pieces, labels, met = [], [], [], dict.fromkeys(langs, 0)
+    for text, lang in rows:
+        met[lang] += 1
+        if met[lang] % 5 == 0:
+            back.append((text, lang))
+            continue
         data = np.frombuffer(text.encode(), np.uint8)
-        if i % 5 or len(rows) < 25:
-            cut = [data[k : k + WINDOW] for k in range(0, max(len(data), 1), WINDOW)]
-            pieces += cut
-            labels += [langs.index(lang)] * len(cut)
+        cut = [data[k : k + WINDOW] for k in range(0, max(len(data), 1), WINDOW)]
+        pieces += cut
+        labels += [langs.index(lang)] * len(cut)
     random = np.random.default_rng(seed)
     table = random.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     layer = random.normal(0, 0.3, (DIM, len(langs))).astype(np.float32)
@@ -83,6 +87,8 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 8.0, batch
             layer -= 0.1 * step * (hidden.T @ p)
             table -= 10 * step * (x.T @ down)
     logits = (table @ layer).astype(np.float32)
+    if not back:
+        return Model(langs, logits, 1.0, np.inf)
     raw = np.concatenate([features([np.frombuffer(t.encode(), np.uint8)]) @ logits for t, _ in back])
     right = np.array([langs.index(lang) for _, lang in back])
     heats = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0]
@@ -121,11 +127,10 @@ def score_texts(data: np.ndarray, offs: np.ndarray, model: Model) -> np.ndarray:
 
 def sampled(docs: DataFrame, text: str, lang: str, key: str) -> list[tuple[str, str]]:
     """PER_LANG labelled rows of each language."""
-    body = F.octet_length(text)
-    keys = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, lang, (body > SAMPLE_BYTES).alias("_long"))
-    first = Window.partitionBy(lang).orderBy("_long", F.xxhash64(key), key)
-    chosen = keys.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= PER_LANG).select(F.col(key).alias("_id")).distinct()
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("_id"), "left_semi").filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(key, text, lang)
+    known = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).filter("_text is not null and _lang is not null")
+    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
+    chosen = known.select("_id", "_lang").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= PER_LANG).select("_id").distinct()
+    rows = known.join(F.broadcast(chosen), "_id", "left_semi")  # PER_LANG ids for each language at most
     return [(r[1], r[2]) for r in sorted(rows.collect(), key=lambda r: (str(r[0]), r[1], r[2]))]
 
 
@@ -146,9 +151,11 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
             at = np.concatenate(best) if best else np.zeros(0, int)
             yield pa.StructArray.from_arrays([pa.array([model.langs[i] for i in at], pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], ["lang", "score"])
 
-    out = docs.withColumn("_p", F.arrow_udf(predict, "struct<lang string, score double>")(F.col(text)))
+    own = {c: f"_kept{i}" for i, c in enumerate(kept)}
     letters = F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False))
-    return out.select(*kept, F.when(letters, F.col("_p.lang")).otherwise("und").alias("lang_pred"), F.when(letters, F.round("_p.score", 6)).otherwise(0.0).alias("score"), (~letters | (F.col("_p.score") < model.least)).alias("rejected"))
+    out = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), letters.alias("_letters"), F.arrow_udf(predict, "struct<lang string, score double>")(F.col(text)).alias("_p"))
+    said, score = F.when(F.col("_letters"), F.col("_p.lang")).otherwise("und"), F.when(F.col("_letters"), F.round("_p.score", 6)).otherwise(0.0)
+    return out.select(*(F.col(n).alias(c) for c, n in own.items()), said.alias("lang_pred"), score.alias("score"), (~F.col("_letters") | (F.col("_p.score") < model.least)).alias("rejected"))
 
 
 def op10(docs: DataFrame) -> DataFrame:

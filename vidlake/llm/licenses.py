@@ -452,23 +452,23 @@ def gated(text: Column) -> Column:
 
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and findings (surviving matches, with spans in ``flat`` text)."""
-    out = docs.withColumn("_low", lowered(F.col(text)))
-    out = out.withColumn("_words", F.array_remove(F.split("_low", NOT_WORD), ""))
-    out = out.withColumn("_base", F.when(F.contains("_low", F.lit("license")), let(F.col("_words"), _places)).otherwise(F.array().cast("array<struct<at:int,label:string>>")))
+    out = docs.withColumn("__low", lowered(F.col(text)))
+    out = out.withColumn("__words", F.array_remove(F.split("__low", NOT_WORD), ""))
+    out = out.withColumn("__base", F.when(F.contains("__low", F.lit("license")), let(F.col("__words"), _places)).otherwise(F.array().cast("array<struct<at:int,label:string>>")))
     none = F.array().cast(f"array<{SPAN}>")
-    out = out.withColumn("findings", F.when(gated(F.col("_low")), let(flat(F.col("_low")), lambda t: let(_findings(t), _kept))).otherwise(none))
+    out = out.withColumn("findings", F.when(gated(F.col("__low")), let(flat(F.col("__low")), lambda t: let(_findings(t), _kept))).otherwise(none))
     names = lambda c: F.transform(c, lambda x: x["label"])
-    base = names(F.col("_base"))
+    base = names(F.col("__base"))
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "n_base": F.size("_base").cast("long"),
-        "first_word": F.array_min(F.transform("_base", lambda x: x["at"])).cast("long"),
-        "last_word": F.array_max(F.transform("_base", lambda x: x["at"])).cast("long"),
+        "n_words": F.size("__words").cast("long"),
+        "n_base": F.size("__base").cast("long"),
+        "first_word": F.array_min(F.transform("__base", lambda x: x["at"])).cast("long"),
+        "last_word": F.array_max(F.transform("__base", lambda x: x["at"])).cast("long"),
         "base_labels": F.array_join(F.array_sort(F.array_distinct(base)), ","),
         "labels": F.array_join(F.array_sort(F.array_union(base, names(F.col("findings")))), ","),
-        "score": F.greatest(F.when(F.size("_base") > 0, F.lit(BASE_WEIGHT)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.transform("findings", lambda x: x["weight"])), F.lit(0.0))),
+        "score": F.greatest(F.when(F.size("__base") > 0, F.lit(BASE_WEIGHT)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.transform("findings", lambda x: x["weight"])), F.lit(0.0))),
     })
-    return out.drop("_low", "_words", "_base")
+    return out.drop("__low", "__words", "__base")
 
 
 def op6(docs: DataFrame) -> DataFrame:

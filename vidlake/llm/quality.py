@@ -114,21 +114,21 @@ def line_clean(docs: DataFrame, text: str = "text", max_lost: float = 0.3, max_s
 
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^ \\t\\n\\u000B\\f\\r]"))
     of_words = lambda words: F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(word_windows(words)).alias("n_repeat_words"))
-    out = docs.withColumns({"_w": let(word_array(F.col(text)), of_words), "_l": let(lines, of_lines)})
-    failed = (F.col("_w.n_words") < min_words) | (F.col("_w.n_repeat_words") * 100 > F.col("_w.n_words") * max_repeated)
+    out = docs.withColumns({"__w": let(word_array(F.col(text)), of_words), "__l": let(lines, of_lines)})
+    failed = (F.col("__w.n_words") < min_words) | (F.col("__w.n_repeat_words") * 100 > F.col("__w.n_words") * max_repeated)
     return out.withColumns({
-        "clean_text": F.coalesce("_l.clean_text", F.col(text)),
-        "n_words": F.col("_w.n_words"),
+        "clean_text": F.coalesce("__l.clean_text", F.col(text)),
+        "n_words": F.col("__w.n_words"),
         "word_chars": F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": symbol_count(body).cast("long"),
-        "n_dup_lines": F.col("_l.n_dup_lines"),
-        "n_repeat_words": F.col("_w.n_repeat_words"),
-        "n_lines": F.col("_l.n_lines"),
-        "n_failed_lines": F.col("_l.n_failed_lines"),
-        "lost_share": F.col("_l.lost_share"),
+        "n_dup_lines": F.col("__l.n_dup_lines"),
+        "n_repeat_words": F.col("__w.n_repeat_words"),
+        "n_lines": F.col("__l.n_lines"),
+        "n_failed_lines": F.col("__l.n_failed_lines"),
+        "lost_share": F.col("__l.lost_share"),
         "base_failed": failed,
-        "kept": ~failed & (F.col("_l.lost_share") <= max_lost),
-    }).drop("_w", "_l")
+        "kept": ~failed & (F.col("__l.lost_share") <= max_lost),
+    }).drop("__w", "__l")
 
 
 def op8(docs: DataFrame) -> DataFrame:

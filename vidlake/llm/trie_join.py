@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from vidlake.llm.components import components
 from vidlake.llm.sketch import Sketch, sketch_of, texts_of
-from vidlake.llm.storage import saved
 from vidlake.llm.text import chunks, mix, owners, shingles, words
+from vidlake.storage import saved
 
 #: Texts and their length that meet their lead in one go, and sets or bytes of differences of a lead that are walked at once.
 BLOCK, CHARACTERS, SETS, BYTES = 512, 8 << 20, 4096, 8 << 20
@@ -416,12 +416,12 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     more = joined(open_.select(*kept, F.explode(at).alias("block")), percent)
     total = components(links.unionByName(saved(more)))
 
-    label = classes.join(total, classes["rep"] == total["id"], "left").select(classes["id"].alias("_id"), F.coalesce("component", "rep").alias("_component"))
-    label = label.groupBy("_id").agg(F.min("_component").alias("_component"))
-    size = sets.groupBy(F.col("id").alias("_sid")).agg(F.max("size").alias("_size"))
+    label = classes.join(total, classes["rep"] == total["id"], "left").select(classes["id"].alias("__id"), F.coalesce("component", "rep").alias("__component"))
+    label = label.groupBy("__id").agg(F.min("__component").alias("__component"))
+    size = sets.groupBy(F.col("id").alias("__sid")).agg(F.max("size").alias("__size"))
     out = docs.drop("n_shingles", "component_id")
-    out = out.join(label, out[key] == F.col("_id"), "left").join(size, out[key] == F.col("_sid"), "left")
-    return out.withColumns({"n_shingles": F.coalesce("_size", F.lit(0)).cast("long"), "component_id": F.coalesce("_component", out[key]).cast("long")}).drop("_id", "_sid", "_component", "_size")
+    out = out.join(label, out[key] == F.col("__id"), "left").join(size, out[key] == F.col("__sid"), "left")
+    return out.withColumns({"n_shingles": F.coalesce("__size", F.lit(0)).cast("long"), "component_id": F.coalesce("__component", out[key]).cast("long")}).drop("__id", "__sid", "__component", "__size")
 
 
 def _upto(n: str | Column) -> Column:

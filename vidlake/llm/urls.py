@@ -17,23 +17,24 @@ from pyspark.sql import functions as F
 
 #: The rules of the query: what they say, and host and path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: A small labelled table, written for this library; 1 is to be blocked.
-LABELLED = (
-    ("https://docs.sample.org/guide/install", 0), ("https://www.library.example.org/catalogue/12", 0), ("http://news.daily.example.org/en/world/story-4", 0),
-    ("https://blog.garden.example.net/2019/05/pruning-roses", 0), ("https://wiki.sample.org/wiki/Hilbert_curve", 0), ("https://university.example.edu/courses/physics", 0),
-    ("https://m.recipes.example.org/en/soup/lentil", 0), ("https://museum.example.org/de/ausstellung/7", 0), ("https://www.city.example.org/fr/services/eau", 0),
-    ("https://science.example.org/articles/cells?page=2", 0), ("http://history.example.net/en/rome/aqueducts", 0), ("https://forum.linux.example.org/thread/991", 0),
-    ("https://parks.example.gov/trails/map", 0), ("https://school.example.edu/es/lecciones/3", 0), ("https://www.weather.example.org/en/forecast", 0),
-    ("https://music.example.org/de/lieder/88", 0), ("https://health.example.gov/en/vaccines", 0), ("https://books.example.org/fr/romans/45", 0),
-    ("https://static.example.org/en/about", 0), ("https://journal.example.net/de/artikel/10", 0),
-    ("http://cheap-pills.example.biz/buy-viagra-online", 1), ("http://casino-bonus.example.win/slots/free-spins", 1), ("https://xxx-videos.example.top/watch/1", 1),
-    ("http://free-torrent.example.click/download/crack-keygen", 1), ("http://porn-tube.example.xxx/hot/55", 1), ("https://betting-odds.example.bet/poker/vip", 1),
-    ("http://loan-fast-cash.example.loan/apply-now", 1), ("http://replica-watches.example.shop/cheap-rolex", 1), ("http://win-prize.example.click/claim?ref=x", 1),
-    ("https://adult-cams.example.cam/live/girls", 1), ("http://seo-links.example.biz/buy-backlinks", 1), ("http://warez.example.top/serial-crack", 1),
-    ("http://escort-girls.example.xxx/city/paris", 1), ("http://crypto-double.example.win/free-bitcoin", 1), ("http://miracle-diet.example.shop/lose-weight-fast", 1),
-    ("http://online-casino.example.bet/roulette-bonus", 1), ("https://sex-dating.example.cam/join-free", 1), ("http://pharmacy-discount.example.biz/cialis", 1),
-    ("http://clickbait.example.click/you-wont-believe", 1), ("http://hack-tool.example.top/free-download-exe", 1),
-)
+# Words of hosts and paths of pages that are wanted, and of those that are not; written for this library.
+WANTED = "library museum university school science history garden recipes weather city parks health physics courses articles guide docs wiki news journal forum music books travel maps research archive council nature poetry chemistry astronomy biology geography economics law theatre cinema cooking knitting hiking sailing railway bridges painting sculpture grammar dictionary lessons".split()
+UNWANTED = "casino slots poker roulette jackpot betting viagra cialis pills pharmacy-discount porn xxx adult sex escort cams nude replica rolex cheap-watches loan payday fast-cash win-prize giveaway free-bitcoin crypto-double torrent warez crack keygen serial hack-tool backlinks seo-links clickbait miracle-diet lose-weight weight-loss hot-girls dating-now lottery free-spins bonus-code vip-bets cheap-meds forex-robot get-rich spam-blast".split()
+ENDS = ("org", "com", "net", "info", "biz", "co", "site", "online", "top", "eu")
+
+
+def labelled_urls() -> tuple[tuple[str, int], ...]:
+    """A small labelled table: two urls for each word, on hosts under all ends; 1 is to be blocked."""
+    made = []
+    for label, words_ in ((0, WANTED), (1, UNWANTED)):
+        for i, word in enumerate(words_):
+            other, third = words_[(i * 7 + 3) % len(words_)], words_[(i * 11 + 5) % len(words_)]
+            made.append((f"https://www.{word}-{other}.example.{ENDS[i % len(ENDS)]}/{third}/{i}", label))
+            made.append((f"http://{third}.sample{i % 9}.{ENDS[(i * 3 + label) % len(ENDS)]}/{'en' if i % 2 else 'de'}/{word}/{other}.html?page={i}", label))
+    return tuple(made)
+
+
+LABELLED = labelled_urls()
 BUCKETS = 1 << 14
 
 
@@ -98,9 +99,9 @@ def url_filter(pages: DataFrame, url: str = "url", rules: tuple[tuple[str, str],
             yield pd.Series([float(1 / (1 + np.exp(-(weights[i].sum() / np.sqrt(max(len(i), 1)) + bias)))) for i in rows], dtype="float64")
 
     out = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    out = out.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    out = out.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
     out = out.withColumn("block_probability", F.pandas_udf(score, "double")(F.struct("host", "path")))
-    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce("_rule.verdict", F.when(F.col("block_probability") >= threshold, "block").otherwise("allow"))}).drop("_rule")
+    return out.withColumns({"rule": F.col("__rule.rule"), "verdict": F.coalesce("__rule.verdict", F.when(F.col("block_probability") >= threshold, "block").otherwise("allow"))}).drop("__rule")
 
 
 def op5(pages: DataFrame) -> DataFrame:
