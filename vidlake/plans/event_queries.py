@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidlake.functions import values as v
@@ -190,9 +190,10 @@ def clip_indices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def smoothed(spark: SparkSession, d: str) -> DataFrame:
-    o = vw.table(spark, d, "orders")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(-4, 0)
-    return o.select("o_orderkey", R(F.avg("o_totalprice").over(w), 4).alias("mean5"), R(v.middle(F.collect_list("o_totalprice").over(w)), 4).alias("median5"))
+    from vidlake.operators import sampling
+
+    o = sampling.smoothed(vw.table(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice", 5)
+    return o.select("o_orderkey", R(F.col("average"), 4).alias("mean5"), R(F.col("median"), 4).alias("median5"), R(F.col("overall"), 4).alias("overall"))
 
 
 QUERIES = {
@@ -230,5 +231,5 @@ QUERIES = {
     "export_plan": (export_plan, f"WITH {RUNS} SELECT identity, event, round(greatest(0, start_frame / 25.0::DOUBLE - 2), 6)::DOUBLE AS from_s, round(least(1700, (end_frame + 1) / 25.0::DOUBLE + 2), 6)::DOUBLE AS to_s FROM made WHERE support_count >= 3 QUALIFY row_number() OVER (PARTITION BY identity, event ORDER BY raw_score DESC, start_frame) = 1"),
     "untrimmed_centres": (sampled_strata, "WITH c AS (SELECT n_nationkey, unnest(range(16, n_nationkey * 40 + 100, 32)) AS centre FROM nation) SELECT n_nationkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY centre) - 1 AS clip, centre FROM c"),
     "clip_indices": (clip_indices, "WITH f AS (SELECT p_partkey, p_size, list_transform(range(0, 16), lambda i: p_size + (i - 8) * 2) AS raw FROM part) SELECT p_partkey, array_to_string(list_transform(raw, lambda x: greatest(0, least(49, x))), ',') AS frames, list_min(raw) < 0 OR list_max(raw) > 49 AS padded FROM f"),
-    "windowed_smoothing": (smoothed, "SELECT o_orderkey, round(avg(o_totalprice) OVER w, 4) AS mean5, round(median(o_totalprice) OVER w, 4) AS median5 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"),
+    "windowed_smoothing": (smoothed, "SELECT o_orderkey, round(avg(o_totalprice) OVER w, 4) AS mean5, round(median(o_totalprice) OVER w, 4) AS median5, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 4) AS overall FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"),
 }
