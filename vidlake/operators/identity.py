@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,5 +99,49 @@ def nearest_player(distances: DataFrame, key: str, novelty: float, margin: float
     return two.withColumn("decision", decision).withColumn("player", F.when(F.col("decision") == "match", F.col("_p"))).drop("_p")
 
 
-def neighbours(pairs: DataFrame, key: str, other: str, distance: str, k: int) -> DataFrame:
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(distance, other))).filter(F.col("rank") <= k)
+#: Vectors that are multiplied at once, on each side.
+SIDE = 2048
+
+
+def _matrices(rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """Rows of SIDE ids and unit vectors at most, packed: (name_ids, name_matrix); a vector without length is zero."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SIDE):
+                part = batch.slice(lo, SIDE)
+                made = np.array(part.column(1).to_pylist(), np.float64)
+                size = np.linalg.norm(made, axis=1, keepdims=True)
+                made = np.divide(made, size, out=np.zeros_like(made), where=size > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([made.tobytes()], pa.binary())], [f"{name}_ids", f"{name}_matrix"])
+
+    held = rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector)
+    return held.mapInArrow(run, f"{name}_ids array<bigint>, {name}_matrix binary")
+
+
+def _multiplied(vectors: DataFrame, queries: DataFrame, key: str, query: str, vector: str) -> DataFrame:
+    """Each block of vectors beside each block of the stated queries: blocks, not rows, are paired."""
+    return _matrices(vectors, key, vector, "item").crossJoin(_matrices(queries, query, vector, "query"))
+
+
+def _cosines(batch: pa.RecordBatch, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(item ids, query ids, rounded cosines of items by queries) of each pair of blocks; an item is not near itself."""
+    for i in range(batch.num_rows):
+        items, queries = (np.array(batch.column(f"{n}_ids")[i].as_py(), np.int64) for n in ("item", "query"))
+        left, right = (np.frombuffer(batch.column(f"{n}_matrix")[i].as_py()).reshape(len(ids), -1) for n, ids in (("item", items), ("query", queries)))
+        made = np.round(left @ right.T, digits)
+        made[items[:, None] == queries[None]] = -np.inf
+        yield items, queries, made
+
+
+def nearest_by_cosine(vectors: DataFrame, queries: DataFrame, key: str, query: str, vector: str, k: int, digits: int = 9) -> DataFrame:
+    """(query, item, score, rank): the k vectors nearest to each query, smaller keys first on ties. Each task keeps a block's best k only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for items, asked, score in _cosines(batch, digits):
+                least = np.partition(score, len(items) - min(k, len(items)), axis=0)[len(items) - min(k, len(items))]
+                a, b = np.nonzero((score >= least) & np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([pa.array(asked[b]), pa.array(items[a]), pa.array(score[a, b])], ["query", "item", "score"])
+
+    found = _multiplied(vectors, queries, key, query, vector).mapInArrow(run, "query bigint, item bigint, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -185,9 +185,11 @@ COSINES = """c AS (SELECT q.vec_id AS query, e.vec_id AS item, round(list_dot_pr
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    from vidlake.operators.identity import neighbours
+    """Vectors whose id is divisible by 20, against all, in blocks."""
+    from vidlake.operators.identity import nearest_by_cosine
 
-    n = neighbours(_queries(spark, d).withColumn("distance", 1 - F.col("score")), "query", "item", "distance", 5)
+    e = vw.features(spark, d)
+    n = nearest_by_cosine(e, e.filter("vec_id % 20 = 0"), "vec_id", "vec_id", "embedding", 5)
     return n.select("query", "item", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -227,7 +229,10 @@ def label_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return _queries(spark, d).filter("same").groupBy("query").agg(*(R(c).alias(n) for n, c in {"mean": F.avg("score"), "p10": F.percentile("score", 0.1), "median": F.median("score"), "p90": F.percentile("score", 0.9), "most": F.max("score")}.items()))
+    e = vw.features(spark, d)
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("_q"), "label")
+    same = e.join(q, "label").filter("vec_id <> query").select("query", R(v.cosine(F.col("embedding"), F.col("_q")), 9).alias("score"))
+    return same.groupBy("query").agg(*(R(c).alias(n) for n, c in {"mean": F.avg("score"), "p10": F.percentile("score", 0.1), "median": F.median("score"), "p90": F.percentile("score", 0.9), "most": F.max("score")}.items()))
 
 
 def corloc(spark: SparkSession, d: str) -> DataFrame:
