@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vidlake.operators.ordered import per_key
+
 
 def hop_windows(duration: Column, length: float, hop: float) -> Column:
     """Windows (start, end) that cover a duration: each ``hop`` after the last, the final one cut, none after the end is reached."""
@@ -48,62 +49,62 @@ def reconcile(states: DataFrame, unknown_after: float = 8.0, chunk: float = 20.0
     """
     one = states.groupBy("source", F.round("t", 6).alias("t")).agg(F.count_distinct(F.struct("phase", "team")).alias("n"), F.min("phase").alias("phase"), F.min("team").alias("team"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[tuple]) -> list[tuple]:
         out: list[tuple] = []
         content = team = None
         since = seen = lost = 0.0
-        for r in rows.sort_values("t").itertuples():
-            if r.n > 1:
-                out.append((max(0.0, r.t - around), r.t + around, "uncertain", None))
-            live = "unknown" if r.n > 1 or r.phase == "unknown" else "play" if r.phase == "live" else "stop"
+        for source, t, n, phase, said in rows:
+            if n > 1:
+                out.append((source, max(0.0, t - around), t + around, "uncertain", None))
+            live = "unknown" if n > 1 or phase == "unknown" else "play" if phase == "live" else "stop"
             if live != "unknown":
                 if content is not None and live != content:
-                    out.append((seen, r.t, "content_transition", f"{content}>{live}"))
+                    out.append((source, seen, t, "content_transition", f"{content}>{live}"))
                 content = live
                 if live == "stop":
                     team = None
-            known = live == "play" and r.team in ("dark", "light")
-            if known:
-                if team is not None and r.t - lost > unknown_after and lost < r.t:
+            if live == "play" and said in ("dark", "light"):
+                if team is not None and t - lost > unknown_after and lost < t:
                     at = float(int(lost))
-                    while at < r.t:
-                        out.append((at, min(at + chunk, r.t), "uncertain", None))
+                    while at < t:
+                        out.append((source, at, min(at + chunk, t), "uncertain", None))
                         at += chunk
                     team = None
                 if team is None:
-                    since = r.t
-                elif r.team != team:
-                    out.append((lost, r.t, "possession_change", f"{team}>{r.team}"))
-                    since = r.t
-                elif r.t - since >= stable:
-                    out.append((max(0.0, r.t - chunk), r.t, "uncertain", None))
-                    since = r.t
-                team, lost = r.team, r.t
-            seen = r.t
-        lo, hi, kind, how = zip(*out, strict=True) if out else ((), (), (), ())
-        return pd.DataFrame({"source": rows["source"].iloc[0], "lo": list(lo), "hi": list(hi), "kind": list(kind), "transition": list(how)})
+                    since = t
+                elif said != team:
+                    out.append((source, lost, t, "possession_change", f"{team}>{said}"))
+                    since = t
+                elif t - since >= stable:
+                    out.append((source, max(0.0, t - chunk), t, "uncertain", None))
+                    since = t
+                team, lost = said, t
+            seen = t
+        return out
 
     kind = dict(states.dtypes)["source"]
-    return one.groupBy("source").applyInPandas(run, f"source {kind}, lo double, hi double, kind string, transition string")
+    return per_key(one.select("source", F.col("t").cast("double").alias("t"), "n", "phase", "team"), ["source"], ["t"], run, f"source {kind}, lo double, hi double, kind string, transition string")
 
 
 def merge_proposals(proposals: DataFrame, tolerance: float = 0.75) -> DataFrame:
     """Proposals of one kind and transition that share a moment, give or take the tolerance, become one: the latest group with room takes them."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list[tuple]) -> list[tuple]:
         groups: list[dict] = []
-        for r in rows.sort_values(["lo", "hi"]).itertuples():
-            for x in reversed(groups):
-                if max(x["core_lo"], r.lo) <= min(x["core_hi"], r.hi) + tolerance:
-                    x.update(core_lo=max(x["core_lo"], r.lo), core_hi=min(x["core_hi"], r.hi), lo=min(x["lo"], r.lo), hi=max(x["hi"], r.hi), n=x["n"] + 1)
+        open_: list[dict] = []  # starts only grow, so groups that end before one, give or take, are done
+        for *_, lo, hi in rows:
+            open_ = [x for x in open_ if x["core_hi"] + tolerance >= lo]
+            for x in reversed(open_):
+                if max(x["core_lo"], lo) <= min(x["core_hi"], hi) + tolerance:
+                    x.update(core_lo=max(x["core_lo"], lo), core_hi=min(x["core_hi"], hi), lo=min(x["lo"], lo), hi=max(x["hi"], hi), n=x["n"] + 1)
                     break
             else:
-                groups.append({"lo": r.lo, "hi": r.hi, "core_lo": r.lo, "core_hi": r.hi, "n": 1})
-        out = pd.DataFrame(groups)
-        return out.assign(source=rows["source"].iloc[0], kind=rows["kind"].iloc[0], transition=rows["transition"].iloc[0])[["source", "kind", "transition", "lo", "hi", "n"]]
+                groups.append({"lo": lo, "hi": hi, "core_lo": lo, "core_hi": hi, "n": 1})
+                open_.append(groups[-1])
+        return [(*rows[0][:3], x["lo"], x["hi"], x["n"]) for x in groups]
 
     k = dict(proposals.dtypes)["source"]
     filled = proposals.withColumn("transition", F.coalesce("transition", F.lit("")))
-    return filled.groupBy("source", "kind", "transition").applyInPandas(run, f"source {k}, kind string, transition string, lo double, hi double, n long")
+    return per_key(filled.select("source", "kind", "transition", "lo", "hi"), ["source", "kind", "transition"], ["lo", "hi"], run, f"source {k}, kind string, transition string, lo double, hi double, n long")
 
 
 def segments(boundaries: DataFrame, durations: DataFrame, spacing: float = 0.5) -> DataFrame:
@@ -113,15 +114,15 @@ def segments(boundaries: DataFrame, durations: DataFrame, spacing: float = 0.5)
     """
     rows = durations.join(boundaries, "source", "left")
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        end, cuts = float(p["duration"].iloc[0]), [0.0]
-        for t in sorted(p["at"].dropna()):
-            if t - cuts[-1] >= spacing and end - t >= spacing:
+    def run(p: list[tuple]) -> list[tuple]:
+        end, cuts = float(p[0][1]), [0.0]
+        for *_, t in p:
+            if t is not None and t - cuts[-1] >= spacing and end - t >= spacing:
                 cuts.append(float(t))
-        return pd.DataFrame({"source": p["source"].iloc[0], "segment": range(1, len(cuts) + 1), "start": cuts, "end": [*cuts[1:], end]})
+        return [(p[0][0], k, a, b) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], end], strict=True), 1)]
 
     k = dict(durations.dtypes)["source"]
-    return rows.groupBy("source").applyInPandas(run, f"source {k}, segment long, start double, end double")
+    return per_key(rows.select("source", "duration", "at"), ["source"], ["at"], run, f"source {k}, segment long, start double, end double")
 
 
 def needing_review(segs: DataFrame, unresolved: DataFrame) -> DataFrame:
