@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidlake.llm import decontam, hilbert, hmm, langid, licenses, passages, quality, spm, trie_join, urls
+from vidlake.llm import decontam, hilbert, hmm, langid, licenses, packing, passages, quality, spm, trie_join, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_level_path() -> str:
+    """The byte-level vocabulary of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_lm_scoring": on_documents(hmm.op1),
@@ -38,6 +45,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": on_documents(quality.op8),
         "op9_decontamination": lambda spark, sf_dir: decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op10_language_id": on_documents(langid.op10),
+        "op12_best_fit_packing": on_documents(lambda docs: packing.op12(docs, byte_level_path())),
     }
 
 
