@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidlake.llm import decontam, hilbert, hmm, langid, licenses, packing, passages, quality, spm, trie_join, urls
+from vidlake.llm import alignment, decontam, hilbert, hmm, langid, licenses, packing, passages, quality, spm, trie_join, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,7 @@ def queries() -> dict[str, Query]:
         "op9_decontamination": lambda spark, sf_dir: decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op10_language_id": on_documents(langid.op10),
         "op12_best_fit_packing": on_documents(lambda docs: packing.op12(docs, byte_level_path())),
+        "op13_token_alignment": on_documents(lambda docs: alignment.op13(docs, byte_level_path(), tokenizer_path())),
     }
 
 
