@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidlake.llm import alignment, decontam, hilbert, hmm, langid, licenses, packing, passages, quality, spm, trie_join, urls
+from vidlake.llm import alignment, decontam, filter_audit, hilbert, hmm, langid, licenses, packing, passages, quality, spm, trie_join, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,10 +45,11 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": on_documents(quality.op8),
         "op9_decontamination": lambda spark, sf_dir: decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op10_language_id": on_documents(langid.op10),
+        "op11_filter_audit": lambda spark, sf_dir: filter_audit.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op12_best_fit_packing": on_documents(lambda docs: packing.op12(docs, byte_level_path())),
         "op13_token_alignment": on_documents(lambda docs: alignment.op13(docs, byte_level_path(), tokenizer_path())),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": trie_join.op4_sql(), "op8_quality_rules": quality.op8_sql()}
+    return {"op4_ngram_jaccard_join": trie_join.op4_sql(), "op8_quality_rules": quality.op8_sql(), "op11_filter_audit": filter_audit.op11_sql()}
