@@ -145,7 +145,7 @@ cells AS (SELECT part, pattern, count(*) AS n, sum(good) AS good, sum(toxic) AS
 letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
 orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
 steps AS (SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS f, substr(filter_order, 1, step::INT - 1) AS before FROM orders, range(1, 6) AS r(step)),
-placed AS (SELECT part, filter_order, step, f, n, good, toxic, pattern, contains(pattern, f) AS fails, len(list_filter(string_split(before, ''), x -> x <> '' AND contains(pattern, x))) > 0 AS gone FROM cells, steps),
+placed AS (SELECT part, filter_order, step, f, n, good, toxic, pattern, contains(pattern, f) AS fails, len(list_filter(string_split(before, ''), lambda x: x <> '' AND contains(pattern, x))) > 0 AS gone FROM cells, steps),
 by_order AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant,
   sum(CASE WHEN pattern = f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM placed GROUP BY ALL)
 SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
