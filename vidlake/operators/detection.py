@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidlake.functions import geometry as g
-from vidlake.functions import values as v
 from vidlake.operators.assignment import box_iou, link_tubes, max_score, soft_nms
+from vidlake.operators.curves import envelope, running
 
 
 def locked_hits(pairs: DataFrame, predictions: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
@@ -188,11 +188,12 @@ def at_positions(curve: Column, positions: Column) -> Column:
 
 
 def track_precision(hits: DataFrame, by: list[str], n_truth: str, recalls: list[float]) -> DataFrame:
-    """Mean precision at fixed recalls: at each, the envelope's value at the first point that reaches it, 0 if none does. hits: by, score, pred, hit."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "pred")
-    at = hits.withColumns({"_tp": F.sum(F.col("hit").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.row_number().over(w)})
-    at = at.withColumns({"_r": v.ratio(F.col("_tp"), F.col(n_truth)), "_p": F.col("_tp") / F.col("_n")})
-    at = at.withColumn("_e", F.max("_p").over(Window.partitionBy(*by).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)))
-    wanted = at.withColumn("_want", F.explode(F.array(*map(F.lit, recalls))))
-    point = wanted.groupBy(*by, "_want").agg(F.coalesce(F.max(F.when(F.col("_r") >= F.col("_want"), F.col("_e"))), F.lit(0.0)).alias("_v"))
-    return point.groupBy(*by).agg(F.avg("_v").alias("ap"))
+    """Mean precision at fixed recalls: at each, the envelope's value at the first point that reaches it, 0 if none does. hits: by, score, pred, hit.
+
+    Recall moves at hits only, so each hit stands for the recalls above that of the hit before, up to its own; the first for all from 0.
+    """
+    at = running(hits, by, [F.desc("score"), F.col("pred")], {"_tp": F.col("hit").cast("long"), "_n": F.lit(1)})
+    at = envelope(at, by, {"_e": F.col("_tp") / F.col("_n")})
+    upto = lambda tp: F.when(tp <= 0, F.lit(-1.0)).otherwise(tp / F.col(n_truth)) + 1e-9
+    served = F.size(F.filter(F.array(*map(F.lit, recalls)), lambda w: (w > upto(F.col("_tp") - 1)) & (w <= upto(F.col("_tp")))))
+    return at.groupBy(*by).agg((F.sum(F.when(F.col("hit"), F.col("_e") * served).otherwise(0.0)) / len(recalls)).alias("ap"))

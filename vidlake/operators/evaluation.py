@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vidlake.functions import geometry as g
 from vidlake.functions import values as v
 from vidlake.operators.assignment import most_pairs
+from vidlake.operators.curves import envelope, running
 
 
 def prf(counts: DataFrame) -> DataFrame:
@@ -54,39 +55,37 @@ def class_ranks(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return by.withColumns({"best_rank": F.row_number().over(Window.orderBy(F.desc("accuracy"), "label")), "worst_rank": F.row_number().over(Window.orderBy("accuracy", "label"))})
 
 
+def _points(rows: DataFrame, by: list[str], score: str, hit: str) -> DataFrame:
+    points = rows.groupBy(*by, score).agg(F.sum(F.col(hit).cast("long")).alias("_tp"), F.count("*").alias("_n"))
+    whole = rows.groupBy(*by).agg(F.sum(F.col(hit).cast("long")).alias("_all"))
+    out = running(points, by, [F.desc(score)], {"tp": F.col("_tp"), "n": F.col("_n")}).join(whole, by)
+    return out.withColumns({"precision": v.ratio(F.col("tp"), F.col("n")), "recall": v.ratio(F.col("tp"), F.col("_all")), "_gain": v.ratio(F.col("_tp"), F.col("_all"))})
+
+
 def pr_curve(rows: DataFrame, by: list[str], score: str, hit: str) -> DataFrame:
     """A point for each distinct score, ties taken together: cumulative tp and fp, precision and recall."""
-    points = rows.groupBy(*by, score).agg(F.sum(F.col(hit).cast("long")).alias("_tp"), F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    out = points.withColumns({"tp": F.sum("_tp").over(w), "n": F.sum("_n").over(w), "_all": F.sum("_tp").over(whole)})
-    return out.select(*by, score, "tp", (F.col("n") - F.col("tp")).alias("fp"), v.ratio(F.col("tp"), F.col("n")).alias("precision"), v.ratio(F.col("tp"), F.col("_all")).alias("recall"))
+    return _points(rows, by, score, hit).select(*by, score, "tp", (F.col("n") - F.col("tp")).alias("fp"), "precision", "recall")
 
 
 def average_precision(rows: DataFrame, by: list[str], score: str, hit: str) -> DataFrame:
     """Sum of precision times the gain in recall over the curve, no envelope."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    step = pr_curve(rows, by, score, hit).withColumn("_d", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
-    return step.groupBy(*by).agg(F.sum(F.col("_d") * F.col("precision")).alias("ap"))
+    return _points(rows, by, score, hit).groupBy(*by).agg(F.sum(F.col("_gain") * F.col("precision")).alias("ap"))
 
 
 def envelope_ap(ranked: DataFrame, by: list[str], order: list[Column], hit: str, n_truth: str) -> DataFrame:
-    """Area under the running maximum, from the right, of precision over recall; one point a prediction."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    at = ranked.withColumns({"_tp": F.sum(F.col(hit).cast("long")).over(run), "_n": F.row_number().over(w)})
-    at = at.withColumns({"_p": F.col("_tp") / F.col("_n"), "_r": v.ratio(F.col("_tp"), F.col(n_truth))})
-    back = Window.partitionBy(*by).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)  # one pass from the right
-    at = at.withColumns({"_e": F.max("_p").over(back), "_d": F.col("_r") - F.coalesce(F.lag("_r").over(w), F.lit(0.0))})
-    return at.groupBy(*by).agg(F.sum(F.col("_d") * F.col("_e")).alias("ap"))
+    """Area under the running maximum, from the right, of precision over recall; one point a prediction. Recall grows by one truth at each hit."""
+    at = running(ranked, by, order, {"_tp": F.col(hit).cast("long"), "_n": F.lit(1)})
+    at = envelope(at, by, {"_e": F.col("_tp") / F.col("_n")})
+    return at.groupBy(*by).agg(F.sum(F.when(F.col(hit), v.ratio(F.col("_e"), F.col(n_truth))).when(F.col(n_truth) > 0, 0.0)).alias("ap"))
 
 
 def argmax_hits(pairs: DataFrame, predictions: DataFrame, keys: list[str], pred: str, truth: str, similarity: str, score: str, least: float) -> DataFrame:
     """Predictions with hit: their most similar truth is similar enough, and no better-scored prediction has it already."""
     best = pairs.groupBy(*keys, pred).agg(F.max_by(F.struct(truth, similarity), F.struct(F.col(similarity), -F.col(truth))).alias("_b"))
-    at = predictions.join(best, [*keys, pred], "left").withColumns({"_t": F.when(F.col(f"_b.{similarity}") >= least, F.col(f"_b.{truth}"))})
-    first = F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(F.desc(score), pred)) == 1
-    return at.withColumn("hit", F.col("_t").isNotNull() & first).drop("_b", "_t")
+    near = best.filter(F.col(f"_b.{similarity}") >= least).select(*keys, pred, F.col(f"_b.{truth}").alias("_t"))
+    first = near.join(predictions.select(*keys, pred, score), [*keys, pred]).groupBy(*keys, "_t").agg(F.min(F.struct((-F.col(score)).alias("_s"), F.col(pred))).alias("_f"))
+    hits = first.select(*keys, F.col(f"_f.{pred}").alias(pred), F.lit(True).alias("hit"))
+    return predictions.join(hits, [*keys, pred], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
 def recall_at_proposals(best_ranks: DataFrame, n_truth: Column, fractions: list[float], total: Column) -> DataFrame:
