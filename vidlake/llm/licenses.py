@@ -383,6 +383,8 @@ def _places(words: Column) -> Column:
 #: Line ends with the comment marks after them, and other white space.
 GAPS = "\\s*\\n\\s*(?:(?://+|/?\\*+|#+|;+|--+|>+)(?=\\s|$))?\\s*|\\s+"
 SPAN = "struct<start:int,end:int,priority:int,order:int,label:string,weight:double>"
+#: Findings that are put behind each other before they are put behind the others.
+BLOCK = 256
 #: Lengths that are summed one by one; sums of so many are added up once for all.
 RUN = 64
 
@@ -426,6 +428,7 @@ def _kept(found: Column) -> Column:
 
     One goes over the findings by start, wider ones first, and keeps those in hand that have not ended yet. A finding
     inside a dropped one is inside what dropped that as well, so it does not matter that dropped ones stay in hand.
+    What is kept is gathered in blocks, as an array is copied whenever something is put behind it.
     """
     rank = lambda x: F.struct(x["priority"], x["end"] - x["start"], -x["order"])
     sorted_ = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("wide"), (-x["priority"]).alias("down"), x["order"].alias("order"), x.alias("x"))))
@@ -434,9 +437,15 @@ def _kept(found: Column) -> Column:
     def step(acc: Column, s: Column) -> Column:
         a = s["x"]
         beaten = F.exists(acc["open"], lambda b: (b["end"] >= a["end"]) & (rank(b) > rank(a)))
-        return F.struct(F.array_append(F.filter(acc["open"], lambda b: b["end"] > a["start"]), a).alias("open"), F.when(beaten, acc["kept"]).otherwise(F.array_append(acc["kept"], a)).alias("kept"))
-
-    return F.when(F.size(found) > 1, F.aggregate(sorted_, F.struct(none.alias("open"), none.alias("kept")), step, lambda acc: acc["kept"])).otherwise(found)
+        full = F.size(acc["block"]) >= BLOCK
+        return F.struct(
+            F.array_append(F.filter(acc["open"], lambda b: b["end"] > a["start"]), a).alias("open"),
+            F.when(full, F.array_append(acc["kept"], acc["block"])).otherwise(acc["kept"]).alias("kept"),
+            F.when(beaten, F.when(full, none).otherwise(acc["block"])).otherwise(F.array_append(F.when(full, none).otherwise(acc["block"]), a)).alias("block"),
+        )
+
+    start = F.struct(none.alias("open"), F.array().cast(f"array<array<{SPAN}>>").alias("kept"), none.alias("block"))
+    return F.when(F.size(found) > 1, F.aggregate(sorted_, start, step, lambda acc: F.flatten(F.array_append(acc["kept"], acc["block"])))).otherwise(found)
 
 
 #: One of these is in every text that a rule can match, whatever its white space.
