@@ -40,13 +40,23 @@ B_BITS = 20
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-def byte_ends(spans: list[tuple[int, int]], lengths: list[int]) -> list[int]:
-    """End of each token: its own span's where that has as many bytes as the token, else as many bytes after the token before."""
-    ends, at = [], 0
-    for (begin, end), n in zip(spans, lengths, strict=True):
-        at = end if end - begin == n and begin == at else at + n
-        ends.append(at)
-    return ends
+def placed(parts: list[bytes], n: np.ndarray, ids: np.ndarray, spans: np.ndarray, entry: list[bytes], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``Memory`` keeps of parts with so many tokens each: byte ends, and whether a part's tokens decode to it.
+
+    A token ends where its own span does, if that has as many bytes as the token decodes to; the others share a character
+    or have no span, and end as many bytes behind the token before.
+    """
+    size = lengths[ids]
+    total = np.append(0, np.cumsum(size))
+    last = np.cumsum(n)
+    decoded = total[1:] - np.repeat(total[last - n], n)
+    ends = np.where(spans[:, 1] - spans[:, 0] == size, spans[:, 1], decoded).astype(np.int32)
+    whole = total[last] - total[last - n]
+    sound = (whole == np.fromiter(map(len, parts), np.int64, len(parts)))
+    if sound.all() and b"".join(map(entry.__getitem__, ids.tolist())) != b"".join(parts) or not sound.all():
+        own = ids.tolist()
+        sound = np.array([b"".join(map(entry.__getitem__, own[e - k : e])) == part for part, k, e in zip(parts, n.tolist(), last.tolist(), strict=True)], bool)
+    return n, ids, ends, sound
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,23 +70,25 @@ def byte_alphabet() -> dict[str, int]:
 def byte_level_tokens(path: str) -> Memory:
     library, _ = byte_level(path)
     written = byte_alphabet()
-    entry = {i: bytes(written[c] for c in token) if all(c in written for c in token) else token.encode() for token, i in library.get_vocab().items()}
+    tokens = sorted((i, t) for t, i in library.get_vocab().items())
+    entry = [bytes(written[c] for c in t) if all(c in written for c in t) else t.encode() for _, t in tokens]
+    if [i for i, _ in tokens] != list(range(len(entry))):
+        raise ValueError("ids of the vocabulary have gaps")
+    lengths = np.array(list(map(len, entry)))
 
     def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        texts = [p.decode() for p in parts]
-        n, ids, ends, sound = [], [], [], []
-        for part, text, e in zip(parts, texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
-            own = e.ids
-            tokens = [entry[i] for i in own]
-            spans = e.offsets
-            if len(text) < len(part):
-                at = [0, *np.cumsum([len(c.encode()) for c in text]).tolist()]
-                spans = [(at[a], at[b]) for a, b in spans]
-            n.append(len(own))
-            ids.append(own)
-            ends.append(byte_ends(spans, list(map(len, tokens))))
-            sound.append(b"".join(tokens) == part)
-        return _flat(n, ids, ends, sound)
+        found = library.encode_batch([p.decode() for p in parts], add_special_tokens=False)
+        own = [e.ids for e in found]
+        n = np.fromiter(map(len, own), np.int64, len(own))
+        ids = np.fromiter(chain.from_iterable(own), np.int64, n.sum())
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64, 2 * len(ids)).reshape(-1, 2)
+        # characters' places as bytes
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        first = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
+        at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        characters = np.searchsorted(at, first[:-1])
+        spans = at[spans + np.repeat(characters, n)[:, None]] - np.repeat(first[:-1], n)[:, None]
+        return placed(parts, n, ids, spans, entry, lengths)
 
     return Memory(encode)
 
@@ -87,40 +99,57 @@ def piece_tokens(path: str) -> Memory:
 
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     entry = [bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace("▁", " ").encode() for i in range(library.get_piece_size()) for p in [library.id_to_piece(i)]]
+    lengths = np.array(list(map(len, entry)))
     if any("\n" in p or "▁" in p.lstrip("▁") for p in map(library.id_to_piece, range(library.get_piece_size()))):
         raise ValueError("a piece of the vocabulary spans a line feed or a space that follows something else")
-    mark = len(library.encode("\n"))  # what a line feed before a part without a space adds
-
-    def spans(texts: list[str]) -> list:
-        try:
-            return library.encode(texts, out_type="proto", num_threads=1)
-        except (ValueError, RuntimeError):
-            return library.encode(texts, out_type="immutable_proto", num_threads=1)  # older releases
+    kind = "proto" if hasattr(library, "encode_as_proto") and not hasattr(library, "encode_as_immutable_proto") else "immutable_proto"
+
+    def read(text: str, added: int) -> np.ndarray:
+        """(id, begin, end) of each token of the text and the space that the library puts before it; places are bytes behind the first ``added``."""
+        found = library.encode(text, out_type=kind).pieces
+        rows = np.array([(p.id, p.begin, p.end) for p in found], np.int64).reshape(-1, 3)
+        rows[:, 1:] += 1 - added
+        if len(rows) and rows[0, 1] == 1:
+            rows[0, 1] = 0  # the first span has that space too
+        return rows
+
+    def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Tokens of parts that begin with a space and do not end in one: no token crosses from one to the next, so they are one text."""
+        rows = read(b"".join(parts)[1:].decode(), 0)
+        first = np.append(0, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))))
+        total = np.append(0, np.cumsum(lengths[rows[:, 0]]))
+        last = np.searchsorted(total, first)
+        if total[-1] != first[-1] or (total[last] != first).any():
+            return None
+        n = np.diff(last)
+        return n, rows[:, 0], rows[:, 1:] - np.repeat(first[:-1], n)[:, None]
+
+    def alone(part: bytes) -> np.ndarray:
+        if part == b" ":  # the library gives nothing for an empty text
+            return np.array([(library.piece_to_id("▁"), 0, 1)], np.int64)
+        if part[:1] == b" ":
+            return read(part[1:].decode(), 0)
+        return read("\n" + part.decode(), 2)[2:]  # behind a space and a line feed
 
     def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        headed = [p[:1] == b" " for p in parts]
-        n, ids, ends, sound = [], [], [], []
-        for part, head, e in zip(parts, headed, spans([p[1:].decode() if head else "\n" + p.decode() for p, head in zip(parts, headed, strict=True)]), strict=True):
-            found = [(p.id, p.begin, p.end) for p in e.pieces][0 if head else mark :]
-            if part == b" ":  # a space with nothing behind it: the library gives nothing for an empty text
-                found = [(library.piece_to_id("▁"), 0, 0)]
-            own = [i for i, _, _ in found]
-            tokens = [entry[i] for i in own]
-            # the library counts from the text's first byte, without the space that it adds and with the line feed put before
-            shift = 1 if head else -1
-            n.append(len(own))
-            ids.append(own)
-            ends.append(byte_ends([(max(0, a + shift) if a or not head else 0, b + shift) for _, a, b in found], list(map(len, tokens))))
-            sound.append(b"".join(tokens) == part)
-        return _flat(n, ids, ends, sound)
+        plain = [k for k, p in enumerate(parts) if p[0] == 0x20 and p[-1] != 0x20 and b"\xe2\x96\x81" not in p]
+        made = joined([parts[k] for k in plain]) if plain else None
+        rest = sorted(set(range(len(parts))) - set(plain)) if made else range(len(parts))
+        rows = [alone(parts[k]) for k in rest]
+        groups = [(np.array(rest, np.int64), np.array(list(map(len, rows)), np.int64), np.concatenate([r[:, 0] for r in rows]), np.concatenate([r[:, 1:] for r in rows]))] if rows else []
+        if made:
+            groups.append((np.array(plain, np.int64), *made))
+        which, n, ids, spans = (np.concatenate(x) for x in zip(*groups, strict=True))
+        # in the order of the parts
+        order = np.argsort(which, kind="stable")
+        first = np.cumsum(n) - n
+        n = n[order]
+        place = np.arange(n.sum()) + np.repeat(first[order] - (np.cumsum(n) - n), n)
+        return placed(parts, n, ids[place], spans[place], entry, lengths)
 
     return Memory(encode)
 
 
-def _flat(n: list[int], ids: list[list[int]], ends: list[list[int]], sound: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return np.array(n, np.int64), np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(chain.from_iterable(ends), np.int32), np.array(sound, bool)
-
-
 def spaced(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same texts with a space before each that is not empty."""
     size = np.diff(offs)
