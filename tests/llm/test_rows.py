@@ -223,8 +223,8 @@ def test_clashing_columns_and_null_ids(spark, case):
 def test_string_ranks_in_shards(spark):
     """Values with one long prefix fall in different cells."""
     rows = spark.createDataFrame([(k, f"a-very-long-prefix-{k % 8}") for k in range(400)], "doc_id bigint, source string")
-    cells = hilbert.quantised(rows, ["source"], 3).select("source", "_cell0").distinct().collect()
-    assert len(cells) == 8 and [r["_cell0"] for r in sorted(cells)] == sorted({r["_cell0"] for r in cells})
+    cells = hilbert.quantised(rows, ["source"], 3).select("source", "__cell0").distinct().collect()
+    assert len(cells) == 8 and [r["__cell0"] for r in sorted(cells)] == sorted({r["__cell0"] for r in cells})
 
 
 @pytest.mark.parametrize("shards", [1, 16])
@@ -262,3 +262,24 @@ def test_empty_tables(spark):
     assert quality.op8(docs(spark, [])).count() == 0
     assert licenses.op6(docs(spark, [])).count() == 0
     assert hilbert.op7(docs(spark, [])).count() == 0
+
+
+def test_shards_with_clashing_names(spark):
+    rows = docs(spark, [(None, "a b"), (1, None), (1, None), (2, "mit license")])
+    for name in ("_value", "_rank", "_part", "_at", "_before", "_n", "_row", "_curve", "_key0", "_cell0", "c0", "curve", "shard", "slot"):
+        rows = rows.withColumn(name, F.lit(name))
+    out = hilbert.hilbert_shards(rows, ["source", "n_words"], 2, ["doc_id"]).collect()
+    assert len(out) == 4 and all(r[n] == n for r in out for n in ("_value", "_rank", "_part", "_at", "_before", "_n", "_row", "_curve", "_key0", "_cell0", "c0"))
+    assert sorted((r.shard, r.slot) for r in out) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_shards_prune_on_every_dimension(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    placed = hilbert.op7(table).join(table.select("doc_id", "lang", "source"), "doc_id").cache()
+    by = placed.groupBy("shard").agg(F.count_distinct("lang").alias("languages"), F.count_distinct("source").alias("sources")).collect()
+    n = table.agg(F.count_distinct("lang").alias("languages"), F.count_distinct("source").alias("sources")).first()
+    assert sum(r.languages for r in by) / len(by) <= n.languages / 2
+    assert sum(r.sources for r in by) / len(by) <= 0.7 * n.sources
+    parted = placed.groupBy("size", "text_crc32").agg(F.count_distinct("shard").alias("n")).filter("n > 1").count()
+    assert parted <= 15
+    placed.unpersist()

@@ -1,12 +1,12 @@
 """Sharding along a Hilbert curve over quantised metadata, for pruning files in several dimensions at once.
 
-Null numbers and null strings fall in the lowest cell; strings are ordered by the ranks of their distinct values.
-Ties on the curve are broken by the columns given for it: with the text's checksum, equal texts of one place on the
-curve lie side by side. The law of shards is that of rows: counts differ by one at most. So a group of equal texts
-stays in one shard only if its rows share their place on the curve and no cut falls among them; bytes may differ much
-between shards, as size is one of the dimensions. Equal rows each get a slot of their own. An empty table gives an
-empty table. Other columns pass through; those named _row, _curve, _key or _cell with a number, curve, shard or slot
-are replaced.
+Null numbers and null strings fall in the lowest cell; strings are ordered by the ranks of their distinct values. Cells
+are quantiles of the rows, so a dimension of few values is spread over all cells by how many rows have each. Ties on the
+curve are broken by the columns given for it. The law of shards is that of rows: counts differ by one at most, so bytes
+may differ much between shards, as size is one of the dimensions. In the query equal texts are put where the row with
+the smallest id is, and lie side by side by their checksum: only a cut between two shards can part them. Equal rows each
+get a slot of their own. An empty table gives an empty table. Other columns pass through, but those named curve, shard
+or slot are replaced.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from vidlake.storage import saved
 
+from vidlake.llm.numbering import numbered
+from vidlake.storage import saved
 
 
 def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
@@ -52,9 +53,9 @@ def with_ordinal(df: DataFrame, dim: str, kind: str, name: str) -> DataFrame:
     """Adds a number in the column's own order: numbers as they are, strings by the rank of their value."""
     if kind != "string":
         return df.withColumn(name, F.coalesce(F.col(dim).cast("double"), F.lit(float("-inf"))))
-    ranks = numbered(df.select(F.col(dim).alias("_value")).filter("_value is not null").distinct(), ["_value"], "_rank")
-    ranked = df.join(ranks, F.col(dim) == F.col("_value"), "left")
-    return ranked.withColumn(name, F.coalesce(F.col("_rank").cast("double"), F.lit(float("-inf")))).drop("_value", "_rank")
+    ranks = numbered(df.select(F.col(dim).alias("__value")).filter("__value is not null").distinct(), ["__value"], "__rank")
+    ranked = df.join(ranks, F.col(dim) == F.col("__value"), "left")
+    return ranked.withColumn(name, F.coalesce(F.col("__rank").cast("double"), F.lit(float("-inf")))).drop("__value", "__rank")
 
 
 def below(grid: Column, value: Column) -> Column:
@@ -63,18 +64,18 @@ def below(grid: Column, value: Column) -> Column:
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
-    """Adds _cell0.. with the quantile of each dimension's value, from cut points over all rows."""
+    """Adds __cell0.. with the quantile of each dimension's value, from cut points over all rows."""
     kinds = dict(df.dtypes)
     keyed = df
     for i, d in enumerate(dims):
-        keyed = with_ordinal(keyed, d, kinds[d], f"_key{i}")
+        keyed = with_ordinal(keyed, d, kinds[d], f"__key{i}")
     parts = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = keyed.agg(*(F.percentile_approx(f"_key{i}", parts, 1000).alias(f"c{i}") for i in range(len(dims)))).first()
+    cuts = keyed.agg(*(F.percentile_approx(f"__key{i}", parts, 1000).alias(f"c{i}") for i in range(len(dims)))).first()
     for i in range(len(dims)):
-        steps = sorted(set(cuts[f"c{i}"] or []))
+        steps = sorted(cuts[f"c{i}"] or [])
         grid = F.array(*map(F.lit, steps)).cast("array<double>") if steps else F.array().cast("array<double>")
-        keyed = keyed.withColumn(f"_cell{i}", below(grid, F.col(f"_key{i}")))
-    return keyed.drop(*(f"_key{i}" for i in range(len(dims))))
+        keyed = keyed.withColumn(f"__cell{i}", below(grid, F.col(f"__key{i}")))
+    return keyed.drop(*(f"__key{i}" for i in range(len(dims))))
 
 
 def on_curve(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
@@ -83,29 +84,19 @@ def on_curve(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
         for cell in cells:
             yield pd.Series(hilbert_index([cell[c].to_numpy() for c in cell.columns], bits))
 
-    names = [f"_cell{i}" for i in range(len(dims))]
+    names = [f"__cell{i}" for i in range(len(dims))]
     udf = F.pandas_udf(place, "long")
-    return quantised(df, dims, bits).withColumn("_curve", udf(F.struct(*names))).drop(*names)
-
-
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Numbers all rows from 0 in the given order, without bringing them together: a range of rows for each task, then the tasks' offsets."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # ranges are drawn from a sample: written once, they cannot be drawn differently for the counts
-    rows = saved(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each task
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return quantised(df, dims, bits).withColumn("__curve", udf(F.struct(*names))).drop(*names)
 
 
 def hilbert_shards(df: DataFrame, dims: list[str], shards: int, tie: list[str], bits: int = 5) -> DataFrame:
     """Adds curve, shard and slot: rows in curve order are cut into runs whose counts differ by one at most."""
-    spread = numbered(on_curve(df, dims, bits), ["_curve", *tie], "_row")
+    df = df.drop(*({"curve", "shard", "slot"} - {*dims, *tie}))
+    spread = numbered(on_curve(df, dims, bits), ["__curve", *tie], "__row")
     total = spread.count()
-    out = spread.withColumn("shard", F.expr(f"(_row * {shards}) div {max(total, 1)}").cast("int"))
+    out = spread.withColumn("shard", F.expr(f"(__row * {shards}) div {max(total, 1)}").cast("int"))
     first = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) div {shards}")
-    return out.withColumn("slot", F.col("_row") - first).withColumnRenamed("_curve", "curve").drop("_row")
+    return out.withColumn("slot", F.col("__row") - first).withColumnRenamed("__curve", "curve").drop("__row")
 
 
 def write_shards(df: DataFrame, path: str, dims: list[str], tie: list[str], shards: int, bits: int = 5) -> None:
@@ -117,5 +108,8 @@ def write_shards(df: DataFrame, path: str, dims: list[str], tie: list[str], shar
 def op7(docs: DataFrame, shards: int = 16) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     keys = docs.select("doc_id", "lang", "source", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"))
-    placed = hilbert_shards(keys, ["source", "lang", "size"], shards, ["text_crc32", "doc_id"])
+    # texts of one size and checksum, be they equal or not, have the place of one of them
+    place = saved(keys.groupBy("size", "text_crc32").agg(F.min(F.struct("doc_id", "source", "lang")).alias("__first")))
+    keys = keys.drop("source", "lang").join(place, ["size", "text_crc32"]).withColumns({"source": F.col("__first.source"), "lang": F.col("__first.lang")}).drop("__first")
+    placed = hilbert_shards(keys, ["size", "lang", "source"], shards, ["size", "text_crc32", "doc_id"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
