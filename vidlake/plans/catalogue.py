@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidlake.plans import evaluation_queries, event_queries, gallery_queries, library_queries, selection_queries, track_queries, tube_queries
+from vidlake.plans import compare_queries, evaluation_queries, event_queries, gallery_queries, library_queries, selection_queries, track_queries, tube_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (event_queries, track_queries, evaluation_queries, library_queries, gallery_queries, selection_queries, tube_queries)
+PARTS = (event_queries, track_queries, evaluation_queries, library_queries, gallery_queries, selection_queries, tube_queries, compare_queries)
 
 
 def queries() -> dict[str, Query]:
