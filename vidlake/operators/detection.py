@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vidlake.functions import geometry as g
 from vidlake.operators.assignment import box_iou, link_tubes, max_score, soft_nms
 from vidlake.operators.curves import envelope, running
+from vidlake.operators.tracking_metrics import EPS, best_pairs
 
 
 def locked_hits(pairs: DataFrame, predictions: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
@@ -121,27 +122,20 @@ def baseline_tracks(detections: DataFrame, keys: list[str], least_score: float =
     return flat.groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", track_id long, frame_idx long, x1 double, y1 double, x2 double, y2 double")
 
 
+def paired_boxes(truth: DataFrame, tracks: DataFrame, least: float, *carried: str) -> DataFrame:
+    """(seq, t, gt_id, tr_id, sim and columns of the truth): the pairing of each frame with the largest summed overlap of those from ``least``. Both tables: seq, t, id, box."""
+    a = truth.select("seq", "t", F.col("id").alias("gt_id"), F.col("box").alias("_a"), *carried)
+    b = tracks.select("seq", "t", F.col("id").alias("tr_id"), F.col("box").alias("_b"))
+    near = a.join(b, ["seq", "t"]).withColumn("sim", g.iou(F.col("_a"), F.col("_b"))).filter(F.col("sim") >= least - EPS).drop("_a", "_b")
+    return best_pairs(near, ["seq", "t"], "sim")
+
+
 def without_distractors(truth: DataFrame, tracks: DataFrame, least: float = 0.5) -> DataFrame:
     """Tracks without the boxes that are assigned to a distractor in their frame; assignment is over all truth, by overlap.
 
     truth: seq, t, id, box, distractor, counted; tracks: seq, t, id, box. Truth to be scored is that with counted.
     """
-    a = truth.select("seq", "t", F.col("id").alias("gt_id"), F.col("box").alias("_a"), "distractor")
-    b = tracks.select("seq", "t", F.col("id").alias("tr_id"), F.col("box").alias("_b"))
-    pairs = a.join(b, ["seq", "t"]).withColumn("sim", g.iou(F.col("_a"), F.col("_b"))).filter(F.col("sim") >= least).select("seq", "t", "gt_id", "tr_id", "sim", "distractor")
-    kinds = dict(pairs.dtypes)
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(set(p["gt_id"])), sorted(set(p["tr_id"]))
-        score = np.zeros((len(rows), len(cols)))
-        bad = dict(zip(p["gt_id"], p["distractor"], strict=True))
-        for x, y, s in zip(p["gt_id"], p["tr_id"], p["sim"], strict=True):
-            score[rows.index(x), cols.index(y)] = s
-        i, j = max_score(score)
-        gone = [cols[y] for x, y in zip(i, j, strict=True) if score[x, y] > 0 and bad[rows[x]]]
-        return pd.DataFrame({"seq": p["seq"].iloc[0], "t": p["t"].iloc[0], "id": gone})
-
-    gone = pairs.groupBy("seq", "t").applyInPandas(run, f"seq {kinds['seq']}, t {kinds['t']}, id {kinds['tr_id']}")
+    gone = paired_boxes(truth, tracks, least, "distractor").filter("distractor").select("seq", "t", F.col("tr_id").alias("id"))
     return tracks.join(gone, ["seq", "t", "id"], "left_anti")
 
 
