@@ -15,7 +15,7 @@ def plain(value):
     if isinstance(value, decimal.Decimal):
         return float(value)
     if isinstance(value, float):
-        return None if value != value else round(value, 5) + 0.0
+        return None if value != value else round(value, 8) + 0.0
     if isinstance(value, (list, tuple)):
         return tuple(plain(v) for v in value)
     if isinstance(value, dict):

@@ -3,19 +3,29 @@
 from vidlake.operators import segmentation as seg
 
 
+def proposals(spark, rows, ends):
+    states = spark.createDataFrame(rows, "source string, t double, phase string, team string")
+    out = seg.reconcile(states, spark.createDataFrame(ends, "source string, duration double")).collect()
+    return sorted((r["source"], r["lo"], r["hi"], r["kind"], r["transition"] or "") for r in out)
+
+
 def test_reconcile(spark):
-    rows = [("v", 0.0, "live", "dark"), ("v", 5.0, "live", "dark"), ("v", 10.0, "stop", None), ("v", 12.0, "live", "light"), ("v", 14.0, "live", "dark"), ("w", 3.0, "live", "dark"), ("w", 3.0, "stop", "dark"), ("w", 30.0, "unknown", None)]
-    out = seg.reconcile(spark.createDataFrame(rows, "source string, t double, phase string, team string")).collect()
-    assert sorted((r["source"], r["lo"], r["hi"], r["kind"], r["transition"] or "") for r in out) == [
-        ("v", 5.0, 10.0, "content_transition", "play>stop"), ("v", 10.0, 12.0, "content_transition", "stop>play"), ("v", 12.0, 14.0, "possession_change", "light>dark"), ("w", 1.0, 5.0, "uncertain", ""),
+    rows = [("v", 0.0, "live", "dark"), ("v", 5.0, "live", "dark"), ("v", 10.0, "replay", None), ("v", 11.0, "non_play", None), ("v", 12.0, "live", "light"), ("v", 14.0, "live", "dark"),
+            ("w", 3.0, "live", "dark"), ("w", 3.0, "replay", "dark"), ("w", 6.0, "unknown", "dark"), ("w", 7.0, "unknown", "light")]
+    assert proposals(spark, rows, [("v", 15.0), ("w", 7.5)]) == [
+        ("v", 5.0, 10.0, "content_transition", "game>replay"), ("v", 10.0, 11.0, "content_transition", "replay>non_play"), ("v", 11.0, 12.0, "content_transition", "non_play>game"), ("v", 12.0, 14.0, "possession_change", "light>dark"),
+        ("w", 1.0, 5.0, "uncertain", ""), ("w", 6.0, 7.0, "possession_change", "dark>light"),
     ]
 
 
-def test_a_team_that_is_gone_for_long_is_doubted_in_chunks(spark):
-    rows = [("v", 0.0, "live", "dark"), ("v", 45.0, "live", "light"), *(("v", 45.0 + k, "live", "light") for k in range(1, 50, 4))]
-    out = seg.reconcile(spark.createDataFrame(rows, "source string, t double, phase string, team string")).collect()
-    assert sorted((r["lo"], r["hi"]) for r in out) == [(0.0, 20.0), (20.0, 40.0), (40.0, 45.0), (70.0, 90.0)]
-    assert {r["kind"] for r in out} == {"uncertain"}
+def test_an_unknown_team_is_doubted_in_chunks_also_at_the_end(spark):
+    rows = [("v", 2.0, "live", "dark"), ("v", 3.5, "live", "unknown"), ("v", 45.0, "live", "light"), ("v", 50.0, "live", None), ("w", 1.0, "live", "dark"), ("w", 5.0, "live", None)]
+    assert proposals(spark, rows, [("v", 60.0), ("w", 9.0)]) == [("v", 2.0, 22.0, "uncertain", ""), ("v", 22.0, 42.0, "uncertain", ""), ("v", 25.0, 45.0, "uncertain", ""), ("v", 42.0, 45.0, "uncertain", ""), ("v", 45.0, 60.0, "uncertain", "")]
+
+
+def test_one_team_for_long_is_doubted_and_ends_are_cut(spark):
+    rows = [("v", float(t), "live", "dark") for t in range(0, 100, 5)] + [("v", 99.0, "live", "light"), ("v", 99.0, "live", "dark")]
+    assert proposals(spark, rows, [("v", 100.0)]) == [("v", 25.0, 45.0, "uncertain", ""), ("v", 70.0, 90.0, "uncertain", ""), ("v", 97.0, 100.0, "uncertain", "")]
 
 
 def test_merged_proposals(spark):

