@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidlake.functions import geometry as g
+from vidlake.functions import skeletons as sk
 from vidlake.functions import values as v
-from vidlake.operators import catalog, evaluation as evl, events as ev, identity as ident, registry as reg, sampling
+from vidlake.operators import catalog, detection as det, evaluation as evl, events as ev, identity as ident, registry as reg, sampling
 from vidlake.plans import track_queries as tq
 from vidlake.plans import views as vw
 
@@ -150,6 +151,31 @@ def span_targets(spark: SparkSession, d: str) -> DataFrame:
     return i.select("interval_id", *(R(c).alias(n) for n, c in made.items()))
 
 
+def skeleton_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of a vector as 17 joints, the next vector as the next frame: bones, and how far joints move."""
+    e = vw.features(spark, d).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("_e"))
+    joints = lambda c: F.transform(F.sequence(F.lit(0), F.lit(16)), lambda j: F.array(F.get(c, j * 2), F.get(c, j * 2 + 1)))
+    own = e.select("vec_id", joints(F.col("_e")).alias("_a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), joints(F.col("_e")).alias("_b")), "vec_id")
+    body = own.select("vec_id", F.array(F.array("_a", "_b")).alias("k"))
+    flat = body.select("vec_id", F.posexplode(F.arrays_zip(sk.bones(F.col("k"), "coco")[0][0].alias("b"), sk.motion(F.col("k"), "coco")[0][0].alias("m"))).alias("joint", "x"))
+    return flat.select("vec_id", "joint", R(F.col("x.b")[0]).alias("bone_x"), R(F.col("x.b")[1]).alias("bone_y"), R(F.col("x.m")[0]).alias("move_x"), R(F.col("x.m")[1]).alias("move_y"))
+
+
+def boundary_features(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector as a curve of steps of half a second, with a proposal of its own."""
+    e = vw.features(spark, d)
+    start = F.col("vec_id") % 7 * 1.5
+    made = det.boundary_features(F.col("embedding"), F.lit(0.5), start, start + 4 + F.col("vec_id") % 11)
+    return e.select("vec_id", F.posexplode(made).alias("place", "value")).select("vec_id", "place", R(F.col("value")).alias("value"))
+
+
+def covering_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Six windows of each customer's orders, of a month each, from strata of a year; open orders are not clear."""
+    i = vw.intervals(spark, d)
+    w = i.select("actor", F.floor(F.col("start") / 365).alias("stratum"), F.col("interval_id").alias("window"), "start", (F.col("start") + 30).alias("end"), "score", (F.col("side") != "P").alias("clear"))
+    return sampling.covering_windows(w, ["actor"], 6).select("actor", "window", "start", "end", "enough")
+
+
 def centre_boxes(spark: SparkSession, d: str) -> DataFrame:
     b = g.from_centre(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100 + 1, F.col("l_linenumber").cast("double"))
     return vw.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(R(b[c]).alias(c) for c in ("x1", "y1", "x2", "y2")))
@@ -197,6 +223,11 @@ QUERIES = {
     "part_distances": (part_distances, """WITH x AS (SELECT vec_id, unnest(range(0, 4)) AS k, embedding AS e FROM embeddings), y AS (SELECT vec_id, sqrt(((vec_id + k) % 3) / 2.0::DOUBLE * (((vec_id + k * 2) % 3) / 2.0::DOUBLE)) AS w, sqrt((e[1 + k * 2]::DOUBLE - e[len(e) - 7 + k * 2]::DOUBLE) ** 2 + (e[2 + k * 2]::DOUBLE - e[len(e) - 6 + k * 2]::DOUBLE) ** 2) AS d FROM x)
       SELECT vec_id, CASE WHEN count(*) FILTER (w > 0) >= 2 THEN round(sum(w * d) / sum(w) / 2, 6) END AS distance FROM y GROUP BY 1"""),
     "span_targets": (span_targets, f"""WITH {vw.INTERVALS} SELECT interval_id, round("start", 6) AS from_centre, round("end", 6) AS to_centre, round("start", 6) AS from_ends, round("end", 6) AS to_ends FROM intervals"""),
+    "skeleton_streams": (skeleton_streams, f"""WITH j AS (SELECT vec_id, unnest(range(0, 17)) AS joint, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT *, {sk.PARENTS["coco"]}[joint + 1] AS up FROM j)
+      SELECT p.vec_id, p.joint::INT AS joint, round(p.e[joint * 2 + 1] - p.e[up * 2 + 1], 6) AS bone_x, round(p.e[joint * 2 + 2] - p.e[up * 2 + 2], 6) AS bone_y, round(n.embedding[joint * 2 + 1]::DOUBLE - p.e[joint * 2 + 1], 6) AS move_x, round(n.embedding[joint * 2 + 2]::DOUBLE - p.e[joint * 2 + 2], 6) AS move_y
+      FROM p JOIN embeddings n ON n.vec_id = p.vec_id + 1"""),
+    "boundary_features_k": (boundary_features, None),
+    "covering_windows_k": (covering_windows, None),
     "centre_boxes": (centre_boxes, "WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS cx, l_discount * 100 AS cy, l_tax * 100 + 1 AS w, l_linenumber::DOUBLE AS h FROM lineitem) SELECT l_orderkey, l_linenumber, round(cx - w / 2, 6) AS x1, round(cy - h / 2, 6) AS y1, round(cx + w / 2, 6) AS x2, round(cy + h / 2, 6) AS y2 FROM b"),
     "recall_area": (recall_area, "WITH n AS (SELECT c_nationkey / 25.0::DOUBLE AS x, count(*)::DOUBLE AS y FROM customer GROUP BY 1), a AS (SELECT (x - lag(x) OVER (ORDER BY x)) * (y + lag(y) OVER (ORDER BY x)) / 2 AS a FROM n) SELECT round(sum(a), 6) AS auc FROM a"),
 }
