@@ -5,12 +5,12 @@ A track table has video_id, frame_idx, track_id, box, det_score; times come from
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidlake.functions import geometry as g
 from vidlake.functions import values as v
+from vidlake.operators.ordered import per_key
 
 TRACK = ["video_id", "track_id"]
 
@@ -94,28 +94,25 @@ def suppress_duplicates(tracks: DataFrame, status: DataFrame, least: float = 0.9
     """Marks, frame by frame, boxes that repeat a better one: accepted tracks first, then longer, then surer, then by id."""
     ranked = tracks.join(status.select(*TRACK, "status", "observations"), TRACK)
 
-    def frame(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_late", "observations", "det_score", "track_id"], ascending=[True, False, False, True])
-        kept: list[tuple] = []
-        of, share = [], []
-        for r in rows.itertuples():
+    def frame(held: list[tuple]) -> list[tuple]:
+        out, kept = [], []
+        for video, at, track, *_, x1, y1, x2, y2 in held:
             best, who = 0.0, None
-            for b, t in kept:
-                w, h = min(r.x2, b[2]) - max(r.x1, b[0]), min(r.y2, b[3]) - max(r.y1, b[1])
-                both = max(w, 0) * max(h, 0)
-                union = (r.x2 - r.x1) * (r.y2 - r.y1) + (b[2] - b[0]) * (b[3] - b[1]) - both
+            for (a1, b1, a2, b2), other in kept:
+                both = max(min(x2, a2) - max(x1, a1), 0) * max(min(y2, b2) - max(y1, b1), 0)
+                union = (x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - both
                 if union > 0 and both / union >= least and both / union > best:
-                    best, who = both / union, t
-            of.append(who)
-            share.append(best if who is not None else None)
+                    best, who = both / union, other
+            out.append((video, at, track, who, best if who is not None else None))
             if who is None:
-                kept.append(((r.x1, r.y1, r.x2, r.y2), r.track_id))
-        return pd.DataFrame({"video_id": rows["video_id"], "frame_idx": rows["frame_idx"], "track_id": rows["track_id"], "duplicate_of": pd.array(of, dtype="Int64"), "duplicate_iou": share})
+                kept.append(((x1, y1, x2, y2), track))
+        return out
 
     flat = ranked.select("video_id", "frame_idx", "track_id", "det_score", "observations", (F.col("status") != "accepted").alias("_late"), "box.*")
     # only frames with two boxes that may be one need the ordered scan
     met = frame_pairs(tracks).filter(F.col("iou") >= least).select("video_id", "frame_idx").distinct()
-    found = flat.join(met, ["video_id", "frame_idx"], "left_semi").groupBy("video_id", "frame_idx").applyInPandas(frame, "video_id bigint, frame_idx bigint, track_id bigint, duplicate_of bigint, duplicate_iou double")
+    several = flat.join(met, ["video_id", "frame_idx"], "left_semi").select("video_id", "frame_idx", "track_id", "_late", (-F.col("observations")).alias("_n"), (-F.col("det_score")).alias("_s"), "x1", "y1", "x2", "y2")
+    found = per_key(several, ["video_id", "frame_idx"], ["_late", "_n", "_s", "track_id"], frame, "video_id bigint, frame_idx bigint, track_id bigint, duplicate_of bigint, duplicate_iou double")
     rest = flat.join(met, ["video_id", "frame_idx"], "left_anti").select("video_id", "frame_idx", "track_id", F.lit(None).cast("bigint").alias("duplicate_of"), F.lit(None).cast("double").alias("duplicate_iou"))
     return found.unionByName(rest)
 
@@ -124,15 +121,17 @@ def spaced_best(samples: DataFrame, keys: list[str], time: str, quality_: str, g
     """Greedy choice in each group: best quality first, none nearer in time than ``gap`` to one chosen, ``most`` at most."""
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([quality_, time], ascending=[False, True])
-        chosen: list[int] = []
-        for i, t in zip(rows.index, rows[time], strict=True):
-            if len(chosen) < most and all(abs(t - rows.at[j, time]) >= gap for j in chosen):
-                chosen.append(i)
-        return rows.loc[chosen]
+    ordered = samples.select(*keys, *(c for c in samples.columns if c not in keys))
+    at = ordered.columns.index(time)
 
-    return samples.groupBy(*keys).applyInPandas(pick, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
+    def pick(held: list[tuple]) -> list[tuple]:
+        chosen: list[tuple] = []
+        for row in held:
+            if len(chosen) < most and all(abs(row[at] - c[at]) >= gap for c in chosen):
+                chosen.append(row)
+        return [row[:-1] for row in chosen]
+
+    return per_key(ordered.withColumn("_order", -F.col(quality_)), keys, ["_order", time], pick, ", ".join(f"`{c}` {kinds[c]}" for c in ordered.columns))
 
 
 def best_in_bucket(samples: DataFrame, keys: list[str], time: Column, quality_: Column, gap: float, most: int) -> DataFrame:
