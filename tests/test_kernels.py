@@ -100,3 +100,24 @@ def test_assigned_boxes(spark):
 def test_nothing_scores_nothing(spark):
     empty = spark.createDataFrame([], "tp long, fp long, fn long")
     assert [r["f1"] for r in evl.micro(empty).collect()] == [None]
+
+
+#: Known results: truths and proposals (start, end, score) by video, the number of proposals a video at which recall is 0.5 and 1, and the area.
+KNOWN = [
+    ({"a": [(0, 1), (1, 2)], "b": [(0, 1), (1, 2)]}, {"a": [(0, 1, 1), (1, 2, 1)], "b": [(0, 1, 1), (1, 2, 1)]}, [0.0] * 49 + [0.5] * 50 + [1.0], 0.02, 25.5),
+    ({"a": [(0, 1), (1, 2)], "b": [(0, 1), (1, 2)]}, {"a": [(10, 11, 0.6), (11, 12, 0.4)], "b": [(10, 11, 0.6), (11, 12, 0.4)]}, [0.0] * 100, 0.02, 0.0),
+    ({"a": [(0, 1)]}, {"a": [(i, i + 1, 1 / (i + 1)) for i in range(100)]}, [1.0] * 100, 1.0, 99.0),
+]
+
+
+@pytest.mark.parametrize("truths, proposals, recall, step, area", KNOWN)
+def test_average_recall_of_known_cases(spark, truths, proposals, recall, step, area):
+    t = spark.createDataFrame([(k, i, float(a), float(b)) for k, rows in truths.items() for i, (a, b) in enumerate(rows)], "video string, truth int, start double, end double")
+    p = spark.createDataFrame([(k, i, float(a), float(b), float(s)) for k, rows in proposals.items() for i, (a, b, s) in enumerate(rows)], "video string, prop int, start double, end double, score double")
+    curve = evl.average_recall(p, t, [round(0.5 + 0.05 * k, 2) for k in range(10)])
+    rows = curve.collect()
+    for threshold in {r.threshold for r in rows}:
+        own = sorted((r for r in rows if r.threshold == threshold), key=lambda r: r.step)
+        assert [r.recall for r in own] == recall
+        assert [r.per_video for r in own] == pytest.approx([step * k for k in range(1, 101)])
+    assert evl.recall_area(curve).first().auc == pytest.approx(area)

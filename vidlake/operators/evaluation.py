@@ -95,6 +95,33 @@ def recall_at_proposals(best_ranks: DataFrame, n_truth: Column, fractions: list[
     return at.groupBy("fraction").agg((F.count_if(F.col("rank") <= F.floor(F.col("fraction") * total)) / F.first(n_truth)).alias("recall"))
 
 
+def average_recall(proposals: DataFrame, truth: DataFrame, thresholds: list[float], most: float | None = None, steps: int = 100) -> DataFrame:
+    """(step, per_video, threshold, recall): recall when each video's best proposals are taken, ``step`` hundredths of what makes ``most`` of them a video (all, without ``most``).
+
+    A truth is found from the step on at which its first proposal with enough overlap is taken, so each truth is one row for
+    each threshold, whatever the number of steps. proposals: video, prop, start, end, score; truth: video, truth, start, end.
+    """
+    w = Window.partitionBy("video").orderBy(F.desc("score"), "prop")
+    ranked = proposals.withColumns({"rank": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("video"))}).select("video", F.col("start").alias("_s"), F.col("end").alias("_e"), "rank", "n")
+    total = proposals.agg(F.count("*").alias("proposals"))
+    whole = truth.agg(F.count("*").alias("truths"), F.count_distinct("video").alias("videos")).crossJoin(total)  # single rows
+    share = F.col("videos") * (most if most is not None else F.col("proposals") / F.col("videos")) / F.col("proposals")
+    levels = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
+    near = truth.join(ranked, "video").withColumn("tiou", g.tiou(F.col("_s"), F.col("_e"), F.col("start"), F.col("end"))).filter(F.col("tiou") >= min(thresholds))
+    first = near.select("video", "truth", "rank", "n", "tiou", levels).filter("tiou >= threshold").groupBy("video", "truth", "n", "threshold").agg(F.min("rank").alias("rank"))
+    found = first.crossJoin(whole).select("threshold", F.ceil(F.col("rank") * steps / (F.col("n") * share) - 1e-9).cast("int").alias("step")).groupBy("threshold", "step").agg(F.count("*").alias("_n"))
+    grid = whole.select("truths", (share * F.col("proposals") / F.col("videos")).alias("_most"), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")).select("*", levels)
+    upto = Window.partitionBy("threshold").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    at = grid.join(found, ["threshold", "step"], "left").withColumn("_n", F.sum(F.coalesce("_n", F.lit(0))).over(upto))
+    return at.select("step", (F.col("step") / steps * F.col("_most")).alias("per_video"), "threshold", (F.col("_n") / F.col("truths")).alias("recall"))
+
+
+def recall_area(curve: DataFrame) -> DataFrame:
+    """(auc): area under the mean recall over the proposals a video, in hundredths of the widest."""
+    mean = curve.groupBy("per_video").agg(F.avg("recall").alias("recall"))
+    return trapezoid(mean, "per_video", "recall").crossJoin(mean.agg(F.max("per_video").alias("_m"))).select((100 * F.col("auc") / F.col("_m")).alias("auc"))  # single rows
+
+
 def trapezoid(points: DataFrame, x: str, y: str) -> DataFrame:
     """Area under a curve of few points."""
     w = Window.orderBy(x)

@@ -166,6 +166,22 @@ def boundary_match(spark: SparkSession, d: str) -> DataFrame:
     return evl.match_boundaries(met.select("range", "stage", "truth", "pred", "distance"))
 
 
+def average_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall over the number of proposals, at ten overlaps; actors are videos."""
+    truth, said = _spans(spark, d)
+    p = said.select(F.col("actor").alias("video"), F.col("interval_id").alias("prop"), "start", "end", "score")
+    t = truth.select(F.col("actor").alias("video"), F.col("interval_id").alias("truth"), "start", "end")
+    curve = evl.average_recall(p, t, [round(0.05 * k, 2) for k in range(1, 11)])
+    return curve.select("step", R(F.col("per_video")).alias("per_video"), "threshold", R(F.col("recall")).alias("recall"))
+
+
+AVERAGE_RECALL = f"""WITH {vw.INTERVALS}, t AS (SELECT * FROM intervals WHERE side = 'O'), p AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY score DESC, interval_id) AS rank, count(*) OVER (PARTITION BY actor) AS n FROM intervals WHERE side = 'F'),
+ x AS (SELECT unnest([{", ".join(str(round(0.05 * k, 2)) for k in range(1, 11))}])::DOUBLE AS threshold), f AS (SELECT t.interval_id, p.n, threshold, min(p.rank) AS rank FROM t JOIN p ON p.actor = t.actor CROSS JOIN x
+   WHERE greatest(0, least(p."end", t."end") - greatest(p."start", t."start")) / (greatest(p."end", t."end") - least(p."start", t."start")) >= threshold GROUP BY 1, 2, 3),
+ k AS (SELECT unnest(range(1, 101))::INT AS step), w AS (SELECT (SELECT count(*) FROM t) AS truths, (SELECT count(DISTINCT actor) FROM t) AS videos, (SELECT count(*) FROM p) AS proposals)
+ SELECT step, round(step / 100.0::DOUBLE * proposals / videos, 6) AS per_video, x.threshold, round((SELECT count(*) FROM f WHERE f.threshold = x.threshold AND floor(f.n * k.step / 100.0::DOUBLE + 1e-9) >= f.rank) / truths::DOUBLE, 6) AS recall FROM k CROSS JOIN x CROSS JOIN w"""
+
+
 def temporal_pairs(spark: SparkSession, d: str) -> DataFrame:
     truth, said = _spans(spark, d)
     p = said.select("actor", F.col("interval_id").alias("a"), F.col("start").alias("s1"), F.col("end").alias("e1")).join(truth.select("actor", F.col("interval_id").alias("b"), F.col("start").alias("s2"), F.col("end").alias("e2")), "actor")
@@ -258,6 +274,7 @@ QUERIES = {
     "ar_at_an": (ar_at_an, f"""WITH {vw.INTERVALS}, t AS (SELECT * FROM intervals WHERE side = 'O'), p AS (SELECT *, row_number() OVER (PARTITION BY actor ORDER BY score DESC, interval_id) AS rank FROM intervals WHERE side = 'F'),
       f AS (SELECT t.interval_id AS truth, min(p.rank) AS rank FROM t JOIN p ON p.actor = t.actor AND p."start" < t."end" AND t."start" < p."end" WHERE (least(p."end", t."end") - greatest(p."start", t."start")) / (greatest(p."end", t."end") - least(p."start", t."start")) >= 0.3 GROUP BY 1),
       x AS (SELECT unnest([0.1, 0.25, 0.5, 1.0])::DOUBLE AS fraction) SELECT fraction, round((SELECT count(*) FROM f WHERE rank <= floor(fraction * 20)) / (SELECT count(*) FROM t)::DOUBLE, 6) AS recall FROM x"""),
+    "average_recall_curve": (average_recall, AVERAGE_RECALL),
     "event_match_k": (event_match, None),
     "error_kinds_k": (error_kinds, None),
     "boundary_match_k": (boundary_match, None),
