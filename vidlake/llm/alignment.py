@@ -227,7 +227,7 @@ class Aligned:
         na, nb = len(self.a), len(self.b)
         before_b = np.append(0, np.cumsum(self.in_b))[self.group_a]
         after_a = np.cumsum(self.in_a)[self.group_b]
-        rows = np.zeros((na + nb, 7), np.uint8)
+        rows = np.zeros((na + nb, 8), np.uint8)
         size = np.zeros(na + nb, np.int64)
         last_a = np.append(self.group_a[1:] != self.group_a[:-1], True) if na else np.zeros(0, bool)
         last_b = np.append(self.group_b[1:] != self.group_b[:-1], True) if nb else np.zeros(0, bool)
@@ -248,14 +248,12 @@ class Aligned:
 
 
 @cache
-def decimal(n: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Digits of all numbers below ``n``, with room for a mark behind, and how many they are."""
-    n = min(n, 1 << 17)
-    number = np.arange(n)
-    length = np.char.str_len(number.astype("S6")).astype(np.int64)
-    rows = np.zeros((n, 7), np.uint8)
-    rows[:, :6] = np.frombuffer(number.astype("S6").tobytes(), np.uint8).reshape(n, 6)
-    return rows, length
+def decimal() -> tuple[np.ndarray, np.ndarray]:
+    """Digits of all ids, with room for a mark behind, and how many they are."""
+    text = np.arange(1 << B_BITS).astype("S7")
+    rows = np.zeros((len(text), 8), np.uint8)
+    rows[:, :7] = np.frombuffer(text.tobytes(), np.uint8).reshape(-1, 7)
+    return rows, np.char.str_len(text).astype(np.int64)
 
 
 def summed(doc: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -197,6 +197,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", added: tuple[str,
             codec.verify()
             columns = [batch.column(c) for c in carried] + [pa.array(out[a], ADDED[a]) for a in added]
             yield pa.RecordBatch.from_arrays(columns, names=[*carried, *added])
+        codec.memory.clear()  # it and the codec hold each other, and would stay in the worker until a collection finds them
 
     carried = list(kept)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{a} {_DDL[a]}" for a in added])
