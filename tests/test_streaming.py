@@ -3,7 +3,6 @@
 import datetime as dt
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from vidlake.streaming import tracker, windows
 
