@@ -116,3 +116,19 @@ def test_newborns_under_each_protocol():
         live = {0: (0, 0), 1: (1, 0)}
         out, _ = tracker.step(live, 2, 1, [10, 11], np.array([[0.8, 0.6, 0.1, 0.9 if protocol == "object" else 0.0], [0.9, 0.1, 0.1, 0.0]]), [0, 1, 2], 0.5, 0.5, 30, protocol)
         assert {d: t for d, t, _ in out} == ids
+
+
+def test_boundary_features_of_many_curves_take_seconds(spark):
+    import time
+
+    curve = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.sin(F.col("id") + i))
+    rows = spark.range(4000).select(F.explode(det.boundary_features(curve, F.lit(0.5), F.col("id") % 7 * 1.5, F.col("id") % 7 * 1.5 + 4)).alias("v"))
+    began = time.perf_counter()
+    assert rows.agg(F.count("v")).first()[0] == 4000 * 32
+    assert time.perf_counter() - began < 30
+
+
+def test_boundary_features_of_missing_values_are_null(spark):
+    rows = spark.createDataFrame([([1.0, None, 3.0], 0.5, 1.0), (None, 0.0, 1.0), ([1.0], None, 1.0)], "curve array<double>, start double, end double")
+    first, *rest = [r.f for r in rows.select(det.boundary_features(F.col("curve"), F.lit(0.5), F.col("start"), F.col("end")).alias("f")).collect()]
+    assert None in first and rest == [None, None]

@@ -5,8 +5,11 @@ What is sequential runs for one video (or one label of it) at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,16 +203,26 @@ def boundary_features(curve: Column, gap: Column, start: Column, end: Column, ra
     The curve has a value in the middle of each step of ``gap`` seconds, and is 0 outside. A moment's mean is over ``fine`` + 1
     places from half a moment before it to half a moment after it.
     """
-    whole = F.concat(F.array(F.lit(0.0)), F.transform(curve, lambda x: x.cast("double")), F.array(F.lit(0.0)))
-
-    def around(lo: Column, hi: Column, n: int) -> Column:
-        each = (hi - lo) / (n - 1)
-        times = F.transform(F.sequence(F.lit(0), F.lit(n * fine)), lambda i: (lo - each / 2 + each / fine * i) / gap + 0.5)
-        at = at_positions(whole, times)
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(F.slice(at, i * fine + 1, F.lit(fine + 1)), F.lit(0.0), lambda s, x: s + x) / (fine + 1))
-
-    off = (end - start) * ratio
-    return F.concat(around(start, end, inside), around(start - off, start + off, edge), around(end - off, end + off, edge))
+    def values(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for curves, *numbers in parts:
+            step, low, high = (n.to_numpy(zero_copy_only=False).astype(float) for n in numbers)
+            out: list[list[float] | None] = []
+            for i, own in enumerate(curves):
+                if not own.is_valid or np.isnan([step[i], low[i], high[i]]).any():
+                    out.append(None)
+                    continue
+                whole = np.concatenate([[0.0], own.values.to_numpy(zero_copy_only=False).astype(float), [0.0]])
+                off = (high[i] - low[i]) * ratio
+                made = []
+                for lo, hi, n in ((low[i], high[i], inside), (low[i] - off, low[i] + off, edge), (high[i] - off, high[i] + off, edge)):
+                    each = (hi - lo) / (n - 1)
+                    at = np.interp((lo - each / 2 + each / fine * np.arange(n * fine + 1)) / step[i] + 0.5, np.arange(len(whole)), whole)
+                    made.append(np.lib.stride_tricks.sliding_window_view(at, fine + 1)[::fine].sum(axis=1) / (fine + 1))
+                found = np.concatenate(made).tolist()
+                out.append([None if x != x else x for x in found] if own.values.null_count else found)
+            yield pa.array(out, pa.list_(pa.float64()))
+
+    return F.arrow_udf(values, "array<double>")(curve, *(c.cast("double") for c in (gap, start, end)))
 
 
 def gap_tracks(detections: DataFrame, keys: list[str], least: float = 0.6, missing: int = 10) -> DataFrame:
