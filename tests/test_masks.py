@@ -126,3 +126,25 @@ def test_regions_and_boundaries_of_tracks(spark, n_tracks):
         assert (r.j_decay, r.f_decay) == pytest.approx(tuple(v[ids[0] : ids[1] + 1].mean(axis=0) - v[ids[3] : ids[4] + 1].mean(axis=0)))
     whole = sg.sequence_means(rows, ["seq"]).first()
     assert whole.n_truth == 2 and whole.j_and_f == pytest.approx(np.mean([(r.j_mean + r.f_mean) / 2 for r in got.values()]))
+
+
+@pytest.mark.parametrize("cells", [m.CELLS, 1])
+def test_all_pairs_of_a_frame_are_those_of_single_masks(monkeypatch, cells):
+    monkeypatch.setattr(m, "CELLS", cells)
+    draw = np.random.default_rng(4)
+    height, width = 9, 13
+    masks = [m.runs_of(np.sort(draw.choice(height * width, 2 * k, replace=False)).reshape(-1, 2), height * width) for k in (0, 1, 3, 9)] + [np.array([0, height * width])]
+    j, f = m.all_pairs(masks, masks[::-1], height, width, 0.1)
+    for x, a in enumerate(masks):
+        for y, b in enumerate(masks[::-1]):
+            p, q = m.picture(a, height, width), m.picture(b, height, width)
+            assert j[x, y] == ((p & q).sum() / (p | q).sum() if (p | q).any() else 1.0)
+            assert f[x, y] == m.boundary_f(p, q, 0.1)
+
+
+def test_a_mask_is_drawn_once_a_frame_not_once_a_pair(monkeypatch):
+    drawn = []
+    whole = m.picture
+    monkeypatch.setattr(m, "picture", lambda *x: drawn.append(1) or whole(*x))
+    m.all_pairs([np.array([3, 9, 20])] * 30, [np.array([5, 4, 23])] * 30, 4, 8)
+    assert len(drawn) == 60

@@ -138,43 +138,85 @@ def picture(runs: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def boundary(dense: np.ndarray) -> np.ndarray:
-    """Pixels that differ from the one to the right, below, or below to the right; on the last row and column the one neighbour there is counts."""
+    """Pixels that differ from the one to the right, below, or below to the right; on the last row and column the one neighbour there is counts.
+
+    dense: a picture, or a stack of them.
+    """
     right, below, both = (np.zeros_like(dense) for _ in range(3))
-    right[:, :-1], below[:-1], both[:-1, :-1] = dense[:, 1:], dense[1:], dense[1:, 1:]
+    right[..., :-1], below[..., :-1, :], both[..., :-1, :-1] = dense[..., 1:], dense[..., 1:, :], dense[..., 1:, 1:]
     out = (dense != right) | (dense != below) | (dense != both)
-    out[-1], out[:, -1] = dense[-1] != right[-1], dense[:, -1] != below[:, -1]
-    out[-1, -1] = False
+    out[..., -1, :], out[..., -1] = dense[..., -1, :] != right[..., -1, :], dense[..., -1] != below[..., -1]
+    out[..., -1, -1] = False
     return out
 
 
 def thickened(dense: np.ndarray, radius: int) -> np.ndarray:
-    """All pixels within a disk of the radius around those set."""
+    """All pixels within a disk of the radius around those set, in a picture or each of a stack."""
     out = np.zeros_like(dense)
-    height, width = dense.shape
+    *stack, height, width = dense.shape
     for down in range(-radius, radius + 1):
         half = math.isqrt(radius * radius - down * down)
-        total = np.zeros((height, width + 2 * half + 2), np.int32)
-        np.cumsum(np.pad(dense, ((0, 0), (half, half + 1))), axis=1, out=total[:, 1:])
-        wide = total[:, 2 * half + 1 : 2 * half + 1 + width] > total[:, :width]
+        total = np.zeros((*stack, height, width + 2 * half + 2), np.int32)
+        np.cumsum(np.pad(dense, (*[(0, 0)] * (dense.ndim - 1), (half, half + 1))), axis=-1, out=total[..., 1:])
+        wide = total[..., 2 * half + 1 : 2 * half + 1 + width] > total[..., :width]
         if down >= 0:
-            out[down:] |= wide[: height - down]
+            out[..., down:, :] |= wide[..., : max(height - down, 0), :]
         else:
-            out[:down] |= wide[-down:]
+            out[..., :down, :] |= wide[..., -down:, :]
     return out
 
 
+def reach(share: float, height: int, width: int) -> int:
+    """Pixels by which a boundary may be off: a share of the diagonal (pixels from 1 on)."""
+    return int(share if share >= 1 else math.ceil(share * math.hypot(height, width)))
+
+
 def boundary_f(a: np.ndarray, b: np.ndarray, share: float = 0.008) -> float:
     """F of two pictures' boundaries, each held against the other's thickened by a share of the diagonal (pixels from 1 on)."""
     edge_a, edge_b = boundary(a), boundary(b)
     n_a, n_b = int(edge_a.sum()), int(edge_b.sum())
     if not n_a or not n_b:
         return float(n_a == n_b)
-    radius = int(share if share >= 1 else math.ceil(share * math.hypot(*a.shape)))
+    radius = reach(share, *a.shape)
     precision = (edge_a & thickened(edge_b, radius)).sum() / n_a
     recall = (edge_b & thickened(edge_a, radius)).sum() / n_b
     return float(2 * precision * recall / (precision + recall)) if precision + recall else 0.0
 
 
+#: Pixels of pictures that are held against others at once.
+CELLS = 1 << 22
+
+
+def _stacks(masks: list[np.ndarray], height: int, width: int, share: float) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Blocks of masks: which, their pictures, boundaries and thickened boundaries as rows of numbers, their areas and lengths of boundaries."""
+    kind = np.float32 if height * width < 1 << 24 else np.float64  # holds all counts exactly
+    step = max(1, CELLS // max(height * width, 1))
+    for lo in range(0, len(masks), step):
+        dense = np.stack([picture(x, height, width) for x in masks[lo : lo + step]])
+        edge = boundary(dense)
+        flat = [x.reshape(len(dense), -1).astype(kind) for x in (dense, edge, thickened(edge, reach(share, height, width)))]
+        yield slice(lo, lo + len(dense)), flat, dense.sum(axis=(1, 2)), edge.sum(axis=(1, 2))
+
+
+def all_pairs(a: list[np.ndarray], b: list[np.ndarray], height: int, width: int, share: float = 0.008) -> tuple[np.ndarray, np.ndarray]:
+    """Overlap over union (1 for two empty masks) and F of the boundaries of each of a with each of b, all runs of one picture.
+
+    Each mask is drawn once, its boundary found once; the counts of all pairs come as products.
+    """
+    j, f = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+    for here, (pa_, ea, ta), area_a, n_a in _stacks(a, height, width, share):
+        for there, (pb, eb, tb), area_b, n_b in _stacks(b, height, width, share):
+            both = (pa_ @ pb.T).astype(np.int64)
+            union = area_a[:, None] + area_b[None] - both
+            j[here, there] = np.divide(both, union, out=np.ones(both.shape), where=union > 0)
+            some = (n_a[:, None] > 0) & (n_b[None] > 0)
+            precision = np.divide((ea @ tb.T).astype(np.int64), n_a[:, None], out=np.zeros(both.shape), where=some)
+            recall = np.divide((ta @ eb.T).astype(np.int64), n_b[None], out=np.zeros(both.shape), where=some)
+            made = np.divide(2 * precision * recall, precision + recall, out=np.zeros(both.shape), where=precision + recall > 0)
+            f[here, there] = np.where(some, made, n_a[:, None] == n_b[None])
+    return j, f
+
+
 def _rows(column: pa.StructArray) -> list[np.ndarray]:
     runs = column.field("runs")
     flat, at = runs.flatten().to_numpy(), np.append(0, np.cumsum(np.nan_to_num(pa.compute.list_value_length(runs).to_numpy(zero_copy_only=False)))).astype(int)

@@ -40,11 +40,20 @@ def apart(rows: DataFrame, keys: list[str], most: float | None = None) -> DataFr
 
 
 def met(truth: DataFrame, tracks: DataFrame, share: float = 0.008) -> DataFrame:
-    """(seq, t, gt_id, tr_id, j, f) of all pairs of masks in a frame. Both tables: seq, t, id, mask."""
-    a = truth.select("seq", "t", F.col("id").alias("gt_id"), F.col("mask").alias("_a"))
-    b = tracks.select("seq", "t", F.col("id").alias("tr_id"), F.col("mask").alias("_b"))
-    empty = (m.area(F.col("_a")) == 0) & (m.area(F.col("_b")) == 0)
-    return a.join(b, ["seq", "t"]).select("seq", "t", "gt_id", "tr_id", F.when(empty, 1.0).otherwise(m.iou(F.col("_a"), F.col("_b"))).alias("j"), m.contour(F.col("_a"), F.col("_b"), share).alias("f"))
+    """(seq, t, gt_id, tr_id, j, f) of all pairs of masks in a frame. Both tables: seq, t, id, mask; the masks of a frame are of one size."""
+    side = lambda rows, k: rows.select("seq", "t", F.lit(k).alias("_side"), F.col("id").cast("bigint").alias("id"), "mask")
+    rows = side(truth, 0).unionByName(side(tracks, 1)).filter("seq is not null and t is not null")
+
+    def step(held: list[tuple]) -> list[tuple]:
+        a, b = ([row for row in held if row[2] == k] for k in (0, 1))
+        if not a or not b:
+            return []
+        runs = [[np.array(row[4]["runs"], np.int64) for row in rows_] for rows_ in (a, b)]
+        j, f = m.all_pairs(*runs, a[0][4]["height"], a[0][4]["width"], share)
+        return [(*x[:2], x[3], y[3], *v) for x, *values in zip(a, j.tolist(), f.tolist(), strict=True) for y, *v in zip(b, *values, strict=True)]
+
+    kinds = dict(truth.dtypes)
+    return per_key(rows, ["seq", "t"], ["_side", "id"], step, f"seq {kinds['seq']}, t {kinds['t']}, gt_id bigint, tr_id bigint, j double, f double")
 
 
 def _absent(rows: DataFrame) -> DataFrame:
