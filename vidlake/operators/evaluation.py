@@ -132,7 +132,12 @@ def retrieval(scores: DataFrame, query: str, item: str, score: str, right: str)
     """Recall at 1, 5, 10, median and mean rank; the rank of the right item is one more than the items with a better score."""
     own = scores.filter(F.col(item) == F.col(right)).select(query, F.col(score).alias("_own"))
     rank = scores.join(own, query).groupBy(query).agg((F.count_if(F.col(score) > F.col("_own")) + 1).alias("_k"))
-    return rank.agg(*(F.avg((F.col("_k") <= k).cast("double")).alias(f"r{k}") for k in (1, 5, 10)), F.median("_k").alias("median_rank"), F.avg("_k").alias("mean_rank"))
+    return rank_summary(rank, "_k")
+
+
+def rank_summary(ranks: DataFrame, rank: str) -> DataFrame:
+    """Share of queries ranked 1, up to 5 and up to 10, median and mean rank."""
+    return ranks.agg(*(F.avg((F.col(rank) <= k).cast("double")).alias(f"r{k}") for k in (1, 5, 10)), F.median(rank).alias("median_rank"), F.avg(rank).alias("mean_rank"))
 
 
 def pair_f1(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
