@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vidlake.operators import assignment
 from vidlake.operators import identity as ident
 
 
@@ -62,3 +63,26 @@ def test_no_task_gets_more_pairs_than_a_group_holds(spark, monkeypatch):
     _, rows = vectors(spark, 100)
     left, right = ident._dealt(ident._named(rows, "id", "v"), ident._named(rows.filter("id % 5 = 0"), "id", "v"), [])
     assert left.groupBy("_i", "_j").count().agg(F.max("count")).first()[0] < 30 and left.count() == 200 and right.count() == 200
+
+
+@pytest.mark.parametrize("rows, edges", [(1024, 1 << 22), (16, 50)])
+@pytest.mark.parametrize("most", [0.5, 0.9])
+def test_complete_link_of_vectors_is_that_of_their_pairs(monkeypatch, rows, edges, most):
+    monkeypatch.setattr(assignment, "ROWS", rows)
+    monkeypatch.setattr(assignment, "EDGES", edges)
+    made = np.random.default_rng(8).normal(size=(90, 4))
+    made[5] = made[40] = made[4]
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    unit[9] = np.nan
+    apart = np.arange(90) % 7
+    far = np.round(1 - unit @ unit.T, 12)
+    pairs = [(a, b) for a in range(90) for b in range(a + 1, 90)]
+    wanted = assignment.complete_link({p: far[p] for p in pairs if far[p] == far[p]}, list(range(90)), most, {p for p in pairs if apart[p[0]] == apart[p[1]]})
+    assert assignment.complete_link_vectors(unit, apart, most).tolist() == [wanted[i] for i in range(90)]
+
+
+def test_complete_link_of_thousands_of_vectors_takes_seconds():
+    made = np.random.default_rng(8).normal(size=(3000, 64))
+    began = time.perf_counter()
+    group = assignment.complete_link_vectors(made / np.linalg.norm(made, axis=1, keepdims=True), np.arange(3000) % 7, 0.9)
+    assert time.perf_counter() - began < 60 and len(set(group.tolist())) < 3000

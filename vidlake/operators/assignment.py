@@ -159,3 +159,60 @@ def complete_link(distance: dict[tuple[int, int], float], ids: list[int], most:
         if d <= most and group[a] is not group[b] and all(near(x, y) for x in group[a] for y in group[b]):
             join(a, b)
     return {i: min(group[i]) for i in ids}
+
+
+#: Rows of a block of distances, and pairs that are sorted at once.
+ROWS, EDGES = 1024, 1 << 22
+
+
+def complete_link_vectors(unit: np.ndarray, apart: np.ndarray, most: float, digits: int = 12) -> np.ndarray:
+    """complete_link of vectors of length one by 1 - cosine, without a table of all pairs: place of each one's group's first member.
+
+    Those with equal ``apart`` are never joined, nor is a vector that is NaN. Pairs come in slices of distance of EDGES or so, found anew in blocks;
+    what two groups may still be joined is kept as a bit for each two places. Distances are rounded, so that equal vectors are equally far.
+    """
+    n = len(unit)
+    group = np.arange(n)
+    fits = np.zeros((n, -(-n // 8)), np.uint8)
+
+    def blocks():
+        for lo in range(0, n, ROWS):
+            d = np.round(1 - unit[lo : lo + ROWS] @ unit.T, digits)
+            d[(apart[lo : lo + ROWS, None] == apart[None]) | ~(d <= most)] = np.inf
+            yield lo, d
+
+    least = -1e-9  # of vectors of length one, but for rounding
+    edges = np.linspace(least, most, 4097)
+    total = np.zeros(len(edges) - 1, np.int64)
+    for lo, d in blocks():
+        fits[lo : lo + len(d)] = np.packbits(np.isfinite(d), axis=1)
+        total += np.histogram(np.minimum(np.maximum(d, least), 1e9), edges)[0]
+    upto = np.cumsum(total) // 2
+    cuts = [-np.inf, *(float(edges[1:][k]) for k in np.flatnonzero(np.diff(upto // EDGES) > 0)), np.inf]
+
+    def may_join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (fits[a, b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 > 0
+
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        met = []
+        for lo, d in blocks():
+            a, b = np.nonzero((d > low) & (d <= high) & np.isfinite(d) & (np.arange(n)[None] > np.arange(lo, lo + len(d))[:, None]))
+            near = may_join(group[a + lo], group[b])
+            a, b = a[near], b[near]
+            met.append((d[a, b], a + lo, b))
+        d, a, b = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+        order = np.lexsort((b, a, d))
+        a, b = a[order], b[order]
+        for at in range(0, len(a), ROWS):
+            x, y = a[at : at + ROWS], b[at : at + ROWS]
+            left = (group[x] != group[y]) & may_join(group[x], group[y])
+            for i, j in zip(x[left].tolist(), y[left].tolist(), strict=True):
+                p, q = sorted((int(group[i]), int(group[j])))
+                if p == q or not fits[p, q >> 3] >> (7 - (q & 7)) & 1:
+                    continue
+                group[group == q] = p
+                fits[p] &= fits[q]
+                bit = np.uint8(1 << (7 - (p & 7)))
+                column = np.unpackbits(fits[p], count=n) > 0
+                fits[:, p >> 3] = np.where(column, fits[:, p >> 3] | bit, fits[:, p >> 3] & ~bit)
+    return group
