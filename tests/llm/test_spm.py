@@ -53,3 +53,26 @@ def test_decoding_a_table(spark, library):
 
 def test_empty_table(spark):
     assert spm.op2(spark.createDataFrame([], SCHEMA), tokenizer_path()).count() == 0
+
+
+def test_parts_are_merged_side_by_side_as_alone(library):
+    """Parts that are new to a task: all at once they get the ids that the agenda gives each of them, in less than half of its time."""
+    import time
+
+    import numpy as np
+
+    rnd = random.Random(3)
+    syllables = ["the", "ion", "ung", "é", "ä", "ou", "st", "zz", "0", "漢", "🙂", ".", "x" * 30]
+    parts = list({(rnd.choice(["", " ", "  "]) + "".join(rnd.choice(syllables) for _ in range(rnd.randrange(1, 7)))).encode() for _ in range(20_000)})
+    codec = spm.Codec(library.serialized_model_proto())
+    alone = [codec.merge(p.decode().replace(" ", spm.SPACE)) for p in parts[:3000]]
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in codec.ids_of(parts)[:3000]] == alone
+    codec.verify()
+    plain = ["".join(rnd.choices("etaoinshr", k=rnd.randrange(4, 15))).encode() for _ in range(20_000)]
+    began = time.process_time()
+    for p in plain:
+        codec.merge(p.decode().replace(" ", spm.SPACE))
+    one_by_one = time.process_time() - began
+    began = time.process_time()
+    codec.merge_all(plain)
+    assert time.process_time() - began < one_by_one / 2
