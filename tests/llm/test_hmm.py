@@ -118,3 +118,25 @@ def test_nothing_to_learn_from(spark):
     assert out[1]["n_known"] == 0 and out[1]["train_tokens"] == 0 and out[1]["n_tokens"] == 3 and out[2]["n_tokens"] == 1
     assert out[1]["base_score"] == pytest.approx(0.0)
     assert hmm.score_texts(frame(spark, []), F.lit(True)).count() == 0
+
+
+def test_expected_counts_take_about_two_passes():
+    """Forward and backward take less than 2.3 times the forward pass alone, and moves and states of many texts add up to their tokens."""
+    import time
+
+    rnd = np.random.default_rng(4)
+    lengths = np.minimum(1 + rnd.geometric(1 / 400, 400), 6_000)
+    lengths[:3] = 1, 2, 20_000
+    classes, k = 20_000, 8
+    seq = rnd.integers(0, classes, lengths.sum()).astype(np.uint16)
+    model = hmm.Model(rnd.dirichlet(np.ones(k)), rnd.dirichlet(np.ones(k), k), rnd.dirichlet(np.ones(classes), k).T.copy())
+    seconds = {}
+    for f in (hmm.log_likelihoods, hmm.expected):
+        for _ in range(3):
+            began = time.process_time()
+            got = f(seq, lengths, model)
+            seconds[f] = min(seconds.get(f, 1e9), time.process_time() - began)
+    start, moves, state = got
+    assert start.sum() == pytest.approx(len(lengths)) and moves.sum() == pytest.approx(len(seq) - len(lengths))
+    assert np.allclose(state.sum(axis=1), 1)
+    assert seconds[hmm.expected] < 2.3 * seconds[hmm.log_likelihoods]

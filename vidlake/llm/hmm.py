@@ -137,8 +137,7 @@ def _scaled(v: np.ndarray) -> np.ndarray:
 def expected(seq: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and, for each token, states, over whole texts; all runs take each step together."""
     k, runs = len(model.start), Runs(lengths)
-    b = model.emit[seq]
-    begun = _scaled(model.start * b[runs.base])
+    begun = _scaled(model.start * model.emit[seq[runs.base]])
     # vectors that come into each run from both sides
     before, after = begun[runs.text], np.ones((len(runs.text), k))
     several = np.flatnonzero(runs.n[runs.text] > 1)
@@ -152,32 +151,43 @@ def expected(seq: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.nda
         for r in range(len(runs.by_rank) - 1, 0, -1):
             now = runs.by_rank[r]
             after[runs.at[runs.text[now], r - 1]] = _scaled(np.einsum("dkj,dj->dk", product[now], after[now]))
-    ahead = np.zeros((len(seq), k))
-    alpha = before
-    for t in range(runs.steps):
-        n = runs.live[t]
-        i = runs.first[:n] + t
-        alpha = (alpha[:n] @ model.move) * b[i]
+    # tokens of one step stand in a row, so that a step reads and writes one stretch
+    live = np.array(runs.live, np.int64)
+    at = np.append(0, np.cumsum(live))
+    token = runs.first[np.arange(at[-1]) - np.repeat(at[:-1], live)] + np.repeat(np.arange(runs.steps), live)
+    b = model.emit[seq[token]]
+    ahead, scales = np.empty((len(token), k)), {}
+    alpha, at = before, at.tolist()
+    for t, n in enumerate(runs.live):
+        now = ahead[at[t] : at[t + 1]]
+        np.matmul(alpha[:n], model.move, out=now)
+        now *= b[at[t] : at[t + 1]]
         if t % 8 == 7:  # a row's scale cancels out below
-            alpha /= alpha.sum(axis=1, keepdims=True)
-        ahead[i] = alpha
-    moves, back = np.zeros((k, k)), after
-    state = np.zeros((len(seq), k))
+            scales[t] = now.sum(axis=1)
+            now /= scales[t][:, None]
+        alpha = now
+    moves, back, one = np.zeros((k, k)), after, np.ones(k)
     for t in range(runs.steps - 1, -1, -1):
         n = runs.live[t]
-        i = runs.first[:n] + t
-        state[i] = ahead[i] * back[:n]
-        weighted = b[i] * back[:n]
-        old = ahead[i - 1] if t else before
-        total = ((old[:n] @ model.move) * weighted).sum(axis=1, keepdims=True)
-        moves += old[:n].T @ (weighted / total)
-        back[:n] = weighted @ model.move.T
+        now, weighted = ahead[at[t] : at[t + 1]], b[at[t] : at[t + 1]]
+        weighted *= back[:n]
+        # what comes in, moved and weighted, is the state before it is scaled; b keeps states from here on, as ahead is read once more
+        held = now * back[:n]
+        total = (held @ one)[:, None]
+        held /= total
+        np.matmul(weighted, model.move.T, out=back[:n])
+        weighted /= total if t not in scales else total * scales[t][:, None]
+        moves += (ahead[at[t - 1] : at[t - 1] + n] if t else before[:n]).T @ weighted
+        weighted[:] = held
         if t % 8 == 0:
             back[:n] /= back[:n].sum(axis=1, keepdims=True)
+    state = np.empty((len(seq), k))
+    state[token] = b
     state[runs.base] = begun
     heads = np.flatnonzero(runs.rank == 0)
-    state[runs.base[runs.text[heads]]] *= back[heads]
-    state /= state.sum(axis=1, keepdims=True)
+    first = runs.base[runs.text[heads]]
+    state[first] *= back[heads]
+    state[first] /= state[first].sum(axis=1, keepdims=True)
     return state[runs.base].sum(axis=0), moves * model.move, state
 
 
@@ -233,16 +243,18 @@ def round_of(train: DataFrame, model: Model, lexicon: Lexicon, prior: float = 20
     k, n_classes = len(model.start), len(lexicon.share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes))
+        start, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((n_classes, k))
         for _, _, _, seq, lengths in gathered(batches, "seq"):
             s, m, state = expected(seq, lengths, model)
             start += s
             moves += m
-            for j in range(k):
-                emitted[j] += np.bincount(seq, weights=state[:, j], minlength=n_classes)
-        met = np.flatnonzero(emitted.sum(axis=0))
+            order = np.argsort(seq, kind="stable")  # equal classes side by side
+            held = seq[order]
+            cut = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
+            emitted[held[cut]] += np.add.reduceat(state[order], cut, axis=0)
+        met = np.flatnonzero(emitted.sum(axis=1))
         keys = np.concatenate([met, -1 - np.arange(k), [-1 - k]]).astype(np.int32)
-        rows = np.concatenate([emitted.T[met], moves, start[None]])
+        rows = np.concatenate([emitted[met], moves, start[None]])
         yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(rows[:, j].copy()) for j in range(k))], ["cls", *(f"g{j}" for j in range(k))])
 
     summed = train.select("seq").mapInArrow(run, "cls int, " + ", ".join(f"g{j} double" for j in range(k)))
