@@ -149,3 +149,11 @@ def test_running_sums_and_envelopes_over_many_tasks(spark, parts):
         own = sorted((r for r in rows if r[0] == g), key=lambda r: -r[1])
         for i, r in enumerate(own):
             assert (got[r[1]].s, got[r[1]].n, got[r[1]].top) == (sum(x[2] for x in own[: i + 1]), i + 1, max(x[2] for x in own[i:]))
+
+
+def test_sides_are_made_once(spark):
+    """Queries read the sides of a comparison from what was saved, not from line items again for each use."""
+    from vidlake.plans.track_queries import sides
+
+    for side in sides(spark, "/root/testdata/sf0.001"):
+        assert side.count() and "lineitem" not in side._jdf.queryExecution().toString()
