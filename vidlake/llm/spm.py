@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from vidlake.llm.pieces import space_cuts
-from vidlake.llm.text import chunks, utf8
+from vidlake.llm.text import chunks, tidy, utf8
 
 SPACE = "▁"
 #: Parts remembered in a task; when full, the memory is emptied.
@@ -313,6 +313,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", added: tuple[str,
     source = docs.schema[text].name
     fields = [f for f in docs.schema.fields if f.name in kept]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model, check)
         for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vidlake.llm.components import components
 from vidlake.llm.sketch import Sketch, sketch_of, texts_of
-from vidlake.llm.text import chunks, mix, owners, shingles, words
+from vidlake.llm.text import chunks, mix, owners, shingles, tidy, words
 from vidlake.storage import saved
 
 #: Texts and their length that meet their lead in one go, and sets or bytes of differences of a lead that are walked at once.
@@ -138,6 +138,7 @@ LONGEST = 1 << 20
 
 def measured(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """For each row: id, size of its set and two checksums of it."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offs in chunks(batch.column(1)):
@@ -154,6 +155,7 @@ def range_keys(docs: DataFrame, key: str, text: str, n: int, percent: int, among
     Without ``shared``: (gram). With it: (gram, id, of, may_leave) of keys that may be in it, of sets and classes (of) that
     have more of these than they may leave.
     """
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = Ranges(percent, LONGEST)
         for batch in batches:
