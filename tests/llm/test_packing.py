@@ -9,7 +9,7 @@ import pytest
 
 from tests.llm.test_rows import docs
 from vidlake.llm import packing
-from vidlake.llm.pieces import byte_level, document_ids
+from vidlake.llm.pieces import byte_level, byte_level_ids, document_ids
 from vidlake.llm.queries import byte_level_path
 from vidlake.llm.text import chunks
 
@@ -86,6 +86,22 @@ def test_ids_are_the_library_s(seed):
     assert got == [e.ids for e in byte_level(PATH)[0].encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def test_new_parts_go_to_the_library_together():
+    import time
+
+    draw = random.Random(4)
+    parts = list({(" " * draw.randint(0, 1) + "".join(draw.choices("abcdefghéß日", k=draw.randint(1, 14)))).encode() for _ in range(60_000)})
+    library, encode = byte_level(PATH)[0], byte_level_ids(PATH).encode
+    encode(parts[:10])
+    began = time.process_time()
+    expected = [e.ids for e in library.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+    one_by_one, began = time.process_time() - began, time.process_time()
+    n, ids, _, _ = encode(parts)
+    assert time.process_time() - began < 0.75 * one_by_one
+    at = np.append(0, np.cumsum(n)).tolist()
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == expected
+
+
 def checked(rows, texts, capacity, end=2):
     """Every id of every document once, gapless, in sequences that hold no more than they may."""
     library = byte_level(PATH)[0]

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vidlake.llm.pieces import Memory, byte_level, pattern_cuts, space_cuts
+from vidlake.llm.pieces import Memory, byte_alphabet, byte_level, pattern_cuts, space_cuts
 from vidlake.llm.text import chunks
 from vidlake.storage import saved
 
@@ -59,13 +59,6 @@ def placed(parts: list[bytes], n: np.ndarray, ids: np.ndarray, spans: np.ndarray
     return n, ids, ends, sound
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Characters that byte-level vocabularies write bytes as: visible ones as themselves, the others from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 @cache
 def byte_level_tokens(path: str) -> Memory:
     library, _ = byte_level(path)

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Parts remembered in a worker process; when full, the memory is emptied.
 REMEMBERED = 500_000
+#: Parts that are given to the library at once.
+TOGETHER = 8192
 LETTER, NUMBER, WHITE, OTHER, UNKNOWN = range(5)
 
 
@@ -159,13 +161,45 @@ def byte_level(path: str) -> tuple[object, Classes]:
     return library, Classes(library.pre_tokenizer.pre_tokenize_str)
 
 
+def byte_alphabet() -> dict[str, int]:
+    """Characters that byte-level vocabularies write bytes as: visible ones as themselves, the others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
 @cache
 def byte_level_ids(path: str) -> Memory:
+    """Ids of parts by the library's model alone: parts are cut and written in the vocabulary's characters for many at once, a line for each."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import Split
+
     library, _ = byte_level(path)
+    lines = Tokenizer(library.model)
+    lines.pre_tokenizer = Split("\n", "removed")  # a line feed is written otherwise
+    written = np.zeros(256, np.uint32)
+    for character, byte in byte_alphabet().items():
+        written[byte] = ord(character)
+    vocabulary = library.get_vocab()
+    lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # in bytes, a character for each
+    for token, i in vocabulary.items():
+        lengths[i] = len(token)
+
+    def together(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        points = written[np.frombuffer(b"\n".join(parts), np.uint8)]
+        points[np.cumsum(size[:-1] + 1) - 1] = ord("\n")
+        ids = np.array(lines.encode_batch_fast([points.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.int32)
+        total, ends = np.cumsum(lengths[ids]), np.cumsum(size)
+        last = np.searchsorted(total, ends)
+        if len(total) and total[-1] == ends[-1] and (total[last] == ends).all():
+            return np.diff(last, prepend=-1), ids
+        found = [e.ids for e in library.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]  # the vocabulary lacks some byte
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.int32)
 
     def encode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        found = [e.ids for e in library.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), np.int32), np.zeros(0, np.int32), np.ones(len(found), bool)
+        n, ids = (np.concatenate(x) for x in zip(*(together(parts[k : k + TOGETHER]) for k in range(0, len(parts), TOGETHER)), strict=True))
+        return n, ids, np.zeros(0, np.int32), np.ones(len(parts), bool)
 
     return Memory(encode)
 
