@@ -31,7 +31,7 @@ REMEMBERED = 200_000
 #: Characters of parts that are merged side by side; longer ones are merged alone.
 ABREAST = 24
 #: Bytes of text encoded at once; a longer text is encoded alone.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 
 class Codec:
